@@ -90,10 +90,8 @@ def combine_contexts(space: VectorSpace, ordered: bool):
         for batch in batches:
             texts = batch.column("tokens")
             words = texts.values.dictionary_encode()
-            vocabulary = words.dictionary.to_pylist()
             all_codes = words.indices.to_numpy()
-            dims, signs = index.of(vocabulary)
-            table.start_batch(vocabulary)
+            dims, signs = index.of(table.start_batch(words.dictionary))
             edges = texts.offsets.to_numpy().tolist()
             for begin, end in zip(edges, edges[1:]):
                 codes = all_codes[begin:end]

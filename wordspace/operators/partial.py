@@ -35,10 +35,12 @@ class PartialVectors:
         self.row_of: dict = {}
         self.free = list(range(self.capacity - 1, -1, -1))
 
-    def start_batch(self, keys: list) -> None:
-        """Name the distinct keys the following calls refer to by number."""
-        self.batch_keys = keys
-        self.rows = np.array([self.row_of.get(key, -1) for key in keys], np.int64)
+    def start_batch(self, keys: pa.Array) -> list:
+        """Take the distinct keys the following calls refer to by number; returns them."""
+        self.key_type = keys.type
+        self.batch_keys = keys.to_pylist()
+        self.rows = np.array([self.row_of.get(key, -1) for key in self.batch_keys], np.int64)
+        return self.batch_keys
 
     def reserve(self, codes: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Give each of the keys a row, yielding the rows pushed out for it."""
@@ -94,19 +96,23 @@ class PartialVectors:
             ],
             ["dims", "vals"],
         )
-        keys = pa.array([self.keys[r] for r in rows.tolist()])
+        keys = pa.array([self.keys[r] for r in rows.tolist()], self.key_type)
         return pa.RecordBatch.from_arrays([keys, pa.array(self.weights[rows]), vec], ["key", "weight", "vec"])
 
 
-def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None = None):
-    """Sum ``(key, weight, factor, vec)`` rows into ``(key, weight, vec)`` rows."""
+def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None = None, unit: bool = False):
+    """Sum ``(key, weight, factor, vec)`` rows into ``(key, weight, vec)`` rows.
+
+    With ``unit`` every incoming vector is brought to unit length first; zero vectors
+    stay zero.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PartialVectors(size, dtype, ordered, centre)
         for batch in batches:
             keys = batch.column("key").dictionary_encode()
             codes = keys.indices.to_numpy()
-            table.start_batch(keys.dictionary.to_pylist())
+            table.start_batch(keys.dictionary)
             weight = batch.column("weight").to_numpy()
             factor = batch.column("factor").to_numpy()
             dims = batch.column("vec").field("dims")
@@ -122,7 +128,11 @@ def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None
                 counts = np.diff(edges[lo : hi + 1])
                 cells = slice(edges[lo], edges[hi])
                 at = np.repeat(rows * size, counts) + dim[cells]
-                np.add.at(table.flat, at, (val[cells] * np.repeat(factor[lo:hi], counts)).astype(dtype, copy=False))
+                times = factor[lo:hi]
+                if unit:
+                    squares = np.bincount(np.repeat(np.arange(hi - lo), counts), val[cells] ** 2.0, minlength=hi - lo)
+                    times = times / np.sqrt(np.where(squares > 0, squares, 1.0))
+                np.add.at(table.flat, at, (val[cells] * np.repeat(times, counts)).astype(dtype, copy=False))
         yield from table.finish()
 
     return run

@@ -21,10 +21,10 @@ def _rows(rows: DataFrame, real: bool) -> DataFrame:
     return rows.select("key", "weight", factor.cast("double" if real else "bigint").alias("factor"), "vec")
 
 
-def combine_local(rows: DataFrame, size: int, real: bool = False) -> DataFrame:
+def combine_local(rows: DataFrame, size: int, real: bool = False, unit: bool = False) -> DataFrame:
     """One partial row per key and task, without a shuffle."""
     dtype = np.float64 if real else np.int64
-    return _rows(rows, real).mapInArrow(add_rows(size, dtype), _schema(rows, real))
+    return _rows(rows, real).mapInArrow(add_rows(size, dtype, unit=unit), _schema(rows, real))
 
 
 def merge_by_key(
@@ -47,10 +47,10 @@ def merge_by_key(
 
 
 def sum_vectors(
-    rows: DataFrame, size: int, real: bool = False, centre: np.ndarray | None = None
+    rows: DataFrame, size: int, real: bool = False, unit: bool = False, centre: np.ndarray | None = None
 ) -> DataFrame:
-    """Sum of ``factor * vec`` and of ``weight`` per key."""
-    return merge_by_key(combine_local(rows, size, real), size, real, centre)
+    """Sum of ``factor * vec`` and of ``weight`` per key; ``unit`` normalises each ``vec`` first."""
+    return merge_by_key(combine_local(rows, size, real, unit), size, real, centre)
 
 
 def negate(rows: DataFrame) -> DataFrame:
