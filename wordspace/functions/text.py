@@ -78,21 +78,30 @@ def tag_contents(text: Column, tag: str) -> Column:
     return F.substring_index(after, f"</{tag}>", 1)
 
 
+def each(rows: DataFrame, array: Column | str, name: str, *keep: str, at: str | None = None) -> DataFrame:
+    """One row per array element, with its place in column ``at`` if named.
+
+    The outer generator and a filter on what it produced stand for a plain explode:
+    for that, the optimizer would evaluate the array twice more, as a filter on its size.
+    """
+    array = F.col(array) if isinstance(array, str) else array
+    generated = F.explode_outer(array).alias(name) if at is None else F.posexplode_outer(array).alias(at, name)
+    return rows.select(*keep, generated).filter(F.col(name).isNotNull())
+
+
 def sentences(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, sent, sentence)``, numbered from 0 inside each document."""
-    return docs.select(doc, F.posexplode(sentence_array(F.col(text))).alias("sent", "sentence"))
+    return each(docs, sentence_array(F.col(text)), "sentence", doc, at="sent")
 
 
 def tokens(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, sent, pos, word)`` of every document."""
-    return sentences(docs, doc, text).select(
-        doc, "sent", F.posexplode(token_array(F.col("sentence"))).alias("pos", "word")
-    )
+    return each(sentences(docs, doc, text), token_array(F.col("sentence")), "word", doc, "sent", at="pos")
 
 
 def document_words(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """``(doc, word)``, one row per occurrence, without regard to sentences."""
-    return docs.select(doc, F.explode(token_array(F.col(text))).alias("word"))
+    return each(docs, token_array(F.col(text)), "word", doc)
 
 
 def split_topics(

@@ -4,6 +4,9 @@ Spark has no aggregate that adds arrays cell by cell. Exploding every contributi
 into ``(key, dim, val)`` rows first costs thousands of rows per token, so the adding
 is done where the contribution arises: each task keeps a bounded table of partial
 vectors and hands on one row per key. Grouping keys across tasks stays with Spark.
+
+Between such steps vectors travel packed, as one blob of dims and one of values: Spark
+copies a blob whole where it converts an array element by element.
 """
 
 from __future__ import annotations
@@ -17,6 +20,45 @@ TABLE_BYTES = 128 << 20
 OUTPUT_CELLS = 1 << 20
 
 
+def read_cells(vecs: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row edges, dims and values of a vector column, plain or packed, without copying."""
+    first, second = vecs.field(0), vecs.field(1)
+    if pa.types.is_list(first.type):
+        return first.offsets.to_numpy(), first.values.to_numpy(), second.values.to_numpy()
+    kind = np.float64 if vecs.type.field(1).name == "reals" else np.int64
+    edges = np.frombuffer(first.buffers()[1], np.int32, len(vecs) + 1, first.offset * 4) // 4
+    empty = not edges[-1]
+    dims = np.empty(0, np.int32) if empty else np.frombuffer(first.buffers()[2], np.int32, edges[-1])
+    vals = np.empty(0, kind) if empty else np.frombuffer(second.buffers()[2], kind, edges[-1])
+    return edges, dims, vals
+
+
+def write_cells(edges: np.ndarray, dims: np.ndarray, vals: np.ndarray, packed: bool) -> pa.StructArray:
+    """The vector column of the given row edges and cells."""
+    dims = dims.astype(np.int32, copy=False)
+    if not packed:
+        offsets = pa.array(edges.astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(part)) for part in (dims, vals)]
+        return pa.StructArray.from_arrays(lists, ["dims", "vals"])
+
+    def blob(part: np.ndarray) -> pa.Array:
+        offsets = pa.py_buffer((edges * part.itemsize).astype(np.int32))
+        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(part)])
+
+    return pa.StructArray.from_arrays(
+        [blob(dims), blob(np.ascontiguousarray(vals))], ["dims", "reals" if vals.dtype.kind == "f" else "ints"]
+    )
+
+
+def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pack the ``vec`` column, the last one, of any rows."""
+    for batch in batches:
+        names = batch.schema.names
+        edges, dims, vals = read_cells(batch.column("vec"))
+        packed = write_cells(edges - edges[0], dims[edges[0] : edges[-1]], vals[edges[0] : edges[-1]], True)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names)
+
+
 class PartialVectors:
     """Dense partial sums for a bounded number of keys.
 
@@ -26,6 +68,7 @@ class PartialVectors:
     """
 
     def __init__(self, size: int, dtype, ordered: bool = False, centre: np.ndarray | None = None):
+        # Keys that may still meet others later are handed on packed, finished ones plain.
         self.size, self.ordered, self.centre = size, ordered, centre
         self.capacity = max(16, TABLE_BYTES // (8 * size))
         self.sums = np.zeros((self.capacity, size), dtype)
@@ -88,14 +131,8 @@ class PartialVectors:
         if self.centre is not None:
             block -= self.weights[rows][:, None] * self.centre
         row, dim = np.nonzero(block)
-        offsets = pa.array(np.searchsorted(row, np.arange(len(rows) + 1)).astype(np.int32))
-        vec = pa.StructArray.from_arrays(
-            [
-                pa.ListArray.from_arrays(offsets, pa.array(dim.astype(np.int32))),
-                pa.ListArray.from_arrays(offsets, pa.array(block[row, dim])),
-            ],
-            ["dims", "vals"],
-        )
+        edges = np.searchsorted(row, np.arange(len(rows) + 1))
+        vec = write_cells(edges, dim, block[row, dim], packed=not self.ordered)
         keys = pa.array([self.keys[r] for r in rows.tolist()], self.key_type)
         return pa.RecordBatch.from_arrays([keys, pa.array(self.weights[rows]), vec], ["key", "weight", "vec"])
 
@@ -115,10 +152,7 @@ def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None
             table.start_batch(keys.dictionary)
             weight = batch.column("weight").to_numpy()
             factor = batch.column("factor").to_numpy()
-            dims = batch.column("vec").field("dims")
-            edges = dims.offsets.to_numpy()
-            dim = dims.values.to_numpy()
-            val = batch.column("vec").field("vals").values.to_numpy()
+            edges, dim, val = read_cells(batch.column("vec"))
             step = table.capacity // 2
             for lo in range(0, len(codes), step):
                 hi = min(lo + step, len(codes))
@@ -128,11 +162,13 @@ def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None
                 counts = np.diff(edges[lo : hi + 1])
                 cells = slice(edges[lo], edges[hi])
                 at = np.repeat(rows * size, counts) + dim[cells]
-                times = factor[lo:hi]
+                values, times = val[cells].astype(dtype, copy=False), factor[lo:hi]
                 if unit:
-                    squares = np.bincount(np.repeat(np.arange(hi - lo), counts), val[cells] ** 2.0, minlength=hi - lo)
+                    squares = np.bincount(np.repeat(np.arange(hi - lo), counts), values * values, minlength=hi - lo)
                     times = times / np.sqrt(np.where(squares > 0, squares, 1.0))
-                np.add.at(table.flat, at, (val[cells] * np.repeat(times, counts)).astype(dtype, copy=False))
+                if (times != 1).any():
+                    values = values * np.repeat(times, counts)
+                np.add.at(table.flat, at, values)
         yield from table.finish()
 
     return run

@@ -6,13 +6,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordspace.operators.partial import add_rows
-from wordspace.space import INT_VECTOR, REAL_VECTOR
+from wordspace.operators.partial import add_rows, pack_rows
+from wordspace.space import INT_VECTOR, PACKED_INT, PACKED_REAL, REAL_VECTOR
 
 
-def _schema(rows: DataFrame, real: bool) -> str:
+def _schema(rows: DataFrame, vec: str) -> str:
     key = rows.schema["key"].dataType.simpleString()
-    return f"key {key}, weight bigint, vec {REAL_VECTOR if real else INT_VECTOR}"
+    return f"key {key}, weight bigint, vec {vec}"
 
 
 def _rows(rows: DataFrame, real: bool) -> DataFrame:
@@ -21,10 +21,19 @@ def _rows(rows: DataFrame, real: bool) -> DataFrame:
     return rows.select("key", "weight", factor.cast("double" if real else "bigint").alias("factor"), "vec")
 
 
+def pack(rows: DataFrame) -> DataFrame:
+    """The rows with their ``vec`` packed, for steps that move it repeatedly."""
+    others = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns if c != "vec"]
+    real = "array<double>" in rows.schema["vec"].dataType.simpleString()
+    schema = ", ".join([*others, f"vec {PACKED_REAL if real else PACKED_INT}"])
+    return rows.select(*[c for c in rows.columns if c != "vec"], "vec").mapInArrow(pack_rows, schema)
+
+
 def combine_local(rows: DataFrame, size: int, real: bool = False, unit: bool = False) -> DataFrame:
-    """One partial row per key and task, without a shuffle."""
+    """One packed partial row per key and task, without a shuffle."""
     dtype = np.float64 if real else np.int64
-    return _rows(rows, real).mapInArrow(add_rows(size, dtype, unit=unit), _schema(rows, real))
+    schema = _schema(rows, PACKED_REAL if real else PACKED_INT)
+    return _rows(rows, real).mapInArrow(add_rows(size, dtype, unit=unit), schema)
 
 
 def merge_by_key(
@@ -42,7 +51,7 @@ def merge_by_key(
         _rows(partial.filter(F.col("key").isNotNull()), real)
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(add_rows(size, dtype, ordered=True, centre=centre), _schema(partial, real))
+        .mapInArrow(add_rows(size, dtype, ordered=True, centre=centre), _schema(partial, REAL_VECTOR if real else INT_VECTOR))
     )
 
 

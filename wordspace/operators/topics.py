@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordspace.functions.text import token_array
+from wordspace.functions.text import each, token_array
 from wordspace.operators.documents import text_vectors
 from wordspace.operators.similarity import all_similarities
-from wordspace.operators.sums import merge_by_key
+from wordspace.operators.sums import merge_by_key, pack
 from wordspace.sources.scratch import materialize
 from wordspace.space import VectorSpace
 
@@ -22,7 +22,7 @@ def topic_vectors(docs: DataFrame, lexicon: DataFrame, space: VectorSpace) -> Da
     The document vector of a body goes to every topic named, which makes a topic the
     vector of all its bodies together.
     """
-    named = docs.select(F.explode(token_array(F.col("topics"))).alias("topic"), "body")
+    named = each(docs, token_array(F.col("topics")), "topic", "body")
     return text_vectors(named, lexicon, space, key="topic", text="body")
 
 
@@ -32,7 +32,7 @@ def merge_topics(topics: DataFrame | None, trained: DataFrame, space: VectorSpac
     rows = trained.select(*columns)
     if topics is not None:
         rows = rows.unionByName(topics.select(*columns))
-    return merge_by_key(rows, space.size, real=True)
+    return merge_by_key(pack(rows), space.size, real=True)
 
 
 def assign_topics(

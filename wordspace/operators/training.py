@@ -1,7 +1,7 @@
 """Training word vectors from texts and merging them into a lexicon.
 
 A lexicon is ``(key, vec)``, one row per word. A trainer is any function that turns
-texts into partial ``(key, weight, vec)`` rows; the three of this module are the ones
+texts into partial ``(key, weight, vec)`` rows, packed; the three of this module are the ones
 the commands use.
 """
 
@@ -12,14 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordspace.functions.text import sentence_array, token_array
+from wordspace.functions.text import each, sentence_array, token_array
 from wordspace.operators.contexts import combine_contexts
-from wordspace.operators.sums import merge_by_key
-from wordspace.space import INT_VECTOR, VectorSpace
+from wordspace.operators.sums import merge_by_key, pack
+from wordspace.space import INT_VECTOR, PACKED_INT, VectorSpace
 
 Trainer = Callable[[DataFrame, VectorSpace], DataFrame]
 
-PARTIAL_SCHEMA = f"key string, weight bigint, vec {INT_VECTOR}"
+PARTIAL_SCHEMA = f"key string, weight bigint, vec {PACKED_INT}"
 
 
 def spread(texts: DataFrame) -> DataFrame:
@@ -34,19 +34,20 @@ def _contexts(token_rows: DataFrame, space: VectorSpace, ordered: bool) -> DataF
 
 def from_sentences(docs: DataFrame, space: VectorSpace, text: str = "text") -> DataFrame:
     """Every token sees its whole sentence, each neighbour turned by its distance."""
-    parts = spread(docs.select(text)).select(F.explode(sentence_array(F.col(text))).alias("sentence"))
+    parts = each(spread(docs.select(text)), sentence_array(F.col(text)), "sentence")
     return from_lines(parts, space, "sentence")
 
 
 def from_lines(lines: DataFrame, space: VectorSpace, line: str = "value") -> DataFrame:
     """As :func:`from_sentences` for rows that hold one sentence each."""
-    return _contexts(lines.select(token_array(F.col(line)).alias("tokens")), space, ordered=True)
+    rows = lines.filter(F.col(line).isNotNull()).select(token_array(F.col(line)).alias("tokens"))
+    return _contexts(rows, space, ordered=True)
 
 
 def from_windows(docs: DataFrame, space: VectorSpace, text: str = "text") -> DataFrame:
     """Every token sees the tokens within the radius, across the whole document."""
-    rows = spread(docs.select(text)).select(token_array(F.col(text)).alias("tokens"))
-    return _contexts(rows.filter(F.col("tokens").isNotNull()), space, ordered=False)
+    rows = spread(docs.select(text)).filter(F.col(text).isNotNull())
+    return _contexts(rows.select(token_array(F.col(text)).alias("tokens")), space, ordered=False)
 
 
 def empty_lexicon(spark) -> DataFrame:
@@ -61,7 +62,7 @@ def merge_lexicon(lexicon: DataFrame | None, partial: DataFrame, space: VectorSp
     """
     if lexicon is not None:
         stored = lexicon.select("key", F.lit(0).cast("bigint").alias("weight"), "vec")
-        partial = partial.unionByName(stored)
+        partial = partial.unionByName(pack(stored))
     return merge_by_key(partial, space.size).select("key", "vec")
 
 

@@ -12,6 +12,10 @@ DEFAULT_RADIUS = 3
 INT_VECTOR = "struct<dims:array<int>,vals:array<bigint>>"
 REAL_VECTOR = "struct<dims:array<int>,vals:array<double>>"
 
+# Vectors on their way between two steps of a sum.
+PACKED_INT = "struct<dims:binary,ints:binary>"
+PACKED_REAL = "struct<dims:binary,reals:binary>"
+
 
 @dataclass(frozen=True)
 class VectorSpace:
