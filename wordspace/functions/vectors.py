@@ -46,7 +46,9 @@ def index_vector(word: Column, space: VectorSpace) -> Column:
 
 def index_table(words: list[str], size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Dims and signs of the index vectors of ``words``, for use inside tasks."""
-    raw = b"".join(md5(f"{w}#{i}".encode(), usedforsecurity=False).digest() for w in words for i in range(k))
+    ends = [f"#{i}".encode() for i in range(k)]
+    names = [w.encode() for w in words]
+    raw = b"".join([md5(name + end).digest() for name in names for end in ends])
     parts = np.frombuffer(raw, dtype=">u4").reshape(len(words), k, 4).astype(np.int64)
     blocks = np.arange(k)
     edges = np.arange(k + 1) * size // k

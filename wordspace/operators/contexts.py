@@ -24,8 +24,8 @@ class _IndexVectors:
 
     def _forget(self):
         self.at: dict[str, int] = {}
-        self.dims = np.empty((0, self.k), np.int64)
-        self.signs = np.empty((0, self.k), np.int64)
+        self.dims = np.empty((0, self.k), np.int32)
+        self.signs = np.empty((0, self.k), np.int8)
 
     def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.at) > WORDS_REMEMBERED:
@@ -34,10 +34,10 @@ class _IndexVectors:
         if unseen:
             dims, signs = index_table(unseen, self.size, self.k)
             self.at.update(zip(unseen, range(len(self.at), len(self.at) + len(unseen))))
-            self.dims = np.concatenate((self.dims, dims))
-            self.signs = np.concatenate((self.signs, signs))
+            self.dims = np.concatenate((self.dims, dims.astype(np.int32)))
+            self.signs = np.concatenate((self.signs, signs.astype(np.int8)))
         rows = np.fromiter((self.at[w] for w in words), np.int64, len(words))
-        return self.dims[rows], self.signs[rows]
+        return self.dims[rows].astype(np.int64), self.signs[rows].astype(np.int64)
 
 
 def _add_ordered(table: PartialVectors, codes, whole, lo, hi, dims, signs) -> None:
@@ -53,7 +53,7 @@ def _add_ordered(table: PartialVectors, codes, whole, lo, hi, dims, signs) -> No
         at = i % size
         sums[row] += whole[at : at + size]
     mine = codes[lo:hi]
-    np.subtract.at(table.flat, rows[:, None] * size + dims[mine], signs[mine])
+    np.subtract.at(table.flat, (rows[:, None] * size + dims[mine]).ravel(), signs[mine].ravel())
 
 
 def _whole_sentence(codes, size, dims, signs) -> np.ndarray:
@@ -72,7 +72,7 @@ def _add_window(table: PartialVectors, codes, radius, lo, hi, dims, signs) -> No
         if offset and first < last:
             seen = codes[first + offset : last + offset]
             rows = table.rows[codes[first:last]]
-            np.add.at(table.flat, rows[:, None] * table.size + dims[seen], signs[seen])
+            np.add.at(table.flat, (rows[:, None] * table.size + dims[seen]).ravel(), signs[seen].ravel())
 
 
 def combine_contexts(space: VectorSpace, ordered: bool):

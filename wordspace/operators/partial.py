@@ -130,9 +130,10 @@ class PartialVectors:
         block = self.sums[rows]
         if self.centre is not None:
             block -= self.weights[rows][:, None] * self.centre
-        row, dim = np.nonzero(block)
-        edges = np.searchsorted(row, np.arange(len(rows) + 1))
-        vec = write_cells(edges, dim, block[row, dim], packed=not self.ordered)
+        block = block.reshape(-1)
+        at = np.flatnonzero(block != 0)
+        edges = np.searchsorted(at, np.arange(len(rows) + 1) * self.size)
+        vec = write_cells(edges, at % self.size, block[at], packed=not self.ordered)
         keys = pa.array([self.keys[r] for r in rows.tolist()], self.key_type)
         return pa.RecordBatch.from_arrays([keys, pa.array(self.weights[rows]), vec], ["key", "weight", "vec"])
 
