@@ -161,15 +161,15 @@ def _sgml() -> str:
   SELECT doc_id, array_to_string(list_transform({_lines(wrapped)},
     lambda l: regexp_replace(l, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g')), ' ') AS t FROM documents),
 bodies AS (
-  SELECT doc_id, unnest(list_filter(ps, lambda p, i: i % 2 = 0)) AS body, generate_subscripts(list_filter(ps, lambda p, i: i % 2 = 0), 1) AS at
+  SELECT doc_id, unnest(list_filter(ps, lambda p, i: i % 2 = 0)) AS body, generate_subscripts(list_filter(ps, lambda p, i: i % 2 = 0), 1) AS nr
   FROM (SELECT doc_id, string_split_regex(regexp_replace(t, '(<BODY>|&#3;</BODY>)+$', ''), '<BODY>|&#3;</BODY>') AS ps FROM lined)),
-tails AS (SELECT doc_id, at, {drop(tail)} AS body FROM (SELECT doc_id, at, string_split(body, '') AS cs FROM bodies)),
-heads AS (SELECT doc_id, at, {drop(head)} AS body FROM (SELECT doc_id, at, string_split(body, '') AS cs FROM tails)),
-gaps AS (SELECT doc_id, at, string_split({mark(mark('body'))}, chr(1)) AS parts FROM heads),
+tails AS (SELECT doc_id, nr, {drop(tail)} AS body FROM (SELECT doc_id, nr, string_split(body, '') AS cs FROM bodies)),
+heads AS (SELECT doc_id, nr, {drop(head)} AS body FROM (SELECT doc_id, nr, string_split(body, '') AS cs FROM tails)),
+gaps AS (SELECT doc_id, nr, string_split({mark(mark('body'))}, chr(1)) AS parts FROM heads),
 kept AS (
-  SELECT doc_id, at, list_filter(list_transform(parts, lambda s: replace(s, '.', '')),
+  SELECT doc_id, nr, list_filter(list_transform(parts, lambda s: replace(s, '.', '')),
     lambda s: NOT regexp_matches(s, '^{blank}*[a-zA-Z_0-9]+{blank}*$')) AS parts FROM gaps)
-SELECT doc_id, coalesce(array_to_string(flatten(list(parts ORDER BY at)), chr(10)), '') AS text FROM kept GROUP BY doc_id"""
+SELECT doc_id, coalesce(array_to_string(flatten(list(parts ORDER BY nr)), chr(10)), '') AS text FROM kept GROUP BY doc_id"""
 
 
 def oracles() -> dict[str, str]:
@@ -296,16 +296,16 @@ ranked AS (
   FROM cosines)
 SELECT a AS item_id, rank::INTEGER AS rank, b AS topic, {_rounded('similarity')} AS similarity FROM ranked WHERE rank <= 10""",
         "context_windows": f"""WITH turns AS (SELECT conv_id, turn, {_split('text')} AS words FROM conversations),
-placed AS (SELECT conv_id, turn, words, unnest(words) AS word, generate_subscripts(words, 1) AS at FROM turns)
-SELECT conv_id, turn, (at - 1)::INTEGER AS pos, word,
-  array_to_string(list_concat(words[greatest(at - {RADIUS}, 1):at - 1], words[at + 1:at + {RADIUS}]), ' ') AS context
+placed AS (SELECT conv_id, turn, words, unnest(words) AS word, generate_subscripts(words, 1) AS place FROM turns)
+SELECT conv_id, turn, (place - 1)::INTEGER AS pos, word,
+  array_to_string(list_concat(words[greatest(place - {RADIUS}, 1):place - 1], words[place + 1:place + {RADIUS}]), ' ') AS context
 FROM placed""",
         "seeded_order": f"SELECT doc_id, lang, source FROM documents ORDER BY md5(doc_id || '#{SEED}'), doc_id",
         "seeded_numbers": f"""SELECT id FROM range(0, (SELECT count(*) FROM documents)) r(id)
 ORDER BY md5(id || '#{SEED}'), id LIMIT 50""",
         "shuffled_tokens": f"""WITH turns AS (SELECT conv_id, turn, {_split('text')} AS words FROM conversations),
-placed AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS at FROM turns)
-SELECT conv_id, turn, coalesce(string_agg(word, ' ' ORDER BY md5(at || '#{SEED}'), at), '') AS text
+placed AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM turns)
+SELECT conv_id, turn, coalesce(string_agg(word, ' ' ORDER BY md5(place || '#{SEED}'), place), '') AS text
 FROM turns LEFT JOIN placed USING (conv_id, turn) GROUP BY conv_id, turn""",
         "number_range": "SELECT id FROM range(0, (SELECT count(*) FROM documents), 3) r(id)",
         "top_by": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20",
