@@ -77,17 +77,16 @@ lexicon AS (
 def _sentence_lexicon(corpus: str) -> str:
     """``lexicon(key, dim, val)`` and ``words(key)`` trained on ordered sentences, pair by pair."""
     return f"""{_sentence_tokens('tokens', corpus)},
-words AS (SELECT DISTINCT word AS key FROM tokens),
-{_index('index_cells', 'tokens')},
-neighbours AS (
-  SELECT a.word AS key, b.word AS seen, (b.pos - a.pos) AS apart, count(*)::BIGINT AS n
-  FROM tokens a JOIN tokens b ON b.doc = a.doc AND b.sent = a.sent AND b.pos <> a.pos
-  GROUP BY ALL),
-lexicon AS (
-  SELECT key, dim, sum(n * val)::BIGINT AS val
-  FROM (SELECT key, (((i.dim + apart) % {SIZE} + {SIZE}) % {SIZE})::INTEGER AS dim, n, i.val
-    FROM neighbours JOIN index_cells i ON i.word = seen)
-  GROUP BY key, dim HAVING sum(n * val) <> 0)"""
+numbered AS (SELECT word, row_number() OVER ()::INTEGER AS id FROM (SELECT DISTINCT word FROM tokens)),
+words AS (SELECT word AS key FROM numbered),
+{_index('index_cells', 'numbered')},
+index_ids AS (SELECT id, dim, val::INTEGER AS val FROM index_cells JOIN numbered USING (word)),
+places AS (SELECT dense_rank() OVER (ORDER BY doc, sent) AS line, pos, id FROM tokens JOIN numbered USING (word)),
+sums AS (
+  SELECT a.id, ((i.dim + b.pos - a.pos) % {SIZE} + {SIZE}) % {SIZE} AS dim, sum(i.val)::BIGINT AS val
+  FROM places a JOIN places b ON b.line = a.line AND b.pos <> a.pos JOIN index_ids i ON i.id = b.id
+  GROUP BY ALL HAVING sum(i.val) <> 0),
+lexicon AS (SELECT word AS key, dim::INTEGER AS dim, val FROM sums JOIN numbered USING (id))"""
 
 
 UNIT = f"""lengths AS (SELECT key, sqrt(sum(val * val)) AS length FROM lexicon GROUP BY key),
@@ -172,6 +171,11 @@ kept AS (
 SELECT doc_id, coalesce(array_to_string(flatten(list(parts ORDER BY nr)), chr(10)), '') AS text FROM kept GROUP BY doc_id"""
 
 
+def heavy_oracles() -> dict[str, str]:
+    """Counterparts that add up every token pair of the documents: 14 GB at sf0.01."""
+    return {"train_sentence_documents": _digest(_sentence_lexicon("documents"))}
+
+
 def oracles() -> dict[str, str]:
     conversations = _window_lexicon("conversations")
     items = f"""WITH {conversations},
@@ -235,7 +239,6 @@ SELECT key, dim, {_rounded('val')} AS val FROM unit""",
 SELECT (SELECT count(*) FROM words)::BIGINT AS weight, dim, {_rounded('val', 9)} AS val FROM mean WHERE val <> 0""",
         "train_window": _digest(_window_lexicon("documents")),
         "train_sentence": _digest(_sentence_lexicon("conversations")),
-        "train_sentence_documents": _digest(_sentence_lexicon("documents")),
         "train_lines": _digest(_sentence_lexicon("conversations")),
         "merge_lexicon": _digest(_window_lexicon("documents", "conversations")),
         "word_lookup": f"""WITH {conversations},
