@@ -88,7 +88,7 @@ def test_own_trainer(spark):
 
         one = F.struct(F.array(F.lit(0)).alias("dims"), F.array(F.lit(1).cast("bigint")).alias("vals"))
         words = document_words(texts).select(F.col("word").alias("key"), F.lit(1).cast("bigint").alias("weight"))
-        return pack(words.withColumn("vec", one))
+        return pack(words.withColumn("vec", one), space.size)
 
     found = brute.as_dict(training.train(docs(spark, ["a b a", "b a"]), SPACE, counting))
     assert found == {"a": {0: 3}, "b": {0: 2}}

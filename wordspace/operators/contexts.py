@@ -76,7 +76,7 @@ def _add_window(table: PartialVectors, codes, radius, lo, hi, dims, signs) -> No
 
 
 def combine_contexts(space: VectorSpace, ordered: bool):
-    """Turn ``(tokens)`` rows into partial ``(key, weight, vec)`` rows, one per word and task.
+    """Turn ``(tokens)`` rows into packed partial rows, one per word and task.
 
     ``weight`` counts the occurrences of the word. Words without any context keep a
     row with an empty vector.

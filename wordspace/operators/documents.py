@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from wordspace.functions.text import each, line_array, token_array
 from wordspace.functions.vectors import length
 from wordspace.operators.partial import PartialVectors
-from wordspace.operators.sums import combine_local, merge_by_key, pack, sum_vectors
-from wordspace.operators.training import spread
-from wordspace.space import PACKED_REAL, VectorSpace
+from wordspace.operators.sums import combine_local, merge_by_key, pack, packed_schema, sum_vectors
+from wordspace.space import VectorSpace
 
 # Room for the vectors of the most frequent words, sent to every executor.
 FREQUENT_BYTES = 64 << 20
@@ -111,21 +110,21 @@ def text_vectors(
     """
     spark = texts.sparkSession
     split = {"token": token_array, "line": line_array}[unit]
-    rows = spread(texts.select(F.col(key).alias("key"), F.col(text).alias("text")))
-    rows = rows.select("key", split(F.col("text")).alias("tokens")).filter("key IS NOT NULL AND tokens IS NOT NULL")
+    known_texts = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
+    rows = known_texts.select(F.col(key).alias("key"), split(F.col(text)).alias("tokens"))
     words = each(rows, "tokens", "word", "key")
 
     frequent = _frequent(words, space)
     row_of, matrix = _matrix(lexicon.join(F.broadcast(frequent), "key", "left_semi"), space.size)
     sc = spark.sparkContext
     kernel = _add_frequent(space.size, sc.broadcast(row_of), sc.broadcast(matrix))
-    schema = f"key {rows.schema['key'].dataType.simpleString()}, weight bigint, vec {PACKED_REAL}"
-    here = rows.mapInArrow(kernel, schema)
+    here = rows.mapInArrow(kernel, packed_schema(rows.schema["key"].dataType.simpleString(), real=True))
 
     rare = words.join(F.broadcast(frequent.withColumnRenamed("key", "word")), "word", "left_anti")
+    one = F.lit(1).cast("bigint").alias("weight")
     factor = F.coalesce(1 / F.nullif(length(F.col("vec")), F.lit(0.0)), F.lit(0.0))
-    unit_rows = pack(lexicon.select(F.col("key").alias("word"), factor.alias("factor"), "vec"))
-    joined = rare.join(unit_rows, "word").select("key", F.lit(1).cast("bigint").alias("weight"), "factor", "vec")
+    unit_rows = pack(lexicon.select(F.col("key").alias("word"), one, factor.alias("factor"), "vec"), space.size)
+    joined = rare.join(unit_rows, "word").select("key", "weight", "factor", "vec")
     there = combine_local(joined, space.size, real=True)
     return merge_by_key(
         here.unionByName(there), space.size, real=True, centre=_mean_array(lexicon, space)

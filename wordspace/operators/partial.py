@@ -5,8 +5,9 @@ into ``(key, dim, val)`` rows first costs thousands of rows per token, so the ad
 is done where the contribution arises: each task keeps a bounded table of partial
 vectors and hands on one row per key. Grouping keys across tasks stays with Spark.
 
-Between such steps vectors travel packed, as one blob of dims and one of values: Spark
-copies a blob whole where it converts an array element by element.
+Between such steps vectors travel packed, as one blob of dims and one of values: four
+bytes a cell instead of twelve, and Spark copies a blob whole where it converts an array
+element by element.
 """
 
 from __future__ import annotations
@@ -25,38 +26,76 @@ def read_cells(vecs: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     first, second = vecs.field(0), vecs.field(1)
     if pa.types.is_list(first.type):
         return first.offsets.to_numpy(), first.values.to_numpy(), second.values.to_numpy()
-    kind = np.float64 if vecs.type.field(1).name == "reals" else np.int64
-    edges = np.frombuffer(first.buffers()[1], np.int32, len(vecs) + 1, first.offset * 4) // 4
-    empty = not edges[-1]
-    dims = np.empty(0, np.int32) if empty else np.frombuffer(first.buffers()[2], np.int32, edges[-1])
-    vals = np.empty(0, kind) if empty else np.frombuffer(second.buffers()[2], kind, edges[-1])
-    return edges, dims, vals
+    kind = np.dtype(np.float64 if vecs.type.field(1).name == "reals" else np.int16)
+    edges = np.frombuffer(second.buffers()[1], np.int32, len(vecs) + 1) // kind.itemsize
+    if not edges[-1]:
+        return edges, np.empty(0, np.uint16), np.empty(0, kind)
+    wide = np.frombuffer(first.buffers()[1], np.int32, len(vecs) + 1)[-1] == 4 * edges[-1]
+    dims = np.frombuffer(first.buffers()[2], np.int32 if wide else np.uint16, edges[-1])
+    return edges, dims, np.frombuffer(second.buffers()[2], kind, edges[-1])
 
 
-def write_cells(edges: np.ndarray, dims: np.ndarray, vals: np.ndarray, packed: bool) -> pa.StructArray:
+def plain_cells(edges: np.ndarray, dims: np.ndarray, vals: np.ndarray) -> pa.StructArray:
     """The vector column of the given row edges and cells."""
-    dims = dims.astype(np.int32, copy=False)
-    if not packed:
-        offsets = pa.array(edges.astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(part)) for part in (dims, vals)]
-        return pa.StructArray.from_arrays(lists, ["dims", "vals"])
+    offsets = pa.array(edges.astype(np.int32))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(part)) for part in (dims.astype(np.int32), vals)]
+    return pa.StructArray.from_arrays(lists, ["dims", "vals"])
+
+
+def packed_cells(edges: np.ndarray, dims: np.ndarray, vals: np.ndarray, size: int) -> pa.StructArray:
+    """The packed vector column: two bytes a dim below 65536, two a whole number."""
 
     def blob(part: np.ndarray) -> pa.Array:
         offsets = pa.py_buffer((edges * part.itemsize).astype(np.int32))
-        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, pa.py_buffer(part)])
+        data = pa.py_buffer(np.ascontiguousarray(part))
+        return pa.Array.from_buffers(pa.binary(), len(edges) - 1, [None, offsets, data])
 
-    return pa.StructArray.from_arrays(
-        [blob(dims), blob(np.ascontiguousarray(vals))], ["dims", "reals" if vals.dtype.kind == "f" else "ints"]
-    )
+    dims = dims.astype(np.uint16 if size <= 1 << 16 else np.int32)
+    return pa.StructArray.from_arrays([blob(dims), blob(vals)], ["dims", "reals" if vals.dtype.kind == "f" else "ints"])
 
 
-def pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pack the ``vec`` column, the last one, of any rows."""
-    for batch in batches:
-        names = batch.schema.names
-        edges, dims, vals = read_cells(batch.column("vec"))
-        packed = write_cells(edges - edges[0], dims[edges[0] : edges[-1]], vals[edges[0] : edges[-1]], True)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], names)
+def digits(edges: np.ndarray, dims: np.ndarray, vals: np.ndarray) -> Iterator[tuple]:
+    """``(rows, times, edges, dims, vals)``: vectors whose sum, each counted ``times``, is the input.
+
+    Nearly all partial sums fit two bytes. One that does not goes on as several rows, each
+    holding 15 bits of it; real vectors go on as they are.
+    """
+    rows, times = np.arange(len(edges) - 1), 1
+    if vals.dtype.kind == "f":
+        yield rows, times, edges, dims, vals
+        return
+
+    def only(kept: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(kept)))[edges]
+
+    while True:
+        low = ((vals + 0x4000) & 0x7FFF) - 0x4000
+        kept = low != 0
+        yield rows, times, only(kept, edges), dims[kept], low[kept].astype(np.int16)
+        vals = (vals - low) >> 15
+        kept = vals != 0
+        if not kept.any():
+            return
+        edges, dims, vals, times = only(kept, edges), dims[kept], vals[kept], times << 15
+        some = np.diff(edges) > 0
+        rows, edges = rows[some], np.concatenate((edges[:-1][some], edges[-1:]))
+
+
+def pack_rows(size: int):
+    """Pack the ``vec`` column, the last one, of rows whose last but one is ``factor``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges, dims, vals = read_cells(batch.column("vec"))
+            for rows, times, *cells in digits(edges, dims[: edges[-1]], vals[: edges[-1]]):
+                columns = {name: batch.column(name).take(pa.array(rows)) for name in batch.schema.names[:-1]}
+                columns["factor"] = pa.array(columns["factor"].to_numpy() * times)
+                if times > 1 and "weight" in columns:
+                    columns["weight"] = pa.array(np.zeros(len(rows), np.int64))
+                arrays = [*columns.values(), packed_cells(*cells, size)]
+                yield pa.RecordBatch.from_arrays(arrays, batch.schema.names)
+
+    return run
 
 
 class PartialVectors:
@@ -68,7 +107,6 @@ class PartialVectors:
     """
 
     def __init__(self, size: int, dtype, ordered: bool = False, centre: np.ndarray | None = None):
-        # Keys that may still meet others later are handed on packed, finished ones plain.
         self.size, self.ordered, self.centre = size, ordered, centre
         self.capacity = max(16, TABLE_BYTES // (8 * size))
         self.sums = np.zeros((self.capacity, size), dtype)
@@ -111,10 +149,12 @@ class PartialVectors:
         self.last_row = self.rows[codes[-1]]
 
     def release(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        """Yield the given rows as ``(key, weight, vec)`` and make room for others."""
+        """Yield the given rows and make room for others: ``(key, weight, vec)`` with plain
+        vectors if they are finished, ``(key, weight, factor, vec)`` with packed ones if not.
+        """
         step = max(1, OUTPUT_CELLS // self.size)
         for at in range(0, len(rows), step):
-            yield self._batch(rows[at : at + step])
+            yield from self._batches(rows[at : at + step])
         self.sums[rows] = 0
         self.weights[rows] = 0
         for row in rows.tolist():
@@ -126,20 +166,28 @@ class PartialVectors:
         if self.row_of:
             yield from self.release(np.fromiter(self.row_of.values(), np.int64, len(self.row_of)))
 
-    def _batch(self, rows: np.ndarray) -> pa.RecordBatch:
+    def _batches(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         block = self.sums[rows]
         if self.centre is not None:
             block -= self.weights[rows][:, None] * self.centre
         block = block.reshape(-1)
         at = np.flatnonzero(block != 0)
-        edges = np.searchsorted(at, np.arange(len(rows) + 1) * self.size)
-        vec = write_cells(edges, at % self.size, block[at], packed=not self.ordered)
+        cells = np.searchsorted(at, np.arange(len(rows) + 1) * self.size), at % self.size, block[at]
         keys = pa.array([self.keys[r] for r in rows.tolist()], self.key_type)
-        return pa.RecordBatch.from_arrays([keys, pa.array(self.weights[rows]), vec], ["key", "weight", "vec"])
+        weights = self.weights[rows]
+        if self.ordered:
+            columns = [keys, pa.array(weights), plain_cells(*cells)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "weight", "vec"])
+            return
+        for some, times, *part in digits(*cells):
+            counted = weights[some] if times == 1 else np.zeros(len(some), np.int64)
+            factor = pa.array(np.full(len(some), times, block.dtype))
+            columns = [keys.take(pa.array(some)), pa.array(counted), factor, packed_cells(*part, self.size)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "weight", "factor", "vec"])
 
 
 def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None = None, unit: bool = False):
-    """Sum ``(key, weight, factor, vec)`` rows into ``(key, weight, vec)`` rows.
+    """Sum ``(key, weight, factor, vec)`` rows by key, finishing the keys of ``ordered`` input.
 
     With ``unit`` every incoming vector is brought to unit length first; zero vectors
     stay zero.
@@ -162,7 +210,7 @@ def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None
                 np.add.at(table.weights, rows, weight[lo:hi])
                 counts = np.diff(edges[lo : hi + 1])
                 cells = slice(edges[lo], edges[hi])
-                at = np.repeat(rows * size, counts) + dim[cells]
+                at = np.repeat(rows * size, counts) + dim[cells].astype(np.int64)
                 values, times = val[cells].astype(dtype, copy=False), factor[lo:hi]
                 if unit:
                     squares = np.bincount(np.repeat(np.arange(hi - lo), counts), values * values, minlength=hi - lo)

@@ -10,30 +10,42 @@ from wordspace.operators.partial import add_rows, pack_rows
 from wordspace.space import INT_VECTOR, PACKED_INT, PACKED_REAL, REAL_VECTOR
 
 
-def _schema(rows: DataFrame, vec: str) -> str:
-    key = rows.schema["key"].dataType.simpleString()
-    return f"key {key}, weight bigint, vec {vec}"
+def _key_type(rows: DataFrame) -> str:
+    return rows.schema["key"].dataType.simpleString()
+
+
+def packed_schema(key_type: str, real: bool = False) -> str:
+    """Schema of the packed rows between two steps of a sum."""
+    number, vec = ("double", PACKED_REAL) if real else ("bigint", PACKED_INT)
+    return f"key {key_type}, weight bigint, factor {number}, vec {vec}"
 
 
 def _rows(rows: DataFrame, real: bool) -> DataFrame:
     """The columns the summing step reads; rows with no factor of their own count once."""
     factor = F.col("factor") if "factor" in rows.columns else F.lit(1)
-    return rows.select("key", "weight", factor.cast("double" if real else "bigint").alias("factor"), "vec")
+    known = rows.filter(F.col("key").isNotNull())
+    return known.select("key", "weight", factor.cast("double" if real else "bigint").alias("factor"), "vec")
 
 
-def pack(rows: DataFrame) -> DataFrame:
-    """The rows with their ``vec`` packed, for steps that move it repeatedly."""
-    others = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns if c != "vec"]
+def pack(rows: DataFrame, size: int) -> DataFrame:
+    """The rows with their ``vec`` packed, for steps that move it repeatedly.
+
+    A vector with values beyond two bytes becomes several rows, told apart by ``factor``.
+    """
     real = "array<double>" in rows.schema["vec"].dataType.simpleString()
-    schema = ", ".join([*others, f"vec {PACKED_REAL if real else PACKED_INT}"])
-    return rows.select(*[c for c in rows.columns if c != "vec"], "vec").mapInArrow(pack_rows, schema)
+    if "factor" not in rows.columns:
+        rows = rows.withColumn("factor", F.lit(1).cast("double" if real else "bigint"))
+    first = [c for c in rows.columns if c not in ("factor", "vec")]
+    rows = rows.select(*first, "factor", "vec")
+    fields = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns[:-1]]
+    schema = ", ".join([*fields, f"vec {PACKED_REAL if real else PACKED_INT}"])
+    return rows.mapInArrow(pack_rows(size), schema)
 
 
 def combine_local(rows: DataFrame, size: int, real: bool = False, unit: bool = False) -> DataFrame:
     """One packed partial row per key and task, without a shuffle."""
     dtype = np.float64 if real else np.int64
-    schema = _schema(rows, PACKED_REAL if real else PACKED_INT)
-    return _rows(rows, real).mapInArrow(add_rows(size, dtype, unit=unit), schema)
+    return _rows(rows, real).mapInArrow(add_rows(size, dtype, unit=unit), packed_schema(_key_type(rows), real))
 
 
 def merge_by_key(
@@ -47,11 +59,12 @@ def merge_by_key(
     ``weight`` times from each finished vector.
     """
     dtype = np.float64 if real else np.int64
+    schema = f"key {_key_type(partial)}, weight bigint, vec {REAL_VECTOR if real else INT_VECTOR}"
     return (
-        _rows(partial.filter(F.col("key").isNotNull()), real)
+        _rows(partial, real)
         .repartition("key")
         .sortWithinPartitions("key")
-        .mapInArrow(add_rows(size, dtype, ordered=True, centre=centre), _schema(partial, REAL_VECTOR if real else INT_VECTOR))
+        .mapInArrow(add_rows(size, dtype, ordered=True, centre=centre), schema)
     )
 
 

@@ -32,7 +32,7 @@ def merge_topics(topics: DataFrame | None, trained: DataFrame, space: VectorSpac
     rows = trained.select(*columns)
     if topics is not None:
         rows = rows.unionByName(topics.select(*columns))
-    return merge_by_key(pack(rows), space.size, real=True)
+    return merge_by_key(pack(rows, space.size), space.size, real=True)
 
 
 def assign_topics(

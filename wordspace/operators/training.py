@@ -1,7 +1,7 @@
 """Training word vectors from texts and merging them into a lexicon.
 
 A lexicon is ``(key, vec)``, one row per word. A trainer is any function that turns
-texts into partial ``(key, weight, vec)`` rows, packed; the three of this module are the ones
+texts into the packed partial rows of :func:`wordspace.operators.sums.pack`; the three of this module are the ones
 the commands use.
 """
 
@@ -14,27 +14,19 @@ from pyspark.sql import functions as F
 
 from wordspace.functions.text import each, sentence_array, token_array
 from wordspace.operators.contexts import combine_contexts
-from wordspace.operators.sums import merge_by_key, pack
-from wordspace.space import INT_VECTOR, PACKED_INT, VectorSpace
+from wordspace.operators.sums import merge_by_key, pack, packed_schema
+from wordspace.space import INT_VECTOR, VectorSpace
 
 Trainer = Callable[[DataFrame, VectorSpace], DataFrame]
 
-PARTIAL_SCHEMA = f"key string, weight bigint, vec {PACKED_INT}"
-
-
-def spread(texts: DataFrame) -> DataFrame:
-    """Use every core on an input of few splits; larger inputs pass unchanged."""
-    wanted = texts.sparkSession.sparkContext.defaultParallelism
-    return texts if texts.rdd.getNumPartitions() >= wanted else texts.repartition(wanted)
-
 
 def _contexts(token_rows: DataFrame, space: VectorSpace, ordered: bool) -> DataFrame:
-    return token_rows.mapInArrow(combine_contexts(space, ordered), PARTIAL_SCHEMA)
+    return token_rows.mapInArrow(combine_contexts(space, ordered), packed_schema("string"))
 
 
 def from_sentences(docs: DataFrame, space: VectorSpace, text: str = "text") -> DataFrame:
     """Every token sees its whole sentence, each neighbour turned by its distance."""
-    parts = each(spread(docs.select(text)), sentence_array(F.col(text)), "sentence")
+    parts = each(docs, sentence_array(F.col(text)), "sentence")
     return from_lines(parts, space, "sentence")
 
 
@@ -46,7 +38,7 @@ def from_lines(lines: DataFrame, space: VectorSpace, line: str = "value") -> Dat
 
 def from_windows(docs: DataFrame, space: VectorSpace, text: str = "text") -> DataFrame:
     """Every token sees the tokens within the radius, across the whole document."""
-    rows = spread(docs.select(text)).filter(F.col(text).isNotNull())
+    rows = docs.filter(F.col(text).isNotNull())
     return _contexts(rows.select(token_array(F.col(text)).alias("tokens")), space, ordered=False)
 
 
@@ -62,7 +54,7 @@ def merge_lexicon(lexicon: DataFrame | None, partial: DataFrame, space: VectorSp
     """
     if lexicon is not None:
         stored = lexicon.select("key", F.lit(0).cast("bigint").alias("weight"), "vec")
-        partial = partial.unionByName(pack(stored))
+        partial = partial.unionByName(pack(stored, space.size))
     return merge_by_key(partial, space.size).select("key", "vec")
 
 

@@ -13,7 +13,7 @@ from wordspace.operators.lookup import get_or_error
 from wordspace.operators.similarity import compare
 from wordspace.operators.topics import TOPICS_PER_TEXT, assign_topics, merge_topics, topic_vectors
 from wordspace.operators.training import Trainer, from_sentences, train
-from wordspace.sources.files import prepare, whole_files
+from wordspace.sources.files import prepare, spread, whole_files
 from wordspace.sources.scratch import materialize
 from wordspace.sources.store import KINDS, Store, Table, TableMissing
 from wordspace.space import VectorSpace
@@ -38,7 +38,7 @@ class Workbench:
 
     def texts(self, dataset: str) -> DataFrame:
         """``(doc_id, text)`` of a corpus."""
-        return self.store.open("corpus", dataset).rows
+        return spread(self.store.open("corpus", dataset).rows)
 
     def _open(self, kind: str, name: str, create: bool, space: VectorSpace | None) -> Table:
         return self.store.create(kind, name, space) if create else self.store.open(kind, name)

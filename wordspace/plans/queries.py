@@ -25,9 +25,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows take long to work on, in enough partitions for all cores."""
+    return files.spread(_table(spark, sf_dir, name))
+
+
 def _lexicon(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The window lexicon of a table's texts, written out for the steps that share it."""
-    return materialize(training.train(_table(spark, sf_dir, name), SPACE, training.from_windows))
+    return materialize(training.train(_texts(spark, sf_dir, name), SPACE, training.from_windows))
 
 
 def _rounded(value: Column, places: int = 6) -> Column:
@@ -82,7 +87,7 @@ def token_counts(spark, sf_dir):
 
 def sgml_sentences(spark, sf_dir):
     wrapped = F.concat(F.lit("<HEAD>\n<BODY>"), "text", F.lit("\n&#3;</BODY></HEAD>"))
-    return _table(spark, sf_dir, "documents").select("doc_id", T.sgml_to_sentences(wrapped).alias("text"))
+    return _texts(spark, sf_dir, "documents").select("doc_id", T.sgml_to_sentences(wrapped).alias("text"))
 
 
 def tag_contents(spark, sf_dir):
@@ -188,13 +193,13 @@ def vector_differences(spark, sf_dir):
 
 
 def normalized_vectors(spark, sf_dir):
-    lexicon = training.train(_table(spark, sf_dir, "benchmark"), SPACE, training.from_windows)
+    lexicon = training.train(_texts(spark, sf_dir, "benchmark"), SPACE, training.from_windows)
     unit = lexicon.select("key", V.normalize(F.col("vec")).alias("vec"))
     return cells_of(unit, "key").withColumn("val", _rounded(F.col("val")))
 
 
 def mean_vector(spark, sf_dir):
-    lexicon = training.train(_table(spark, sf_dir, "documents"), SPACE, training.from_windows)
+    lexicon = training.train(_texts(spark, sf_dir, "documents"), SPACE, training.from_windows)
     mean = documents.mean_vector(lexicon, SPACE)
     return cells_of(mean, "weight").select("weight", "dim", _rounded(F.col("val"), 9).alias("val"))
 
@@ -203,15 +208,15 @@ def mean_vector(spark, sf_dir):
 
 
 def train_window(spark, sf_dir):
-    return digest(training.train(_table(spark, sf_dir, "documents"), SPACE, training.from_windows))
+    return digest(training.train(_texts(spark, sf_dir, "documents"), SPACE, training.from_windows))
 
 
 def train_sentence(spark, sf_dir):
-    return digest(training.train(_table(spark, sf_dir, "conversations"), SPACE, training.from_sentences))
+    return digest(training.train(_texts(spark, sf_dir, "conversations"), SPACE, training.from_sentences))
 
 
 def train_sentence_documents(spark, sf_dir):
-    return digest(training.train(_table(spark, sf_dir, "documents"), SPACE, training.from_sentences))
+    return digest(training.train(_texts(spark, sf_dir, "documents"), SPACE, training.from_sentences))
 
 
 def train_lines(spark, sf_dir):
@@ -223,7 +228,7 @@ def train_lines(spark, sf_dir):
 def merge_lexicon(spark, sf_dir):
     """The lexicon of one table trained further on another."""
     first = _lexicon(spark, sf_dir, "documents")
-    more = _table(spark, sf_dir, "conversations")
+    more = _texts(spark, sf_dir, "conversations")
     return digest(training.train(more, SPACE, training.from_windows, first))
 
 
@@ -262,7 +267,7 @@ def compare_words(spark, sf_dir):
 
 def _item_vectors(spark, sf_dir):
     lexicon = _lexicon(spark, sf_dir, "conversations")
-    return documents.text_vectors(_table(spark, sf_dir, "benchmark"), lexicon, SPACE, key="item_id")
+    return documents.text_vectors(_texts(spark, sf_dir, "benchmark"), lexicon, SPACE, key="item_id")
 
 
 def document_vectors(spark, sf_dir):
@@ -271,7 +276,7 @@ def document_vectors(spark, sf_dir):
 
 
 def document_vectors_documents(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents")
+    docs = _texts(spark, sf_dir, "documents")
     found = documents.text_vectors(docs, _lexicon(spark, sf_dir, "documents"), SPACE)
     return found.select(
         F.col("key").alias("doc_id"), "weight", _rounded(V.length(F.col("vec")), 5).alias("length")
@@ -308,7 +313,7 @@ def _topic_documents(spark, sf_dir):
     body = F.concat(
         F.lit("<topics>\n"), "lang", F.lit("\n"), "source", F.lit("\n</topics>\n<body>"), "text", F.lit("</body>")
     )
-    return T.split_topics(_table(spark, sf_dir, "documents").select("doc_id", body.alias("text")))
+    return T.split_topics(_texts(spark, sf_dir, "documents").select("doc_id", body.alias("text")))
 
 
 def _topics(spark, sf_dir, lexicon):
@@ -331,7 +336,7 @@ def merge_topics(spark, sf_dir):
 
 def assign_topics(spark, sf_dir):
     lexicon = _lexicon(spark, sf_dir, "conversations")
-    texts = documents.text_vectors(_table(spark, sf_dir, "benchmark"), lexicon, SPACE, key="item_id")
+    texts = documents.text_vectors(_texts(spark, sf_dir, "benchmark"), lexicon, SPACE, key="item_id")
     best = topics.assign_topics(texts, _topics(spark, sf_dir, lexicon), SPACE)
     return best.select(
         F.col("left_key").alias("item_id"), "rank", F.col("right_key").alias("topic"),

@@ -20,6 +20,15 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core on a scan of few splits; larger scans pass unchanged.
+
+    Meant for plain scans, whose split count is known without running anything.
+    """
+    wanted = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
+
+
 def prepare(files: DataFrame, how=None) -> DataFrame:
     """``(doc_id, text)`` with the text prepared by ``how``, a function of columns.
 
