@@ -112,12 +112,20 @@ def test_lists(vectors):
         assert r.similarities == [by_pair[r.left_key, b] for b in names]
 
 
-def test_given_pairs(spark, vectors):
+@pytest.mark.parametrize("room", [1, 64 << 20], ids=["join", "broadcast"])
+def test_given_pairs(spark, vectors, monkeypatch, room):
+    monkeypatch.setattr(similarity, "FREQUENT_BYTES", room)
     vecs = {k: v for k, (_, v) in dense(vectors).items()}
     pairs = spark.createDataFrame([(0, 1), (1, 0), (0, 0), (0, 999)], "a int, b int")
     found = {(r.a, r.b): r.similarity for r in similarity.compare(vectors, pairs, SPACE).collect()}
     assert found[0, 1] == pytest.approx(brute.cosine(vecs[0], vecs[1])) and found[0, 1] == pytest.approx(found[1, 0])
     assert found[0, 0] == pytest.approx(1) and found[0, 999] is None
+    many = spark.createDataFrame([(a, b) for a in range(20) for b in [0, *range(20, 40)]], "a int, b int")
+    assert similarity.compare(vectors, many, SPACE).count() == 20 * 21
+    got = {r.a: r.similarity for r in similarity.compare(vectors, many, SPACE).filter("b = 0").collect()}
+    assert len(got) == 20
+    for a, s in got.items():
+        assert s == (pytest.approx(brute.cosine(vecs[a], vecs[0])) if a in vecs else None)
 
 
 def test_topics(spark, lexicon, known):

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordspace.functions.vectors import cosine_function
+from wordspace.operators.documents import FREQUENT_BYTES
+from wordspace.sources.scratch import materialize
 from wordspace.space import REAL_VECTOR, VectorSpace
 
 BLOCK_BYTES = 32 << 20
@@ -20,18 +22,40 @@ def compare(vectors: DataFrame, pairs: DataFrame, space: VectorSpace, a: str = "
     """``pairs`` with the similarity of the vectors named in two columns.
 
     NULL where a vector is missing or zero. The vectors the pairs name are picked out
-    first, so the vector table is read once and only those rows go on.
+    first and written, so the vector table is read once and only those rows go on.
+
+    The keys named most often are served last, by broadcast: at most ``FREQUENT_BYTES`` of
+    vectors whatever the data. The joins by key before that carry no vector but those of
+    the other keys, each of which names less than one part in that many of the rows; rows
+    with a frequent key pass through them spread by a hash of their own.
     """
-    names = pairs.select(F.col(a).alias("key")).union(pairs.select(F.col(b).alias("key"))).distinct()
-    wanted = vectors.select("key", "vec").join(names, "key", "left_semi")
-    left = wanted.select(F.col("key").alias(a), F.col("vec").alias("_left"))
-    right = wanted.select(F.col("key").alias(b), F.col("vec").alias("_right"))
-    cosine = cosine_function(space.size)
-    return (
-        pairs.join(left, a, "left")
-        .join(right, b, "left")
-        .select(*pairs.columns, cosine("_left", "_right").alias("similarity"))
-    )
+    both = pairs.select(F.explode(F.array(a, b)).alias("key"))
+    counts = materialize(both.filter(F.col("key").isNotNull()).groupBy("key").count())
+    wanted = materialize(vectors.select("key", "vec").join(counts, "key", "left_semi"))
+    room = max(16, FREQUENT_BYTES // (8 * space.size))
+    top = counts.orderBy(F.desc("count"), "key").limit(room).select("key")
+    frequent = wanted.join(F.broadcast(top), "key", "left_semi")
+
+    rows = pairs
+    for key in (a, b):
+        marked = top.select(F.col("key").alias(key), F.lit(True).alias(f"_often_{key}"))
+        rows = rows.join(F.broadcast(marked), key, "left")
+    for key in (a, b):
+        often = F.col(f"_often_{key}").isNotNull()
+        rows = rows.withColumn(f"_key_{key}", F.when(~often, F.col(key))).withColumn(
+            f"_salt_{key}", F.when(often, F.xxhash64(a, b)).otherwise(0)
+        )
+        seldom = wanted.select(
+            F.col("key").alias(f"_key_{key}"),
+            # Always 0, in a form the optimizer keeps as a join key.
+            F.expr("pmod(xxhash64(key), 1L)").alias(f"_salt_{key}"),
+            F.col("vec").alias(f"_seldom_{key}"),
+        )
+        rows = rows.join(seldom, [f"_key_{key}", f"_salt_{key}"], "left")
+    for key in (a, b):
+        rows = rows.join(F.broadcast(frequent.select(F.col("key").alias(key), F.col("vec").alias(f"_vec_{key}"))), key, "left")
+    vecs = [F.coalesce(f"_vec_{key}", f"_seldom_{key}") for key in (a, b)]
+    return rows.select(*pairs.columns, cosine_function(space.size)(*vecs).alias("similarity"))
 
 
 def _unit_rows(column: pa.ChunkedArray, size: int) -> np.ndarray:
