@@ -6,12 +6,15 @@ cell by cell or, for large lexicons, by a digest of every vector.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordspace.functions import text as T
 from wordspace.functions import vectors as V
 from wordspace.operators import documents, lookup, similarity, sums, topics, training, windows
+from wordspace.operators.partial import read_cells
 from wordspace.plans.commands import Workbench
 from wordspace.sources import files
 from wordspace.sources.scratch import materialize, scratch_path
@@ -39,21 +42,20 @@ def _rounded(value: Column, places: int = 6) -> Column:
     return F.round(value, places) + F.lit(0.0)
 
 
+def _digest_batches(batches):
+    for batch in batches:
+        edges, dims, vals = read_cells(batch.column("vec"))
+        at = dims.astype(np.int64) + 1
+        columns = [batch.column("key"), pa.array(np.diff(edges).astype(np.int64))]
+        for term in (vals, vals * vals, at * vals, at * vals * vals):
+            columns.append(pa.array(np.diff(np.concatenate(([0], np.cumsum(term)))[edges])))
+        yield pa.RecordBatch.from_arrays(columns, ["key", "cells", "total", "squares", "moment", "spread"])
+
+
 def digest(lexicon: DataFrame) -> DataFrame:
     """Per key: number of cells, and sums that any wrong cell would change."""
-    zero = F.lit(0).cast("bigint")
-    cells = F.arrays_zip(F.col("vec.dims").alias("dim"), F.col("vec.vals").alias("val"))
-
-    def total(term) -> Column:
-        return F.aggregate(cells, zero, lambda s, c: s + term(c["dim"].cast("bigint") + 1, c["val"]))
-
-    return lexicon.select(
-        "key",
-        F.size("vec.dims").cast("bigint").alias("cells"),
-        total(lambda d, v: v).alias("total"),
-        total(lambda d, v: v * v).alias("squares"),
-        total(lambda d, v: d * v).alias("moment"),
-        total(lambda d, v: d * d * v * v).alias("spread"),
+    return lexicon.select("key", "vec").mapInArrow(
+        _digest_batches, "key string, cells bigint, total bigint, squares bigint, moment bigint, spread bigint"
     )
 
 

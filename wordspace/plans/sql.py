@@ -21,7 +21,7 @@ CORPORA = {
 
 DIGEST = """count(dim)::BIGINT AS cells, coalesce(sum(val), 0)::BIGINT AS total,
   coalesce(sum(val * val), 0)::BIGINT AS squares, coalesce(sum((dim + 1) * val), 0)::BIGINT AS moment,
-  coalesce(sum((dim + 1) * (dim + 1) * val * val), 0)::BIGINT AS spread"""
+  coalesce(sum((dim + 1) * val * val), 0)::BIGINT AS spread"""
 
 
 def _split(text: str, pattern: str = TOKEN_BREAK) -> str:
