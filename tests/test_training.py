@@ -50,6 +50,14 @@ def test_windows(spark, texts):
     assert found == brute.windowed(texts, SPACE)
 
 
+@pytest.mark.parametrize("trainer", [training.from_sentences, training.from_windows])
+def test_dims_beyond_two_bytes(spark, trainer):
+    wide, texts = VectorSpace(70_000, 6, 2), random_texts(10, 6) + TEXTS
+    expected = brute.ordered(lines_of(texts), wide) if trainer is training.from_sentences else brute.windowed(texts, wide)
+    first = training.train(docs(spark, texts[:4]), wide, trainer)
+    assert brute.as_dict(training.train(docs(spark, texts[4:]), wide, trainer, first)) == expected
+
+
 def test_lines(spark):
     lines = lines_of(TEXTS)
     rows = spark.createDataFrame([(s,) for s in lines] + [(None,)], "value string")

@@ -16,7 +16,7 @@ TOKENS_AT_ONCE = 1 << 15
 
 
 class _IndexVectors:
-    """Index vectors of the words of a batch, remembering those of earlier batches."""
+    """Index vectors of words, remembering those of earlier batches; five bytes a cell."""
 
     def __init__(self, size: int, k: int):
         self.size, self.k = size, k
@@ -27,7 +27,8 @@ class _IndexVectors:
         self.dims = np.empty((0, self.k), np.int32)
         self.signs = np.empty((0, self.k), np.int8)
 
-    def of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, words: list[str]) -> np.ndarray:
+        """Where the words stand in ``dims`` and ``signs``."""
         if len(self.at) > WORDS_REMEMBERED:
             self._forget()
         unseen = [w for w in words if w not in self.at]
@@ -36,11 +37,14 @@ class _IndexVectors:
             self.at.update(zip(unseen, range(len(self.at), len(self.at) + len(unseen))))
             self.dims = np.concatenate((self.dims, dims.astype(np.int32)))
             self.signs = np.concatenate((self.signs, signs.astype(np.int8)))
-        rows = np.fromiter((self.at[w] for w in words), np.int64, len(words))
-        return self.dims[rows].astype(np.int64), self.signs[rows].astype(np.int64)
+        return np.fromiter((self.at[w] for w in words), np.int64, len(words))
 
+    def of(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Dims and signs at the given places, a row each."""
+        return self.dims[places].astype(np.int64), self.signs[places].astype(np.int64)
 
-def _add_ordered(table: PartialVectors, codes, whole, lo, hi, dims, signs) -> None:
+
+def _add_ordered(table: PartialVectors, index: _IndexVectors, codes, places, whole, lo, hi) -> None:
     """Token ``i`` sees every other token ``j`` turned by ``j - i``.
 
     ``whole`` is the sum of all tokens ``j`` turned by ``j``, doubled end to end, so the
@@ -52,27 +56,27 @@ def _add_ordered(table: PartialVectors, codes, whole, lo, hi, dims, signs) -> No
     for i, row in zip(range(lo, hi), rows.tolist()):
         at = i % size
         sums[row] += whole[at : at + size]
-    mine = codes[lo:hi]
-    np.subtract.at(table.flat, (rows[:, None] * size + dims[mine]).ravel(), signs[mine].ravel())
+    dims, signs = index.of(places[lo:hi])
+    np.subtract.at(table.flat, (rows[:, None] * size + dims).ravel(), signs.ravel())
 
 
-def _whole_sentence(codes, size, dims, signs) -> np.ndarray:
-    total = np.zeros(size, np.int64)
-    for lo in range(0, len(codes), TOKENS_AT_ONCE):
-        part = codes[lo : lo + TOKENS_AT_ONCE]
-        turned = (dims[part] + np.arange(lo, lo + len(part))[:, None]) % size
-        np.add.at(total, turned.ravel(), signs[part].ravel())
+def _whole_sentence(index: _IndexVectors, places) -> np.ndarray:
+    total = np.zeros(index.size, np.int64)
+    for lo in range(0, len(places), TOKENS_AT_ONCE):
+        dims, signs = index.of(places[lo : lo + TOKENS_AT_ONCE])
+        turned = (dims + np.arange(lo, lo + len(dims))[:, None]) % index.size
+        np.add.at(total, turned.ravel(), signs.ravel())
     return np.concatenate((total, total))
 
 
-def _add_window(table: PartialVectors, codes, radius, lo, hi, dims, signs) -> None:
+def _add_window(table: PartialVectors, index: _IndexVectors, codes, places, radius, lo, hi) -> None:
     """Token ``i`` sees the tokens at most ``radius`` places away, unturned."""
     for offset in range(-radius, radius + 1):
         first, last = max(lo, -offset), min(hi, len(codes) - offset)
         if offset and first < last:
-            seen = codes[first + offset : last + offset]
+            dims, signs = index.of(places[first + offset : last + offset])
             rows = table.rows[codes[first:last]]
-            np.add.at(table.flat, (rows[:, None] * table.size + dims[seen]).ravel(), signs[seen].ravel())
+            np.add.at(table.flat, (rows[:, None] * table.size + dims).ravel(), signs.ravel())
 
 
 def combine_contexts(space: VectorSpace, ordered: bool):
@@ -91,19 +95,19 @@ def combine_contexts(space: VectorSpace, ordered: bool):
             texts = batch.column("tokens")
             words = texts.values.dictionary_encode()
             all_codes = words.indices.to_numpy()
-            dims, signs = index.of(table.start_batch(words.dictionary))
+            all_places = index.places(table.start_batch(words.dictionary))[all_codes]
             edges = texts.offsets.to_numpy().tolist()
             for begin, end in zip(edges, edges[1:]):
-                codes = all_codes[begin:end]
-                whole = _whole_sentence(codes, size, dims, signs) if ordered and end > begin else None
+                codes, places = all_codes[begin:end], all_places[begin:end]
+                whole = _whole_sentence(index, places) if ordered and end > begin else None
                 for lo in range(0, len(codes), piece):
                     hi = min(lo + piece, len(codes))
                     yield from table.reserve(codes[lo:hi])
                     np.add.at(table.weights, table.rows[codes[lo:hi]], 1)
                     if ordered:
-                        _add_ordered(table, codes, whole, lo, hi, dims, signs)
+                        _add_ordered(table, index, codes, places, whole, lo, hi)
                     else:
-                        _add_window(table, codes, radius, lo, hi, dims, signs)
+                        _add_window(table, index, codes, places, radius, lo, hi)
         yield from table.finish()
 
     return run

@@ -64,6 +64,9 @@ def digits(edges: np.ndarray, dims: np.ndarray, vals: np.ndarray) -> Iterator[tu
     if vals.dtype.kind == "f":
         yield rows, times, edges, dims, vals
         return
+    if not len(vals) or -0x8000 <= vals.min() and vals.max() < 0x8000:
+        yield rows, times, edges, dims, vals.astype(np.int16)
+        return
 
     def only(kept: np.ndarray, edges: np.ndarray) -> np.ndarray:
         return np.concatenate(([0], np.cumsum(kept)))[edges]
