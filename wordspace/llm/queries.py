@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordspace.llm import lm
+from wordspace.llm import chat, exact_dedup, lm
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,8 +25,62 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", remainder("doc_id", 7) == 2)
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copy that stays, for each document."""
+    return exact_dedup.assign(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS points,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY h) AS group_size,
+       row_number() OVER w = 1 AS kept, h AS text_sha256
+FROM d WINDOW w AS (PARTITION BY h ORDER BY points DESC, doc_id)
+"""
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts look like control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    tricky = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return chat.digests(chat.conversations(chat.chains(turns.unionByName(tricky))))
+
+
+def _escaped_sql(column: str) -> str:
+    out = f"replace({column}, '&', '&amp;')"
+    for control in chat.CONTROLS:
+        out = f"replace({out}, '{control}', '{chat.ENTITIES[control[0]] + control[1:]}')"
+    return out
+
+
+OP8_SQL = f"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (
+  SELECT conv_id, count(*) AS n_turns,
+         sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+         sum({len(chat.TURN + chat.END) + 1} + length(replace({_escaped_sql('role')}, chr(10), '&#10;'))
+             + length({_escaped_sql('text')})) AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256,
+       formatted_chars::BIGINT AS formatted_chars
+FROM c
+"""
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op8_chat_formatting": op8_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_exact_dedup": OP6_SQL,
+    "op8_chat_formatting": OP8_SQL,
+}
