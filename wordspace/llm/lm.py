@@ -187,13 +187,20 @@ def _count_pairs(path: str, starts, hot, buckets: int):
     return task
 
 
-SUMS = pa.schema([("bucket", pa.int64()), ("kind", pa.int64()), ("rows", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
-SUMS_DDL = "bucket bigint, kind bigint, rows bigint, keys binary, counts binary"
+#: Most groups in which the per-word sums are added up, so that a bucket of pairs hands on a bounded number of blocks.
+SUM_GROUPS = 128
+
+
+def _group_starts(starts, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """First bucket of words, and first number, of each group of neighbouring buckets."""
+    groups = min(buckets, SUM_GROUPS)
+    first = -(-np.arange(groups + 1) * buckets // groups)
+    return first, np.asarray(starts, np.int64)[first]
 
 
 def _store_pairs(path: str, starts):
-    """Writes one bucket of pairs; hands on its per-word sums (kinds 0-3) and its counts of counts (kind 4)."""
-    edges = np.asarray(starts, np.int64)
+    """Writes one bucket of pairs; hands on its per-word sums, and its counts of counts as bucket -1."""
+    _, edges = _group_starts(starts, len(starts) - 1)
 
     def group(key, table):
         bucket = key[0].as_py()
@@ -204,18 +211,14 @@ def _store_pairs(path: str, starts):
         write_array(f"{path}/pairs/{bucket}.at", large.astype(np.int64))
         write_array(f"{path}/pairs/{bucket}.large", counts[large])
         first, second = keys >> np.uint64(32), keys & np.uint64(NUMBERS - 1)
-        own = [tally(first[counts == 1]), tally(first[counts == 2]), tally(first[counts > 2]), tally(second)]
-        out = [
-            (batch.append_column("kind", pa.array([kind] * batch.num_rows, pa.int64())))
-            for kind, (words, sums) in enumerate(own)
-            # The start has the number after the last word and belongs to the last bucket.
-            for batch in [blocks(words, sums, np.minimum(np.searchsorted(edges, words.astype(np.int64), "right") - 1, edges.size - 2))]
-        ]
+        # The last two bits say which sum of a word it is: n1, n2, n3, or the words before it.
+        after = first << np.uint64(2) | (np.minimum(counts, 3) - 1).astype(np.uint64)
+        sums, total = tally(np.concatenate([after, second << np.uint64(2) | np.uint64(3)]))
+        # The start has the number after the last word and belongs to the last group.
+        at = np.minimum(np.searchsorted(edges, (sums >> np.uint64(2)).astype(np.int64), "right") - 1, edges.size - 2)
         of_counts = np.bincount(np.minimum(counts, 5), minlength=6)[:5].astype(np.int64)
         of_counts[0] = counts.size
-        last = blocks(np.arange(5, dtype=np.uint64), of_counts, np.full(5, -1))
-        out.append(last.append_column("kind", pa.array([4], pa.int64())))
-        return pa.Table.from_batches([b.select(SUMS.names) for b in out]).cast(SUMS)
+        return pa.Table.from_batches([blocks(sums, total, at), blocks(np.arange(5, dtype=np.uint64), of_counts, np.full(5, -1))])
 
     return group
 
@@ -225,20 +228,24 @@ TOTALS_DDL = "bucket bigint, numbers array<bigint>"
 
 
 def _store_sums(path: str, starts):
+    first, edges = _group_starts(starts, len(starts) - 1)
+
     def group(key, table):
-        bucket = key[0].as_py()
-        kinds = np.asarray(table.column("kind"))
-        if bucket < 0:
-            return pa.table({"bucket": [bucket], "numbers": [merge(table)[1].tolist()]}, schema=TOTALS)
-        begin, size = starts[bucket], starts[bucket + 1] - starts[bucket]
+        at = key[0].as_py()
+        keys, sums = merge(table)
+        if at < 0:
+            return pa.table({"bucket": [at], "numbers": [sums.tolist()]}, schema=TOTALS)
+        words, kinds = (keys >> np.uint64(2)).astype(np.int64), keys & np.uint64(3)
         for kind, name in enumerate(("n1", "n2", "n3", "left")):
-            words, sums = merge(table.filter(pa.array(kinds == kind)))
-            row = np.zeros(size + (bucket == len(starts) - 2), np.uint32)
-            row[words.astype(np.int64) - begin] = sums
-            write_array(f"{path}/words/{bucket}.{name}", row)
-        of_left = np.bincount(np.minimum(sums, 5), minlength=6)[:5].astype(np.int64)
-        of_left[0] = sums.sum()
-        return pa.table({"bucket": [bucket], "numbers": [of_left.tolist()]}, schema=TOTALS)
+            row = np.zeros(edges[at + 1] - edges[at] + (at == edges.size - 2), np.uint32)
+            row[words[kinds == kind] - edges[at]] = sums[kinds == kind]
+            for bucket in range(first[at], first[at + 1]):
+                end = None if bucket == len(starts) - 2 else starts[bucket + 1] - edges[at]
+                write_array(f"{path}/words/{bucket}.{name}", row[starts[bucket] - edges[at] : end])
+        left = sums[kinds == 3]
+        of_left = np.bincount(np.minimum(left, 5), minlength=6)[:5].astype(np.int64)
+        of_left[0] = left.sum()
+        return pa.table({"bucket": [at], "numbers": [of_left.tolist()]}, schema=TOTALS)
 
     return group
 
@@ -266,7 +273,7 @@ def train(texts: DataFrame, text: str = "text", buckets: int | None = None) -> M
     pair_buckets = 4 * buckets
     sums = (
         rows.mapInArrow(_count_pairs(path, starts, hot, pair_buckets), BLOCK_DDL)
-        .groupBy("bucket").applyInArrow(_store_pairs(path, starts), SUMS_DDL)
+        .groupBy("bucket").applyInArrow(_store_pairs(path, starts), BLOCK_DDL)
     )
     totals = materialize(sums.groupBy("bucket").applyInArrow(_store_sums(path, starts), TOTALS_DDL)).collect()
     of_pairs = np.sum([r.numbers for r in totals if r.bucket < 0], axis=0, initial=0) + np.zeros(5, np.int64)
