@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordspace.llm.removal import only, without
+from wordspace.llm.removal import survivors
 from wordspace.sources.scratch import materialize
 
 #: Fixed value: the characters that do not count.
@@ -58,12 +58,5 @@ def assign(docs: DataFrame, key: str = "doc_id", text: str = "text", support: fl
 
 def drop_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    found = materialize(assign(docs, key, text))
-    kept = found.filter("kept").select(F.col(key).alias("id"), F.col("text_sha256").alias("sha"))
-    lost = found.filter("NOT kept").select(F.col(key).alias("id"), F.col("text_sha256").alias("sha"))
-    # Rows alike in text and id: the id and digest are on both sides, and one row has to stay.
-    again = lost.intersect(kept)
-    marked = docs.withColumns({"id ": F.col(key), "sha ": digest(F.col(text))})
-    again, lost = again.toDF("id ", "sha "), lost.toDF("id ", "sha ")
-    single = only(marked, again).dropDuplicates(["id ", "sha "])
-    return without(marked, lost).unionByName(single).drop("id ", "sha ")
+    found = assign(docs, key, text).select(F.col(key).alias("id"), F.col("text_sha256").alias("mark"), "kept")
+    return survivors(docs, key, digest(F.col(text)), materialize(found))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordspace.llm import chat, exact_dedup, lm
+from wordspace.llm import chat, exact_dedup, licenses, lm, near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", remainder("doc_id", 7) == 2)
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near duplicates of each document."""
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy that stays, for each document."""
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
@@ -74,10 +79,17 @@ FROM c
 """
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and wordings in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op3_near_dedup": op3_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_chat_formatting": op8_chat_formatting,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLES: dict[str, str] = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordspace.sources.scratch import materialize
@@ -33,3 +33,16 @@ def _joined(docs, listed, keys, how):
     named = materialize(listed.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct())
     same = reduce(lambda a, b: a & b, (docs[k].eqNullSafe(F.col(f"__{k}")) for k in keys))
     return docs.join(bounded(named), same, how)
+
+
+def survivors(docs: DataFrame, key: str, mark: Column, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``found`` keeps, with all their columns.
+
+    ``found`` is a written table of ``(id, mark, kept)`` with a row per row of ``docs``, where
+    ``mark`` is that digest of the text. Of rows alike in both, it keeps one at most.
+    """
+    lost, kept = (found.filter(c).select(F.col("id").alias("id "), F.col("mark").alias("mark ")) for c in ("NOT kept", "kept"))
+    marked = docs.withColumns({"id ": F.col(key), "mark ": mark})
+    # Rows alike in both, of which one stays, are on both sides.
+    single = only(marked, lost.intersect(kept)).dropDuplicates(["id ", "mark "])
+    return without(marked, lost).unionByName(single).drop("id ", "mark ")
