@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordspace.llm import chat, exact_dedup, licenses, lm, near_dedup
+from wordspace.llm import chat, decontaminate, exact_dedup, licenses, lm, near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ FROM d WINDOW w AS (PARTITION BY h ORDER BY points DESC, doc_id)
 """
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that each document quotes."""
+    return decontaminate.quotations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts look like control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -88,6 +93,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_near_dedup": op3_near_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
     "op10_license_scan": op10_license_scan,
 }
