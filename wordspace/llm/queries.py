@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordspace.llm import chat, decontaminate, exact_dedup, licenses, lm, near_dedup
+from wordspace.llm import chat, decontaminate, exact_dedup, licenses, lm, mixing, near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,65 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def tree(docs: DataFrame) -> list:
+    """The names of a document's domain, language and source."""
+    return [mixing.domain(docs["source"]), docs["lang"], docs["source"]]
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often the mix by target weights holds each document."""
+    documents = table(spark, sf_dir, "documents")
+    return mixing.assign(documents, tree(documents))
+
+
+def _weights_sql(names: dict[str, int]) -> str:
+    return "CASE path " + " ".join(f"WHEN '{name}' THEN {weight}" for name, weight in names.items()) + " ELSE 1 END"
+
+
+def _share_sql(level: str, parent: str, given: str, above: str) -> str:
+    """Budgets of one level of the tree: ``{level}(path, budget)`` from those of the level above."""
+    return f"""
+{level}_a AS (
+  SELECT *, most / weight AS ratio FROM (
+    SELECT {level} AS path, {parent} AS parent, {mixing.EPOCHS} * sum(n) AS most FROM leaf GROUP BY ALL) AS x,
+    LATERAL (SELECT {_weights_sql(mixing.WEIGHTS)} AS weight) {above}),
+{level}_b AS (
+  SELECT path, parent, most, weight, row_number() OVER w AS place,
+         {given} - coalesce(sum(most) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spare,
+         sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy
+  FROM {level}_a WINDOW w AS (PARTITION BY parent ORDER BY ratio, path)),
+{level}_c AS (
+  SELECT parent, arg_min(spare, place) FILTER (most * heavy > weight * spare) AS spare_open,
+         arg_min(heavy, place) FILTER (most * heavy > weight * spare) AS heavy_open
+  FROM {level}_b GROUP BY parent),
+{level}_d AS (
+  SELECT path, CASE WHEN most * heavy <= weight * spare THEN most ELSE weight * spare_open // heavy_open END::BIGINT AS budget
+  FROM {level}_b JOIN {level}_c USING (parent))"""
+
+
+OP4_SQL = f"""
+WITH d AS (
+  SELECT doc_id, domain, domain || '/' || lang AS lang, domain || '/' || lang || '/' || source AS source, n_tokens FROM (
+    SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+           'domain' || coalesce(try_cast(regexp_extract(coalesce(source, ''), '[0-9]{{1,9}}') AS INT) % 3, 0) AS domain,
+           len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS n_tokens
+    FROM documents)),
+leaf AS (SELECT domain, lang, source, sum(n_tokens) AS n FROM d GROUP BY ALL),
+total AS (SELECT sum(n) * {mixing.PERCENT} // 100 AS total FROM leaf),
+{_share_sql("domain", "''", "total", ", total")},
+{_share_sql("lang", "domain", "budget", "JOIN (SELECT path AS up, budget FROM domain_d) ON up = parent")},
+{_share_sql("source", "lang", "budget", "JOIN (SELECT path AS up, budget FROM lang_d) ON up = parent")},
+e AS (
+  SELECT doc_id, path, n_tokens, budget, n, coalesce(budget // nullif(n, 0), 0)::BIGINT AS epoch
+  FROM d JOIN leaf USING (source) JOIN source_d ON path = source),
+f AS (
+  SELECT *, md5('{mixing.SEED}#' || epoch || '#' || coalesce(doc_id::VARCHAR, '')) || '#' || coalesce(doc_id::VARCHAR, '') AS place FROM e)
+SELECT doc_id, path, n_tokens, budget,
+       epoch + (n > 0 AND sum(n_tokens) OVER (PARTITION BY path ORDER BY place) <= budget - epoch * n)::BIGINT AS copies
+FROM f
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The copy that stays, for each document."""
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
@@ -92,6 +151,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_near_dedup": op3_near_dedup,
+    "op4_mixing": op4_mixing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
@@ -99,6 +159,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_mixing": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
 }
