@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordspace.llm import chat, decontaminate, exact_dedup, licenses, lm, mixing, near_dedup
+from wordspace.llm import chat, decontaminate, exact_dedup, extraction, licenses, lm, mixing, near_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -94,6 +94,11 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.assign(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return extraction.extract(table(spark, sf_dir, "pages"))
+
+
 OP6_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -152,6 +157,7 @@ QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
+    "op5_html_extraction": op5_html_extraction,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
