@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordspace.llm import chat, decontaminate, exact_dedup, extraction, licenses, lm, mixing, near_dedup
+from wordspace.llm import chat, decontaminate, exact_dedup, extraction, licenses, lm, mixing, near_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -148,6 +148,21 @@ FROM c
 """
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS held FROM p),
+r AS (SELECT *, payload_bytes >= {warc.REVISITED} AND held IS NOT NULL AND page_id IS DISTINCT FROM held AS revisit FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN held END AS refers_to
+FROM r
+"""
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and wordings in all documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
@@ -161,6 +176,7 @@ QUERIES = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
 }
 
@@ -168,4 +184,5 @@ ORACLES: dict[str, str] = {
     "op4_mixing": OP4_SQL,
     "op6_exact_dedup": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
+    "op9_warc": OP9_SQL,
 }

@@ -66,6 +66,13 @@ def _mapped(source, dtype) -> np.ndarray:
     return np.frombuffer(mmap.mmap(source.fileno(), 0, access=mmap.ACCESS_READ), dtype)
 
 
+def open_output(uri: str):
+    """A new file open for writing; its name has to be of this attempt."""
+    store, path = _resolve(uri)
+    store.create_dir(os.path.dirname(path), recursive=True)
+    return store.open_output_stream(path)
+
+
 def open_file(uri: str):
     """A file open for reading at any offset."""
     store, path = _resolve(uri)
