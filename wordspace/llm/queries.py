@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordspace.llm import chat, decontaminate, exact_dedup, extraction, licenses, lm, mixing, near_dedup, warc
+from wordspace.llm import chat, decontaminate, exact_dedup, extraction, licenses, lm, mixing, near_dedup, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,13 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("held_out", remainder("doc_id", 7) == 2)
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of the labels whose remainder by 5 is not 0."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(documents, labels, learn=remainder("doc_id", 5) != 0)
+    return quality.score(documents, model).withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near duplicates of each document."""
     return near_dedup.classes(table(spark, sf_dir, "documents"))
@@ -170,6 +177,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_near_dedup": op3_near_dedup,
     "op4_mixing": op4_mixing,
     "op5_html_extraction": op5_html_extraction,

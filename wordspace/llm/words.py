@@ -17,10 +17,10 @@ PIECE = 1 << 21
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.ones(256, bool)
-_WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+WORD = np.ones(256, bool)
+WORD[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -67,20 +67,24 @@ def pieces(batch: pa.RecordBatch, column: str, size: int = PIECE) -> Iterator[pa
         begin = end
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """``(hashes, bounds)``: all words in order; text ``i`` has those in ``bounds[i]:bounds[i + 1]``."""
-    raw, offsets = text_bytes(column)
-    if not raw.size:
-        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
-    raw = _LOWER[raw]
-    word = _WORD[raw]
+def spans(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last byte of each run of bytes marked ``inside``, and the runs of each text.
+
+    Text ``i`` has the runs in ``bounds[i]:bounds[i + 1]``; none goes beyond its text.
+    """
+    member = inside[raw]
     first = np.zeros(raw.size + 1, bool)
     first[offsets] = True
-    starts = word.copy()
-    starts[1:] &= ~word[:-1] | first[1:-1]
-    ends = word
+    starts = member.copy()
+    starts[1:] &= ~member[:-1] | first[1:-1]
+    ends = member
     ends[:-1] &= ~ends[1:] | first[1:-1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends)
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
+def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes, equal for equal bytes."""
     power, inverse = _power(raw.size)
     sums = (raw.astype(np.uint64) + np.uint64(1)) * power
     np.cumsum(sums, out=sums)
@@ -88,4 +92,14 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     hashes[starts > 0] -= sums[starts[starts > 0] - 1]
     hashes *= inverse[starts]
     hashes += (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return mix(hashes), np.searchsorted(starts, offsets)
+    return mix(hashes)
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``(hashes, bounds)``: all words in order; text ``i`` has those in ``bounds[i]:bounds[i + 1]``."""
+    raw, offsets = text_bytes(column)
+    if not raw.size:
+        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64)
+    raw = LOWER[raw]
+    starts, ends, bounds = spans(raw, offsets, WORD)
+    return span_hashes(raw, starts, ends), bounds
