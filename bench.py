@@ -28,6 +28,7 @@ def main() -> None:
         .appName("bench")
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.shuffle.partitions", str(2 * cpus))
+        .config("wordspace.partitions", str(cpus))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()

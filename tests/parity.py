@@ -53,8 +53,6 @@ def main() -> int:
     from pyspark.sql import SparkSession
 
     from __spark_entry__ import oracle_sql, queries
-    from wordspace.plans.sql import heavy_oracles
-
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.001"
     spark = (
         SparkSession.builder.master("local[8]")
@@ -66,8 +64,6 @@ def main() -> int:
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, sqls, failed = connect(sf_dir), oracle_sql(), 0
-    if len(sys.argv) > 2:
-        sqls |= heavy_oracles()
     for name, query in queries().items():
         if len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue

@@ -3,9 +3,10 @@ import pytest
 import brute
 from test_training import SPACE, docs
 from wordspace.operators import lookup, training
+from wordspace.operators.documents import text_vectors
 from wordspace.plans.commands import TableMissing, Workbench
 from wordspace.sources import files, scratch
-from wordspace.sources.store import Store
+from wordspace.sources.store import Store, WriteConflict
 from wordspace.space import VectorSpace
 
 
@@ -141,7 +142,10 @@ def test_point_lookup_is_pushed_down(spark, tmp_path):
 
 def test_rows_as_maps(spark):
     rows = spark.createDataFrame([("a", 1, ([1], [2]))], "key string, weight int, vec struct<dims:array<int>,vals:array<int>>")
-    assert lookup.row_as_map(rows).first().cells == {"word": "a", "weight": "1", "vec": '{"dims":[1],"vals":[2]}'}
+    cells = lookup.row_as_map(rows)
+    assert cells.first().cells == {"word": "a", "weight": "1", "vec": '{"dims":[1],"vals":[2]}'}
+    back = lookup.map_as_row(cells, "key string, weight int, vec struct<dims:array<int>,vals:array<int>>")
+    assert back.collect() == rows.collect()
 
 
 def test_scratch_follows_the_session(spark):
@@ -149,3 +153,90 @@ def test_scratch_follows_the_session(spark):
     path = scratch.scratch_path(spark)
     assert shared is None or path.startswith(shared.rstrip("/"))
     assert scratch.materialize(spark.range(3)).count() == 3
+
+
+def test_scratch_of_a_cluster_has_to_be_set():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        scratch.scratch_dir(Session)
+
+
+def test_a_corpus_is_added_to(spark, bench, tmp_path):
+    texts = lambda: {r.doc_id: r.text for r in bench.texts("set").collect()}
+    first = spark.createDataFrame([("a", "1"), ("b", "2"), (None, "n")], "doc_id string, text string")
+    assert bench.put_texts(first, "set") == 3
+    assert bench.put_texts(spark.createDataFrame([("b", "3"), ("c", "4"), ("c", "5")], first.schema), "set") == 3
+    assert bench.texts("set").count() == 5 and {"a", "b", None} <= set(texts()) and texts()["b"] == "3"
+    bench.put_texts(spark.createDataFrame([("c", "6")], first.schema), "set")
+    assert texts() == {"a": "1", "b": "3", None: "n", "c": "6"}
+    assert len(bench.store.manifest("corpus", "set").orderBy("version").collect()[-1].folders) == 3
+    assert bench.store.compact("set").rows.count() == 4
+    assert bench.store.prune("corpus", "set") == 3 and texts() == {"a": "1", "b": "3", None: "n", "c": "6"}
+    one, two = write(tmp_path / "one", a_txt="x\n", b_txt="y\n"), write(tmp_path / "two", c_txt="z\n")
+    bench.process_dir(one, "files")
+    bench.process_dir(two, "files")
+    assert sorted(r.text for r in bench.texts("files").collect()) == ["x", "y", "z"]
+    with pytest.raises(ValueError):
+        bench.store.add("words", "lx", first)
+
+
+def test_of_two_writers_one_fails(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path))
+    store.create("words", "lx", SPACE)
+    rows = training.train(docs(spark, ["a b"]), SPACE)
+    stale = store._latest("words", "lx")
+    store.write("words", "lx", rows)
+    monkeypatch.setattr(store, "_latest", lambda kind, name: stale)
+    with pytest.raises(WriteConflict):
+        store._append("words", "lx", rows, stale.version + 1, SPACE)
+    monkeypatch.undo()
+    assert store.open("words", "lx").version == 2
+
+
+def test_null_texts_are_rejected(spark, bench):
+    rows = spark.createDataFrame([("a", "x y"), ("b", None)], "doc_id string, text string")
+    report = bench.train("words", "lx", rows, create=True, space=SPACE).first()
+    assert (report.processed, report.rejected, report.total) == (2, 1, 2)
+
+
+def test_rows_without_a_key_are_a_group(spark):
+    lexicon = training.train(docs(spark, ["a b c"]), SPACE)
+    texts = spark.createDataFrame([("t", "a b"), (None, "a"), (None, "c")], "doc_id string, text string")
+    assert {r.key: r.weight for r in text_vectors(texts, lexicon, SPACE).collect()} == {"t": 2, None: 2}
+
+
+def test_missing_keys_are_counted(spark):
+    lexicon = training.train(docs(spark, ["a b c"]), SPACE)
+    lost = [f"lost{i}" for i in range(25)]
+    for keys in (["a", *lost], spark.createDataFrame([(k,) for k in ["a", *lost]], "key string")):
+        with pytest.raises(LookupError, match="25 keys, for example: lost0, lost1,"):
+            lookup.get_or_error(lexicon, keys)
+    assert [r.key for r in lookup.get_or_error(lexicon, ["a", "c"]).orderBy("key").collect()] == ["a", "c"]
+
+
+def test_literal_keys_reach_the_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create("words", "lx", SPACE)
+    table = store.write("words", "lx", training.train(docs(spark, ["a b"]), SPACE))
+    plan = table.rows.filter(table.rows["key"].isin(["a", "b"]))._jdf.queryExecution().executedPlan().toString()
+    assert "In(key, [a,b])" in plan
+
+
+def test_large_files_are_read_by_line(spark, bench, tmp_path):
+    bench.train("words", "lx", docs(spark, ["cats like milk", "dogs like bones"]), True, SPACE)
+    (tmp_path / "a").write_text("cats\nlike milk\n")
+    (tmp_path / "b").write_text("cats like\nmilk")
+    words = bench.store.open("words", "lx")
+    for unit, same in (("token", True), ("line", False)):
+        whole = files.whole_files(spark, str(tmp_path / "a"))
+        got = bench._file_vectors(words, [str(tmp_path / "a")], unit).first()
+        want = text_vectors(whole, words.rows, words.space, unit=unit).first()
+        assert got.weight == want.weight and got.vec.dims == want.vec.dims and got.vec.vals == pytest.approx(want.vec.vals)
+    assert bench.compare_documents("lx", str(tmp_path / "a"), str(tmp_path / "b")) == pytest.approx(1)

@@ -6,11 +6,12 @@ import pytest
 
 import __spark_entry__ as entry
 from parity import connect, differences
-from wordspace.plans.sql import heavy_oracles
+from wordspace.plans.queries import QUERIES
+from wordspace.plans.sql import oracles
 
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables here")
-SQL = entry.oracle_sql() | heavy_oracles()
+SQL = oracles()
 
 
 @pytest.fixture(scope="module")
@@ -19,7 +20,8 @@ def con():
 
 
 def test_every_query_has_a_counterpart():
-    assert set(SQL) == set(entry.queries())
+    assert set(SQL) == set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -52,6 +52,14 @@ def test_ranges(spark):
     assert [r.id for r in windows.number_range(spark, 2, 9, 3).collect()] == [2, 5, 8]
 
 
+def test_numbers_per_row(spark):
+    rows = spark.createDataFrame([(7,), (0,), (2,)], "n int")
+    found = rows.select("n", windows.steps(F.lit(1), F.col("n"), 3).alias("s"), windows.seeded_picks(F.col("n"), 4, 3).alias("p")).collect()
+    assert {r.n: r.s for r in found} == {7: [1, 4], 0: [], 2: [1]}
+    for r in found:
+        assert len(set(r.p)) == len(r.p) == min(4, r.n) and set(r.p) <= set(range(r.n))
+
+
 def test_top_by(spark):
     rng = random.Random(1)
     rows = [(i, float(rng.randint(0, 5))) for i in range(40)] + [(99, None)]

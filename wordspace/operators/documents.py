@@ -58,7 +58,7 @@ def _add_frequent(size: int, words_at, matrix_at):
         table = PartialVectors(size, np.float64)
         row_of, matrix = words_at.value, matrix_at.value
         for batch in batches:
-            keys = batch.column("key").dictionary_encode()
+            keys = batch.column("key").dictionary_encode("encode")
             codes = keys.indices.to_numpy()
             table.start_batch(keys.dictionary)
             words = batch.column("tokens").values.dictionary_encode()
@@ -101,7 +101,7 @@ def text_vectors(
     """``(key, weight, vec)``: sum of normalised word vectors less their mean, per key.
 
     ``weight`` is the number of known words; keys without any have no row. Texts of the
-    same key are added up. With ``unit='line'`` each line is looked up whole, as for a
+    same key are added up, also those without a key. With ``unit='line'`` each line is looked up whole, as for a
     file that lists one word per line.
 
     The most frequent words are added on the spot from a matrix of bounded size, which
@@ -110,7 +110,7 @@ def text_vectors(
     """
     spark = texts.sparkSession
     split = {"token": token_array, "line": line_array}[unit]
-    known_texts = texts.filter(F.col(key).isNotNull() & F.col(text).isNotNull())
+    known_texts = texts.filter(F.col(text).isNotNull())
     rows = known_texts.select(F.col(key).alias("key"), split(F.col(text)).alias("tokens"))
     words = each(rows, "tokens", "word", "key")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordspace.functions.vectors import index_vector
+from wordspace.sources.scratch import materialize
 from wordspace.space import VectorSpace
 
 
@@ -26,6 +27,18 @@ def row_as_map(rows: DataFrame, key: str = "key") -> DataFrame:
     return rows.select(F.col(key), F.create_map(*pairs).alias("cells"))
 
 
+def map_as_row(cells: DataFrame, schema: str, key: str = "key") -> DataFrame:
+    """The inverse of :func:`row_as_map`: the columns of ``schema`` read from ``cells``, the key from ``word``."""
+    fields = cells.sparkSession.createDataFrame([], schema).schema
+    columns = []
+    for field in fields:
+        value = F.col("cells")["word" if field.name == key else field.name]
+        simple = field.dataType.simpleString()
+        nested = simple.startswith(("struct", "array", "map"))
+        columns.append((F.from_json(value, simple) if nested else value.cast(field.dataType)).alias(field.name))
+    return cells.select(*columns)
+
+
 def get(lexicon: DataFrame, key: str) -> DataFrame:
     """The row of one key, or no row; the filter reaches the stored files."""
     return lexicon.filter(F.col("key") == key)
@@ -41,11 +54,26 @@ def missing_keys(lexicon: DataFrame, keys: DataFrame) -> DataFrame:
     return keys.select("key").distinct().join(lexicon.select("key"), "key", "left_anti")
 
 
-def get_or_error(lexicon: DataFrame, keys: DataFrame) -> DataFrame:
-    """As :func:`get_keys`, raising when any of the keys is missing."""
-    lost = [row.key for row in missing_keys(lexicon, keys).limit(10).collect()]
-    if lost:
-        raise LookupError(f"the lexicon has no data for: {', '.join(sorted(lost))}")
+def _missing(count: int, some: list[str]) -> LookupError:
+    shown = ", ".join(sorted(some))
+    return LookupError(f"the lexicon has no data for {count} keys, for example: {shown}" if count > len(some) else f"the lexicon has no data for: {shown}")
+
+
+def get_or_error(lexicon: DataFrame, keys: DataFrame | list[str]) -> DataFrame:
+    """As :func:`get_keys`, raising when any of the keys is missing.
+
+    A list of keys is a filter that reaches the stored files, and is read once; the keys
+    of a table are joined. The error counts all missing keys and names ten.
+    """
+    if isinstance(keys, list):
+        found = materialize(lexicon.filter(F.col("key").isin(keys)))
+        lost = sorted(set(keys) - {row.key for row in found.select("key").collect()})
+        if lost:
+            raise _missing(len(lost), lost[:10])
+        return found
+    lost = materialize(missing_keys(lexicon, keys))
+    if count := lost.count():
+        raise _missing(count, [row.key for row in lost.orderBy("key").limit(10).collect()])
     return get_keys(lexicon, keys)
 
 

@@ -199,7 +199,7 @@ def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PartialVectors(size, dtype, ordered, centre)
         for batch in batches:
-            keys = batch.column("key").dictionary_encode()
+            keys = batch.column("key").dictionary_encode("encode")
             codes = keys.indices.to_numpy()
             table.start_batch(keys.dictionary)
             weight = batch.column("weight").to_numpy()

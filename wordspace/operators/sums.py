@@ -21,10 +21,12 @@ def packed_schema(key_type: str, real: bool = False) -> str:
 
 
 def _rows(rows: DataFrame, real: bool) -> DataFrame:
-    """The columns the summing step reads; rows with no factor of their own count once."""
+    """The columns the summing step reads; rows with no factor of their own count once.
+
+    Rows without a key are a group of their own, as in SQL.
+    """
     factor = F.col("factor") if "factor" in rows.columns else F.lit(1)
-    known = rows.filter(F.col("key").isNotNull())
-    return known.select("key", "weight", factor.cast("double" if real else "bigint").alias("factor"), "vec")
+    return rows.select("key", "weight", factor.cast("double" if real else "bigint").alias("factor"), "vec")
 
 
 def pack(rows: DataFrame, size: int) -> DataFrame:

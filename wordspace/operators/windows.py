@@ -36,6 +36,11 @@ def number_range(spark: SparkSession, start: int, end: int, step: int = 1) -> Da
     return spark.range(start, end, step)
 
 
+def steps(start: Column, end: Column, step: int = 1) -> Column:
+    """The numbers from ``start`` up to, but without, ``end``, as an array per row."""
+    return F.when(start < end, F.sequence(start, end - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+
+
 def _shuffle_key(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit("#"), F.lit(str(seed))))
 
@@ -53,6 +58,11 @@ def shuffle_array(values: Column, seed: int) -> Column:
     return F.transform(F.array_sort(tagged), lambda t: t["v"])
 
 
+def seeded_picks(bound: Column, num: int, seed: int) -> Column:
+    """``num`` distinct numbers below ``bound``, or all there are, in seeded order, as an array per row."""
+    return F.slice(shuffle_array(steps(F.lit(0), bound), seed), 1, num)
+
+
 def seeded_numbers(spark: SparkSession, bound: int, num: int, seed: int) -> DataFrame:
     """``num`` distinct numbers below ``bound``, chosen by the seed, in seeded order."""
     return seeded_order(spark.range(bound), "id", seed).limit(num)

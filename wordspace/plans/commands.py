@@ -13,7 +13,7 @@ from wordspace.operators.lookup import get_or_error
 from wordspace.operators.similarity import compare
 from wordspace.operators.topics import TOPICS_PER_TEXT, assign_topics, merge_topics, topic_vectors
 from wordspace.operators.training import Trainer, from_sentences, train
-from wordspace.sources.files import prepare, spread, whole_files
+from wordspace.sources.files import lines, prepare, whole_files
 from wordspace.sources.scratch import materialize
 from wordspace.sources.store import KINDS, Store, Table, TableMissing
 from wordspace.space import VectorSpace
@@ -28,17 +28,27 @@ class Workbench:
         self.spark, self.store = spark, Store(spark, root)
 
     def process_dir(self, path: str, dataset: str, how=None) -> int:
-        """Prepare the files under a path as a corpus; returns how many there were."""
-        return self.store.write("corpus", dataset, prepare(whole_files(self.spark, path), how)).rows.count()
+        """Prepare the files under a path and put them into a corpus; returns how many there were.
+
+        Texts that the corpus has from other files stay; those of the same files are replaced.
+        """
+        return self._put(dataset, prepare(whole_files(self.spark, path), how))
 
     def put_texts(self, texts: DataFrame, dataset: str, doc: str = "doc_id", text: str = "text") -> int:
-        """Keep the texts of any DataFrame as a corpus; returns how many there are."""
-        rows = texts.select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text"))
-        return self.store.write("corpus", dataset, rows).rows.count()
+        """Put the texts of any DataFrame into a corpus; returns how many there were.
+
+        Earlier texts stay but for those with one of the ids now given.
+        """
+        return self._put(dataset, texts.select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text")))
+
+    def _put(self, dataset: str, rows: DataFrame) -> int:
+        rows = materialize(rows)
+        self.store.add("corpus", dataset, rows)
+        return rows.count()
 
     def texts(self, dataset: str) -> DataFrame:
         """``(doc_id, text)`` of a corpus."""
-        return spread(self.store.open("corpus", dataset).rows)
+        return self.store.open("corpus", dataset).rows
 
     def _open(self, kind: str, name: str, create: bool, space: VectorSpace | None) -> Table:
         return self.store.create(kind, name, space) if create else self.store.open(kind, name)
@@ -50,15 +60,15 @@ class Workbench:
         """Train a word or topic lexicon on a corpus and make the result its current version.
 
         Returns a one-row report. The counts are those of the tables as written, so the
-        training itself runs once. Topic texts hold ``<topics>`` and ``<body>``; those
-        that lack either are left out and counted as rejected.
+        training itself runs once. Null texts are left out and counted as rejected, and
+        so are topic texts that lack ``<topics>`` or ``<body>``.
         """
         begun = time.monotonic()
         docs = self.texts(texts) if isinstance(texts, str) else texts
         if KINDS.get(kind) == "words":
             old = self._open(kind, lexicon, create, space)
             new = self.store.write(kind, lexicon, train(docs, old.space, trainer, old.rows), old.space)
-            rejected = 0
+            rejected = docs.filter(F.col("text").isNull()).count()
         elif KINDS.get(kind) == "topics":
             words = self.store.open("words", lexicon)
             old = self._open(kind, lexicon, create, words.space)
@@ -82,14 +92,14 @@ class Workbench:
         """Similarity of two words; raises if the lexicon lacks either."""
         words = self.store.open("words", lexicon)
         pair = self.spark.createDataFrame([(word_a, word_b)], "a string, b string")
-        keys = self.spark.createDataFrame([(word_a,), (word_b,)], "key string")
-        found = get_or_error(words.rows, keys)
+        found = get_or_error(words.rows, [word_a, word_b])
         return compare(found, pair, words.space).first().similarity
 
     def _file_vectors(self, words: Table, paths: list[str], unit: str) -> DataFrame:
         files = None
         for number, path in enumerate(paths):
-            rows = whole_files(self.spark, path).select(F.lit(number).alias("doc_id"), "text")
+            # Line by line, so a large file is read in many splits; its lines add up under one key.
+            rows = lines(self.spark, path).select(F.lit(number).alias("doc_id"), F.col("value").alias("text"))
             files = rows if files is None else files.unionByName(rows)
         return text_vectors(files, words.rows, words.space, unit=unit)
 

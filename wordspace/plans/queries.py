@@ -29,8 +29,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows take long to work on, in enough partitions for all cores."""
-    return files.spread(_table(spark, sf_dir, name))
+    """A table whose rows take long to work on, in as many partitions as the session asks for."""
+    wanted = spark.conf.get("wordspace.partitions", None)
+    return files.spread(_table(spark, sf_dir, name), int(wanted) if wanted else None)
 
 
 def _lexicon(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,10 +128,48 @@ def stored_corpus(spark, sf_dir):
     return bench.texts("documents").select("doc_id", F.md5("text").alias("md5"))
 
 
+def corpus_extended(spark, sf_dir):
+    """A corpus of documents, added to by conversations and by changed texts of a part of the documents."""
+    bench = Workbench(spark, scratch_path(spark))
+    docs, turns = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "conversations")
+    bench.put_texts(docs, "all")
+    bench.put_texts(turns.withColumn("doc_id", F.concat(F.lit("c"), "conv_id", F.lit(":"), "turn")), "all")
+    bench.put_texts(docs.filter("lang = 'de'").withColumn("text", F.concat("text", F.lit(" Ende"))), "all")
+    return bench.texts("all").select("doc_id", F.md5("text").alias("md5"))
+
+
+def prepared_plain(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return files.prepare_plain(rows)
+
+
+def _newswire(spark, sf_dir):
+    wrapped = F.concat(F.lit("<HEAD>\n<BODY>"), "text", F.lit("\n&#3;</BODY></HEAD>"))
+    return _texts(spark, sf_dir, "documents").withColumn("text", wrapped)
+
+
+def prepared_sgml(spark, sf_dir):
+    return files.prepare_sgml(_newswire(spark, sf_dir))
+
+
+def prepared_by_type(spark, sf_dir):
+    """Documents as files, the German ones as newswire files."""
+    kind = F.when(F.col("lang") == "de", F.when(F.col("doc_id") % 2 == 0, ".sgm").otherwise(".sgml")).otherwise(".txt")
+    found = files.prepare(_newswire(spark, sf_dir).withColumn("doc_id", F.concat("doc_id", kind)))
+    return found.withColumn("doc_id", F.substring_index("doc_id", ".", 1))
+
+
+def map_as_row(spark, sf_dir):
+    rows = _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return lookup.map_as_row(lookup.row_as_map(rows, "doc_id"), "doc_id bigint, quality bigint, toxic bigint", "doc_id")
+
+
 def training_report(spark, sf_dir):
+    """Training on top of a lexicon; the system's turns count as texts that are not there."""
     bench = Workbench(spark, scratch_path(spark))
-    for name, key in (("documents", "doc_id"), ("conversations", "conv_id")):
-        bench.put_texts(_table(spark, sf_dir, name), name, key)
+    bench.put_texts(_table(spark, sf_dir, "documents"), "documents")
+    turns = _table(spark, sf_dir, "conversations").withColumn("text", F.expr("CASE WHEN role <> 'system' THEN text END"))
+    bench.put_texts(turns, "conversations", "conv_id")
     bench.train("words", "all", "documents", create=True, space=SPACE, trainer=training.from_windows)
     report = bench.train("words", "all", "conversations", trainer=training.from_windows)
     meta = bench.store.metadata("words", "all")
@@ -234,9 +273,36 @@ def merge_lexicon(spark, sf_dir):
     return digest(training.train(more, SPACE, training.from_windows, first))
 
 
+def train_on_empty(spark, sf_dir):
+    """Training on top of a lexicon without words."""
+    return digest(training.train(_texts(spark, sf_dir, "conversations"), SPACE, training.from_windows, training.empty_lexicon(spark)))
+
+
+def merge_lines(spark, sf_dir):
+    """The lexicon of one file of sentences trained further on another."""
+    lexicon = None
+    for name in ("conversations", "benchmark"):
+        path = scratch_path(spark)
+        _table(spark, sf_dir, name).select("text").write.text(path)
+        lexicon = materialize(training.train(files.lines(spark, path), SPACE, training.from_lines, lexicon))
+    return digest(lexicon)
+
+
 # Lookups and comparison
 
 
+def known_words(spark, sf_dir):
+    """The vectors of words that all have to be known."""
+    words = T.document_words(_table(spark, sf_dir, "conversations"), "conv_id").select(F.col("word").alias("key"))
+    return digest(lookup.get_or_error(_lexicon(spark, sf_dir, "conversations"), words))
+
+
+def word_points(spark, sf_dir):
+    """One cell column of each row."""
+    found = _lexicon(spark, sf_dir, "conversations")
+    return found.select("key", F.size(lookup.point("vec", "dims")).cast("bigint").alias("cells"))
+
+
 def word_lookup(spark, sf_dir):
     keys = _benchmark_words(spark, sf_dir).withColumnRenamed("word", "key")
     return digest(lookup.get_keys(_lexicon(spark, sf_dir, "conversations"), keys))
@@ -280,11 +346,23 @@ def document_vectors(spark, sf_dir):
 def document_vectors_documents(spark, sf_dir):
     docs = _texts(spark, sf_dir, "documents")
     found = documents.text_vectors(docs, _lexicon(spark, sf_dir, "documents"), SPACE)
+    zero = F.lit(0.0)
+    total = F.aggregate("vec.vals", zero, lambda s, v: s + v)
+    places = F.zip_with("vec.dims", "vec.vals", lambda d, v: (d + 1) * v)
     return found.select(
-        F.col("key").alias("doc_id"), "weight", _rounded(V.length(F.col("vec")), 5).alias("length")
+        F.col("key").alias("doc_id"), "weight", _rounded(V.length(F.col("vec")), 5).alias("length"),
+        _rounded(total, 5).alias("total"), _rounded(F.aggregate(places, zero, lambda s, v: s + v), 3).alias("moment"),
     )
 
 
+def line_vectors(spark, sf_dir):
+    """As :func:`document_vectors`, from texts that list one word per line."""
+    listed = _texts(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[ \\t]+", "\n"))
+    lexicon = _lexicon(spark, sf_dir, "conversations")
+    found = documents.text_vectors(listed, lexicon, SPACE, key="item_id", unit="line").withColumnRenamed("key", "item_id")
+    return cells_of(found, "item_id", "weight").withColumn("val", _rounded(F.col("val")))
+
+
 def compare_documents(spark, sf_dir):
     """Every text of the benchmark with the next one."""
     vectors = materialize(_item_vectors(spark, sf_dir))
@@ -300,6 +378,13 @@ def compare_document_batch(spark, sf_dir):
     return found.withColumn("similarity", _rounded(F.col("similarity")))
 
 
+def best_matches(spark, sf_dir):
+    """The five texts of the benchmark most like each."""
+    vectors = materialize(_item_vectors(spark, sf_dir))
+    found = similarity.all_similarities(vectors, vectors, SPACE, top=5)
+    return found.withColumn("similarity", _rounded(F.col("similarity")))
+
+
 def similarity_lists(spark, sf_dir):
     vectors = materialize(_item_vectors(spark, sf_dir))
     lists = similarity.similarity_lists(similarity.all_similarities(vectors, vectors, SPACE))
@@ -310,30 +395,33 @@ def similarity_lists(spark, sf_dir):
 # Topics
 
 
-def _topic_documents(spark, sf_dir):
+def _topic_documents(spark, sf_dir, which=None):
     """The documents in the form topic training reads, their topics language and source."""
+    docs = _texts(spark, sf_dir, "documents")
+    docs = docs if which is None else docs.filter(which)
     body = F.concat(
         F.lit("<topics>\n"), "lang", F.lit("\n"), "source", F.lit("\n</topics>\n<body>"), "text", F.lit("</body>")
     )
-    return T.split_topics(_texts(spark, sf_dir, "documents").select("doc_id", body.alias("text")))
+    return T.split_topics(docs.select("doc_id", body.alias("text")))
 
 
-def _topics(spark, sf_dir, lexicon):
-    docs = _topic_documents(spark, sf_dir).filter("NOT rejected")
+def _topics(spark, sf_dir, lexicon, which=None):
+    docs = _topic_documents(spark, sf_dir, which).filter("NOT rejected")
     return topics.topic_vectors(docs, lexicon, SPACE)
 
 
 def train_topics(spark, sf_dir):
     found = _topics(spark, sf_dir, _lexicon(spark, sf_dir, "conversations"))
-    return found.select("key", "weight", _rounded(V.length(F.col("vec")), 4).alias("length"))
+    return cells_of(found, "key", "weight").withColumn("val", _rounded(F.col("val"), 4))
 
 
 def merge_topics(spark, sf_dir):
-    """Topics trained on the documents, then once more on the same documents."""
+    """Topics of English and German documents, then trained further on German and French ones."""
     lexicon = _lexicon(spark, sf_dir, "conversations")
-    once = materialize(_topics(spark, sf_dir, lexicon))
-    twice = topics.merge_topics(once, once, SPACE)
-    return twice.select("key", "weight", _rounded(V.length(F.col("vec")), 4).alias("length"))
+    old, new = (
+        materialize(_topics(spark, sf_dir, lexicon, F.col("lang").isin(*langs))) for langs in (("en", "de"), ("de", "fr"))
+    )
+    return cells_of(topics.merge_topics(old, new, SPACE), "key", "weight").withColumn("val", _rounded(F.col("val"), 4))
 
 
 def assign_topics(spark, sf_dir):
@@ -358,9 +446,15 @@ def seeded_order(spark, sf_dir):
     return windows.seeded_order(_table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), "doc_id", SEED)
 
 
+def _word_counts(spark, sf_dir):
+    words = F.size(T.token_array(F.col("text")))
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("words"))
+
+
 def seeded_numbers(spark, sf_dir):
-    bound = _table(spark, sf_dir, "documents").count()
-    return windows.seeded_numbers(spark, bound, 50, SEED)
+    """Five places of each turn, chosen by the seed."""
+    picks = windows.seeded_picks(F.col("words"), 5, SEED)
+    return _word_counts(spark, sf_dir).select("conv_id", "turn", F.posexplode(picks).alias("nth", "id"))
 
 
 def shuffled_tokens(spark, sf_dir):
@@ -369,7 +463,8 @@ def shuffled_tokens(spark, sf_dir):
 
 
 def number_range(spark, sf_dir):
-    return windows.number_range(spark, 0, _table(spark, sf_dir, "documents").count(), 3)
+    """Every third place of each turn."""
+    return _word_counts(spark, sf_dir).select("conv_id", "turn", F.explode(windows.steps(F.lit(0), F.col("words"), 3)).alias("id"))
 
 
 def top_by(spark, sf_dir):
@@ -381,12 +476,13 @@ QUERIES = {
     query.__name__: query
     for query in (
         lines_to_text, sentences, tokens, token_counts, sgml_sentences, tag_contents, topic_texts,
-        scan_lines, process_dir, stored_corpus, training_report, cleared_lexicon, row_as_map,
+        scan_lines, process_dir, stored_corpus, corpus_extended, prepared_plain, prepared_sgml, prepared_by_type,
+        training_report, cleared_lexicon, row_as_map, map_as_row,
         index_vectors, permuted_vectors, vector_sums, vector_differences, normalized_vectors, mean_vector,
-        train_window, train_sentence, train_sentence_documents, train_lines, merge_lexicon,
-        word_lookup, missing_words, lookup_or_index, compare_words,
-        document_vectors, document_vectors_documents, compare_documents, compare_document_batch,
-        similarity_lists, train_topics, merge_topics, assign_topics,
+        train_window, train_sentence, train_sentence_documents, train_lines, merge_lexicon, train_on_empty, merge_lines,
+        word_lookup, known_words, word_points, missing_words, lookup_or_index, compare_words,
+        document_vectors, line_vectors, document_vectors_documents, compare_documents, compare_document_batch,
+        best_matches, similarity_lists, train_topics, merge_topics, assign_topics,
         context_windows, seeded_order, seeded_numbers, shuffled_tokens, number_range, top_by,
     )
 }

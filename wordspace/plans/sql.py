@@ -17,6 +17,7 @@ CORPORA = {
     "documents": "SELECT doc_id AS doc, text FROM documents",
     "conversations": "SELECT conv_id || ':' || turn AS doc, text FROM conversations",
     "benchmark": "SELECT item_id AS doc, text FROM benchmark",
+    "lines": "SELECT conv_id || ':' || turn AS doc, text FROM conversations UNION ALL SELECT 'b' || item_id, text FROM benchmark",
 }
 
 DIGEST = """count(dim)::BIGINT AS cells, coalesce(sum(val), 0)::BIGINT AS total,
@@ -89,6 +90,39 @@ sums AS (
 lexicon AS (SELECT word AS key, dim::INTEGER AS dim, val FROM sums JOIN numbered USING (id))"""
 
 
+def _sentence_digest(corpus: str, slices: int) -> str:
+    """The digest of a lexicon trained on ordered sentences, a slice of the words at a time.
+
+    Each sentence is added up once, turned by the place of every word; a word's context is
+    that sum turned back by its place, less the word itself. The SQL for smaller corpora
+    adds up the pairs instead, and checks this identity on them.
+    """
+    def one(number: int) -> str:
+        return f"""SELECT key, {DIGEST} FROM (
+  SELECT key, dim, sum(val)::BIGINT AS val FROM (
+    SELECT t.id AS key, (v.dim - t.pos % {SIZE} + {SIZE}) % {SIZE} AS dim, v.val
+    FROM places t JOIN whole v ON v.line = t.line WHERE t.id % {slices} = {number}
+    UNION ALL
+    SELECT id, dim, -n * val FROM times JOIN index_ids USING (id) WHERE id % {slices} = {number})
+  GROUP BY ALL HAVING sum(val) <> 0) GROUP BY key"""
+
+    every = "\nUNION ALL ".join(f"({one(number)})" for number in range(slices))
+    return f"""WITH {_sentence_tokens('tokens', corpus)},
+numbered AS MATERIALIZED (SELECT word, row_number() OVER ()::INTEGER AS id FROM (SELECT DISTINCT word FROM tokens)),
+{_index('index_cells', 'numbered')},
+index_ids AS MATERIALIZED (SELECT id, dim, val::INTEGER AS val FROM index_cells JOIN numbered USING (word)),
+places AS MATERIALIZED (
+  SELECT dense_rank() OVER (ORDER BY doc, sent)::INTEGER AS line, pos::INTEGER AS pos, id FROM tokens JOIN numbered USING (word)),
+times AS MATERIALIZED (SELECT id, count(*) AS n FROM places GROUP BY id),
+whole AS MATERIALIZED (
+  SELECT line, ((dim + pos) % {SIZE})::SMALLINT AS dim, sum(val)::INTEGER AS val FROM places JOIN index_ids USING (id)
+  GROUP BY line, (dim + pos) % {SIZE} HAVING sum(val) <> 0),
+found AS ({every})
+SELECT word AS key, coalesce(cells, 0) AS cells, coalesce(total, 0) AS total, coalesce(squares, 0) AS squares,
+  coalesce(moment, 0) AS moment, coalesce(spread, 0) AS spread
+FROM numbered LEFT JOIN found ON key = id"""
+
+
 UNIT = f"""lengths AS (SELECT key, sqrt(sum(val * val)) AS length FROM lexicon GROUP BY key),
 unit AS (SELECT key, dim, val / length AS val FROM lexicon JOIN lengths USING (key)),
 mean AS (SELECT dim, sum(val) / (SELECT count(*) FROM words) AS val FROM unit GROUP BY dim),
@@ -136,11 +170,14 @@ def _tag(tag: str, text: str = "html") -> str:
     )
 
 
+WRAPPED = r"'<HEAD>' || chr(10) || '<BODY>' || text || chr(10) || '&#3;</BODY></HEAD>'"
+
+
 def _sgml() -> str:
     """Body sentences without lookaround: periods are judged by their neighbours in a
     list of characters, sentence gaps are marked by replacing twice, since neighbouring
     gaps may share a character."""
-    wrapped = r"'<HEAD>' || chr(10) || '<BODY>' || text || chr(10) || '&#3;</BODY></HEAD>'"
+    wrapped = WRAPPED
     capital = "regexp_full_match(coalesce({}, ''), '[A-Z]')".format
     tail = f"c = '.' AND i >= 4 AND {capital('cs[i-1]')} AND cs[i-2] = '.' AND {capital('cs[i-3]')}"
     head = f"c = '.' AND i >= 2 AND {capital('cs[i-1]')} AND {capital('cs[i+1]')}"
@@ -171,11 +208,6 @@ kept AS (
 SELECT doc_id, coalesce(array_to_string(flatten(list(parts ORDER BY nr)), chr(10)), '') AS text FROM kept GROUP BY doc_id"""
 
 
-def heavy_oracles() -> dict[str, str]:
-    """Counterparts that add up every token pair of the documents: 14 GB at sf0.01."""
-    return {"train_sentence_documents": _digest(_sentence_lexicon("documents"))}
-
-
 def oracles() -> dict[str, str]:
     conversations = _window_lexicon("conversations")
     items = f"""WITH {conversations},
@@ -184,6 +216,9 @@ def oracles() -> dict[str, str]:
 {_text_vectors('items', 'item_tokens')}"""
     topic_rows = "SELECT topic AS doc, text FROM (SELECT unnest([lang, source]) AS topic, text FROM documents)"
     topics = f"""{_tokens('topic_tokens', topic_rows)},
+{_text_vectors('topics', 'topic_tokens')}"""
+    both_rows = " UNION ALL ".join(f"{topic_rows[:-1]} WHERE lang IN ({langs}))" for langs in ("'en', 'de'", "'de', 'fr'"))
+    both_topics = f"""{_tokens('topic_tokens', both_rows)},
 {_text_vectors('topics', 'topic_tokens')}"""
     benchmark_words = f"{_tokens('item_tokens', 'benchmark')},\nitem_words AS (SELECT DISTINCT word FROM item_tokens)"
     pairs = """pairs AS (SELECT DISTINCT l.word AS a, r.word AS b
@@ -206,9 +241,18 @@ FROM (SELECT page_id, {_tag('title')} AS topics, {_tag('body')} AS body FROM pag
 FROM (SELECT unnest(string_split_regex(text, '{LINE_BREAK}')) AS value FROM documents) GROUP BY value""",
         "process_dir": f"SELECT item_id, array_to_string({_lines('text || chr(10)')}, ' ') AS text FROM benchmark",
         "stored_corpus": "SELECT doc_id::VARCHAR AS doc_id, md5(text) AS md5 FROM documents",
+        "corpus_extended": """SELECT doc_id::VARCHAR AS doc_id, md5(CASE WHEN lang = 'de' THEN text || ' Ende' ELSE text END) AS md5
+FROM documents UNION ALL SELECT 'c' || conv_id || ':' || turn, md5(text) FROM conversations""",
+        "prepared_plain": f"SELECT doc_id::VARCHAR AS doc_id, array_to_string({_lines('text')}, ' ') AS text FROM documents",
+        "prepared_sgml": f"SELECT doc_id::VARCHAR AS doc_id, text FROM ({_sgml()})",
+        "prepared_by_type": f"""SELECT doc_id::VARCHAR AS doc_id, CASE WHEN lang = 'de' THEN newswire.text
+  ELSE array_to_string({_lines(WRAPPED.replace('text', 'documents.text'))}, ' ') END AS text
+FROM documents JOIN ({_sgml()}) newswire USING (doc_id)""",
+        "map_as_row": "SELECT doc_id, quality::BIGINT AS quality, toxic::BIGINT AS toxic FROM labels",
         "training_report": f"""WITH {_tokens('old', 'documents')},
-{_tokens('new', 'conversations')}
-SELECT 'words' AS kind, (SELECT count(*) FROM conversations)::BIGINT AS processed, 0::BIGINT AS rejected,
+{_tokens('new', "SELECT conv_id || ':' || turn AS doc, text FROM conversations WHERE role <> 'system'")}
+SELECT 'words' AS kind, (SELECT count(*) FROM conversations)::BIGINT AS processed,
+  (SELECT count(*) FROM conversations WHERE role = 'system')::BIGINT AS rejected,
   (SELECT count(DISTINCT word) FROM new WHERE word NOT IN (SELECT word FROM old))::BIGINT AS added,
   (SELECT count(*) FROM (SELECT word FROM old UNION SELECT word FROM new))::BIGINT AS total,
   {SIZE}::INTEGER AS size, {K}::INTEGER AS k, {RADIUS}::INTEGER AS cr""",
@@ -239,8 +283,13 @@ SELECT key, dim, {_rounded('val')} AS val FROM unit""",
 SELECT (SELECT count(*) FROM words)::BIGINT AS weight, dim, {_rounded('val', 9)} AS val FROM mean WHERE val <> 0""",
         "train_window": _digest(_window_lexicon("documents")),
         "train_sentence": _digest(_sentence_lexicon("conversations")),
+        "train_sentence_documents": _sentence_digest("documents", 16),
         "train_lines": _digest(_sentence_lexicon("conversations")),
         "merge_lexicon": _digest(_window_lexicon("documents", "conversations")),
+        "train_on_empty": _digest(_window_lexicon("conversations")),
+        "merge_lines": _digest(_sentence_lexicon("lines")),
+        "known_words": _digest(_window_lexicon("conversations")),
+        "word_points": f"WITH {conversations}\nSELECT key, count(dim)::BIGINT AS cells FROM words LEFT JOIN lexicon USING (key) GROUP BY key",
         "word_lookup": f"""WITH {conversations},
 {benchmark_words}
 SELECT key, {DIGEST} FROM words JOIN item_words ON word = key LEFT JOIN lexicon USING (key) GROUP BY key""",
@@ -269,8 +318,11 @@ SELECT doc AS item_id, weight, dim, {_rounded('val')} AS val FROM items WHERE va
         "document_vectors_documents": f"""WITH {_window_lexicon('documents')},
 {UNIT},
 {_text_vectors('docs', 'tokens_documents')}
-SELECT doc AS doc_id, any_value(weight) AS weight, {_rounded('sqrt(sum(val * val))', 5)} AS length
+SELECT doc AS doc_id, any_value(weight) AS weight, {_rounded('sqrt(sum(val * val))', 5)} AS length,
+  {_rounded('sum(val)', 5)} AS total, {_rounded('sum((dim + 1) * val)', 3)} AS moment
 FROM docs GROUP BY doc""",
+        "line_vectors": f"""{items}
+SELECT doc AS item_id, weight, dim, {_rounded('val')} AS val FROM items WHERE val <> 0""",
         "compare_documents": f"""{items},
 {_cosines('cosines', 'items', 'items')}
 SELECT item_id AS a, item_id + 1 AS b, {_rounded('similarity')} AS similarity
@@ -278,6 +330,11 @@ FROM benchmark LEFT JOIN cosines ON a = item_id AND b = item_id + 1""",
         "compare_document_batch": f"""{items},
 {_cosines('cosines', 'items', 'items')}
 SELECT a AS left_key, b AS right_key, {_rounded('similarity')} AS similarity FROM cosines""",
+        "best_matches": f"""{items},
+{_cosines('cosines', 'items', 'items')}
+SELECT a AS left_key, b AS right_key, {_rounded('similarity')} AS similarity, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(similarity, 12) DESC NULLS LAST, b) AS rank FROM cosines)
+WHERE rank <= 5""",
         "similarity_lists": f"""{items},
 {_cosines('cosines', 'items', 'items')}
 SELECT a AS left_key, (row_number() OVER (PARTITION BY a ORDER BY b) - 1)::INTEGER AS at,
@@ -285,12 +342,11 @@ SELECT a AS left_key, (row_number() OVER (PARTITION BY a ORDER BY b) - 1)::INTEG
         "train_topics": f"""WITH {conversations},
 {UNIT},
 {topics}
-SELECT doc AS key, any_value(weight) AS weight, {_rounded('sqrt(sum(val * val))', 4)} AS length FROM topics GROUP BY doc""",
+SELECT doc AS key, weight, dim, {_rounded('val', 4)} AS val FROM topics WHERE val <> 0""",
         "merge_topics": f"""WITH {conversations},
 {UNIT},
-{topics}
-SELECT doc AS key, 2 * any_value(weight) AS weight, {_rounded('2 * sqrt(sum(val * val))', 4)} AS length
-FROM topics GROUP BY doc""",
+{both_topics}
+SELECT doc AS key, weight, dim, {_rounded('val', 4)} AS val FROM topics WHERE val <> 0""",
         "assign_topics": f"""{items},
 {topics},
 {_cosines('cosines', 'items', 'topics')},
@@ -304,12 +360,14 @@ SELECT conv_id, turn, (place - 1)::INTEGER AS pos, word,
   array_to_string(list_concat(words[greatest(place - {RADIUS}, 1):place - 1], words[place + 1:place + {RADIUS}]), ' ') AS context
 FROM placed""",
         "seeded_order": f"SELECT doc_id, lang, source FROM documents ORDER BY md5(doc_id || '#{SEED}'), doc_id",
-        "seeded_numbers": f"""SELECT id FROM range(0, (SELECT count(*) FROM documents)) r(id)
-ORDER BY md5(id || '#{SEED}'), id LIMIT 50""",
+        "seeded_numbers": f"""WITH turns AS (SELECT conv_id, turn, unnest(range(len({_split('text')}))) AS id FROM conversations)
+SELECT conv_id, turn, (nth - 1)::INTEGER AS nth, id::INTEGER AS id FROM (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY md5(id || '#{SEED}'), id) AS nth FROM turns)
+WHERE nth <= 5""",
         "shuffled_tokens": f"""WITH turns AS (SELECT conv_id, turn, {_split('text')} AS words FROM conversations),
 placed AS (SELECT conv_id, turn, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM turns)
 SELECT conv_id, turn, coalesce(string_agg(word, ' ' ORDER BY md5(place || '#{SEED}'), place), '') AS text
 FROM turns LEFT JOIN placed USING (conv_id, turn) GROUP BY conv_id, turn""",
-        "number_range": "SELECT id FROM range(0, (SELECT count(*) FROM documents), 3) r(id)",
+        "number_range": f"""SELECT conv_id, turn, unnest(range(0, len({_split('text')}), 3))::INTEGER AS id FROM conversations""",
         "top_by": "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 20",
     }

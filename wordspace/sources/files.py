@@ -20,13 +20,12 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path)
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Use every core on a scan of few splits; larger scans pass unchanged.
+def spread(rows: DataFrame, partitions: int | None = None) -> DataFrame:
+    """The rows dealt evenly to the given number of partitions, or as they are.
 
-    Meant for plain scans, whose split count is known without running anything.
+    For texts of few splits whose rows take long to work on; the shuffle moves every text.
     """
-    wanted = rows.sparkSession.sparkContext.defaultParallelism
-    return rows if rows.rdd.getNumPartitions() >= wanted else rows.repartition(wanted)
+    return rows if partitions is None else rows.repartition(partitions)
 
 
 def prepare(files: DataFrame, how=None) -> DataFrame:

@@ -1,16 +1,22 @@
 """Corpora and lexicons as versioned parquet tables.
 
-A table is a folder with a ``manifest`` and one data folder per version. Writing puts
-the rows into a new data folder and then appends the manifest row that makes it the
-current one, so readers of the earlier version, and retried tasks of the job that
-wrote it, never see rows change under them. One writer per table at a time.
+A table is a folder with a ``manifest`` and data folders. Writing puts the rows into a new
+data folder and then adds the manifest file of the next version, which names the folders
+it consists of, so readers of the earlier version, and retried tasks of the job that
+wrote it, never see rows change under them. A manifest file is created only if there is
+none of that version: of two writers that began from the same version one fails.
+
+Adding to a corpus writes the new rows only. A version then has several folders, and a row
+counts unless a later folder has its ``doc_id``.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +34,17 @@ SUFFIXES = {"corpus": "", "words": "_WORDS", "topics": "_TOPICS"}
 
 KINDS = {"corpus": "corpus", "word": "words", "words": "words", "topic": "topics", "topics": "topics"}
 
-MANIFEST = "version bigint, folder string, size int, k int, cr int"
+MANIFEST = "version bigint, folders array<string>, size int, k int, cr int"
 
 
 class TableMissing(LookupError):
     """The named table was never created."""
 
 
+class WriteConflict(RuntimeError):
+    """Another writer has made the next version of the table first."""
+
+
 @dataclass(frozen=True)
 class Table:
     """One version of a stored table."""
@@ -56,8 +66,13 @@ class Store:
         return f"{self.root}/{name}{SUFFIXES[KINDS[kind]]}"
 
     def manifest(self, kind: str, name: str) -> DataFrame:
-        """``(version, folder, size, k, cr)`` of every version written so far."""
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.folder(kind, name)}/manifest")
+        """``(version, folders, size, k, cr)`` of every version written so far."""
+        return self.spark.read.schema(MANIFEST).json(f"{self.folder(kind, name)}/manifest")
+
+    def _files(self, path: str):
+        """The file system of a path, and the path as it takes it."""
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return there.getFileSystem(self.spark._jsc.hadoopConfiguration()), there
 
     def metadata(self, kind: str, name: str) -> DataFrame:
         """``(size, k, cr)`` of the current version, defaults filled in."""
@@ -90,12 +105,49 @@ class Store:
         latest = self._latest(kind, name)
         if latest is None:
             raise TableMissing(f"no {KINDS[kind]} table named {name}")
-        folder = f"{self.folder(kind, name)}/data/{latest.folder}"
-        rows = self.spark.read.schema(SCHEMAS[KINDS[kind]]).parquet(folder)
+        rows, later = None, None
+        for folder in reversed(latest.folders):
+            part = self.spark.read.schema(SCHEMAS[KINDS[kind]]).parquet(f"{self.folder(kind, name)}/data/{folder}")
+            old = part if later is None else part.join(later, "doc_id", "left_anti")
+            rows = old if rows is None else rows.unionByName(old)
+            if len(latest.folders) > 1:
+                ids = part.select("doc_id")
+                later = ids if later is None else later.unionByName(ids)
         given = {"size": latest["size"], "k": latest["k"], "radius": latest["cr"]}
         space = VectorSpace(**{item: value for item, value in given.items() if value is not None})
         return Table(rows, space, latest.version)
 
+    def add(self, kind: str, name: str, rows: DataFrame) -> Table:
+        """Put rows into a corpus: earlier rows stay but for those of the same ``doc_id``.
+
+        Rows of one call that share an id all stay.
+        """
+        if KINDS.get(kind) != "corpus":
+            raise ValueError(f"rows are added to a corpus only, not to {kind}")
+        latest = self._latest(kind, name)
+        self._append(kind, name, rows, (latest.version if latest else 0) + 1, None, latest.folders if latest else [])
+        return self.open(kind, name)
+
+    def compact(self, name: str) -> Table:
+        """Write a corpus that was added to as one folder."""
+        return self.write("corpus", name, self.open("corpus", name).rows)
+
+    def prune(self, kind: str, name: str, keep: int = 1) -> int:
+        """Remove the data that none of the last ``keep`` versions consists of; returns the folders removed.
+
+        No job may be reading older versions, or writing the table.
+        """
+        if keep < 1:
+            raise ValueError("the current version has to stay")
+        versions = self.manifest(kind, name).orderBy(F.desc("version")).limit(keep).collect()
+        kept = {folder for row in versions for folder in row.folders}
+        files, path = self._files(f"{self.folder(kind, name)}/data")
+        removed = 0
+        for status in files.listStatus(path):
+            if status.getPath().getName() not in kept:
+                removed += bool(files.delete(status.getPath(), True))
+        return removed
+
     def write(self, kind: str, name: str, rows: DataFrame, space: VectorSpace | None = None) -> Table:
         """Make the rows the current version, of the space given or else the one stored."""
         latest = self._latest(kind, name)
@@ -104,7 +156,9 @@ class Store:
         self._append(kind, name, rows, (latest.version if latest else 0) + 1, space)
         return self.open(kind, name)
 
-    def _append(self, kind: str, name: str, rows: DataFrame, version: int, space: VectorSpace | None) -> None:
+    def _append(
+        self, kind: str, name: str, rows: DataFrame, version: int, space: VectorSpace | None, before: list[str] | None = None
+    ) -> None:
         schema = SCHEMAS[KINDS[kind]]
         columns = self.spark.createDataFrame([], schema).schema
         data = rows.select(*(F.col(c.name).cast(c.dataType) for c in columns))
@@ -114,10 +168,18 @@ class Store:
             # Rows leave the merge sorted by key; bloom filters let a lookup skip files.
             writer = writer.option("parquet.bloom.filter.enabled#key", "true")
         writer.parquet(f"{self.folder(kind, name)}/data/{folder}")
-        meta = (version, folder) + ((space.size, space.k, space.radius) if space else (None, None, None))
-        self.spark.createDataFrame([meta], MANIFEST).coalesce(1).write.mode("append").parquet(
-            f"{self.folder(kind, name)}/manifest"
-        )
+        meta = {"version": version, "folders": [*(before or []), folder]}
+        if space:
+            meta |= {"size": space.size, "k": space.k, "cr": space.radius}
+        files, path = self._files(f"{self.folder(kind, name)}/manifest/{version:09d}.json")
+        try:
+            out = files.create(path, False)
+        except Py4JJavaError as error:
+            if files.exists(path):
+                raise WriteConflict(f"version {version} of {name} was written by another") from error
+            raise
+        out.write(bytearray(json.dumps(meta).encode()))
+        out.close()
 
     def clear(self, kind: str, name: str) -> int:
         """Make an empty version the current one; returns the rows it has."""
