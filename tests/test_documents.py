@@ -1,9 +1,12 @@
+import random
+
 import numpy as np
 import pytest
 
 import brute
 from test_training import SPACE, docs, random_texts
 from wordspace.operators import documents, similarity, topics, training
+from wordspace.space import VectorSpace
 
 LEXICON_TEXTS = random_texts(7, 30) + ["solo"]
 TEXTS = random_texts(8, 12) + ["", "unknown words only", "solo", "hot solo unknown"]
@@ -150,3 +153,32 @@ def test_assign(spark, vectors):
     vecs = {k: v for k, (_, v) in dense(vectors).items()}
     for r in best:
         assert brute.cosine(vecs[r.left_key], vecs[int(r.right_key[1:])]) == pytest.approx(1)
+
+
+def test_best_of_rows_with_ties_and_gaps():
+    rng = np.random.default_rng(5)
+    sims = np.round(rng.random((60, 40)), 1)
+    sims[:5] = np.nan
+    sims[5:10, 30:] = np.nan
+    sims[10, 3:] = np.nan
+    names = rng.permutation(40)
+    for top in (1, 7, 40, 99):
+        for ascending in (False, True):
+            rows, cols = similarity._best(sims, names, top, ascending)
+            for i in range(60):
+                key = lambda j: (np.isnan(sims[i, j]), np.nan_to_num(sims[i, j] if ascending else -sims[i, j]), names[j])  # noqa: E731, B023
+                assert cols[rows == i].tolist() == sorted(range(40), key=key)[:top]
+
+
+def test_blocks_and_broadcasts_agree(spark, monkeypatch):
+    rng = random.Random(8)
+    vectors = [(f"k{i}", ([0, 1, 2], [float(rng.randint(-2, 2)) for _ in range(3)])) for i in range(50)]
+    rows = spark.createDataFrame(vectors, "key string, vec struct<dims:array<int>,vals:array<double>>")
+    space = VectorSpace(size=4, k=2)
+    once = sorted(map(str, similarity.all_similarities(rows, rows, space, top=6).collect()))
+    monkeypatch.setattr(similarity, "BROADCAST_BYTES", 8 * 4 * 9)
+    assert sorted(map(str, similarity.all_similarities(rows, rows, space, top=6).collect())) == once
+    monkeypatch.setattr(similarity, "BROADCASTS", 0)
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 8 * 16)
+    assert sorted(map(str, similarity.all_similarities(rows, rows, space, top=6).collect())) == once
+    assert similarity.all_similarities(rows, rows, space).count() == 2500

@@ -62,7 +62,17 @@ def test_sums_of_signed_vectors(spark):
         ],
     )
     found = {r.key: (r.weight, r.vec.dims, r.vec.vals) for r in sums.sum_vectors(rows, 4).collect()}
-    assert found == {"a": (3, [0, 3], [1, -1]), "b": (1, [1], [6]), "c": (4, [], [])}
+    assert found == {"a": (3, [0, 3], [1, -1]), "b": (1, [1], [6]), "c": (4, [], []), None: (1, [1], [1])}
+
+
+def test_a_key_of_every_task_meets_in_two_steps(spark):
+    rows = _vectors(spark, [("hot", 1, 1, ([i % 4], [i])) for i in range(640)]).repartition(64)
+    partial = sums.combine_local(rows, 4)
+    assert partial.count() == 64
+    fewer = sums.spread_sum(partial, 4)
+    assert fewer.rdd.getNumPartitions() == 8 and fewer.count() <= 8
+    found = {r.key: (r.weight, r.vec.vals) for r in sums.sum_vectors(rows, 4, few=True).collect()}
+    assert found == {"hot": (640, [sum(range(d, 640, 4)) for d in range(4)])}
 
 
 def test_sums_beyond_32_bits(spark):

@@ -22,7 +22,7 @@ def mean_vector(lexicon: DataFrame, space: VectorSpace) -> DataFrame:
     rows = lexicon.select(
         F.lit(0).alias("key"), F.lit(1).cast("bigint").alias("weight"), F.col("vec")
     )
-    total = sum_vectors(rows, space.size, real=True, unit=True)
+    total = sum_vectors(rows, space.size, real=True, unit=True, few=True)
     n = F.col("weight")
     return total.select(
         n,

@@ -12,8 +12,14 @@ from wordspace.operators.documents import FREQUENT_BYTES
 from wordspace.sources.scratch import materialize
 from wordspace.space import REAL_VECTOR, VectorSpace
 
+# Room for the rows of a block and for the product of two.
 BLOCK_BYTES = 32 << 20
 
+# Room for the right side of a search for best matches that is sent to every worker at once,
+# and how many such blocks the left side is taken past before block pairs are cheaper.
+BROADCAST_BYTES = 64 << 20
+BROADCASTS = 8
+
 # Similarities that differ by less than this many decimals rank by name.
 RANK_DECIMALS = 12
 
@@ -70,6 +76,22 @@ def _unit_rows(column: pa.ChunkedArray, size: int) -> np.ndarray:
     return np.divide(matrix, lengths, out=np.full_like(matrix, np.nan), where=lengths > 0)
 
 
+def _best(sims: np.ndarray, names: np.ndarray, top: int, ascending: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``top`` best similarities of each row, ties by name, NaN last."""
+    ranks = np.round(sims if ascending else -sims, RANK_DECIMALS)
+    if top < ranks.shape[1]:
+        bound = np.partition(ranks, top - 1, axis=1)[:, top - 1 : top]
+        # NaN sorts last, so a row that needs some of it has no bound.
+        rows, columns = np.nonzero((ranks <= bound) | np.isnan(bound))
+    else:
+        rows, columns = np.indices(ranks.shape).reshape(2, -1)
+    order = np.lexsort((names[columns], ranks[rows, columns], rows))
+    rows, columns = rows[order], columns[order]
+    first = np.searchsorted(rows, np.arange(ranks.shape[0]))
+    kept = np.arange(rows.size) - first[rows] < top
+    return rows[kept], columns[kept]
+
+
 def _block_product(size: int, top: int | None, ascending: bool):
     """Similarities of the rows of two blocks; only the best ``top`` per left row if given."""
 
@@ -81,10 +103,7 @@ def _block_product(size: int, top: int | None, ascending: bool):
             cols = np.tile(np.arange(shape[1]), shape[0])
         else:
             names = np.argsort(np.argsort(np.array(right.column("right_key").to_pylist(), dtype=object)))
-            ranks = np.round(sims if ascending else -sims, RANK_DECIMALS)
-            best = [np.lexsort((names, row))[:top] for row in ranks]
-            rows = np.repeat(np.arange(shape[0]), top)
-            cols = np.concatenate(best)
+            rows, cols = _best(sims, names, top, ascending)
         values = sims[rows, cols]
         return pa.table(
             {
@@ -97,17 +116,59 @@ def _block_product(size: int, top: int | None, ascending: bool):
     return run
 
 
+def _past_broadcast(size: int, top: int, ascending: bool, block):
+    """Similarities of streamed left rows with the best of a block that every worker holds."""
+
+    def run(batches):
+        keys, matrix = block.value
+        names = np.argsort(np.argsort(np.array(keys.to_pylist(), dtype=object)))
+        step = max(1, min(BLOCK_BYTES // (8 * size), BLOCK_BYTES // (8 * max(1, len(keys)))))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                sims = _unit_rows(pa.chunked_array([part.column("left_vec")]), size) @ matrix.T
+                rows, cols = _best(sims, names, top, ascending)
+                values = sims[rows, cols]
+                found = [part.column("left_key").take(pa.array(rows)), keys.take(pa.array(cols)), pa.array(values, mask=np.isnan(values))]
+                yield pa.RecordBatch.from_arrays(found, ["left_key", "right_key", "similarity"])
+
+    return run
+
+
+def _best_past_broadcasts(left, right, space, top, ascending, count):
+    """The left rows stay where they are; the right ones come to them in blocks of bounded size."""
+    plain = left.select(F.col("key").alias("left_key"), F.col("vec").cast(REAL_VECTOR).alias("left_vec"))
+    own = right.select("key", F.col("vec").cast(REAL_VECTOR).alias("vec"))
+    kinds = tuple(side.schema["key"].dataType.simpleString() for side in (left, right))
+    found = None
+    for number in range(count):
+        part = own if count == 1 else own.filter(F.expr(f"pmod(xxhash64(key), {count}L) = {number}"))
+        rows = part.toArrow()
+        block = left.sparkSession.sparkContext.broadcast((rows.column("key").combine_chunks(), _unit_rows(rows.column("vec"), space.size)))
+        some = plain.mapInArrow(
+            _past_broadcast(space.size, top, ascending, block), "left_key {}, right_key {}, similarity double".format(*kinds)
+        )
+        found = some if found is None else found.unionByName(some)
+    return found
+
+
 def all_similarities(
     left: DataFrame, right: DataFrame, space: VectorSpace, top: int | None = None, ascending: bool = False
 ) -> DataFrame:
     """``(left_key, right_key, similarity)`` of every left vector with every right one.
 
-    Both sides are cut into blocks of bounded size by hash, and each task multiplies one
-    pair of blocks, so no task ever holds a whole side. The result is quadratic unless
-    ``top`` asks for the best matches only, of which a block passes on no more than
-    ``top`` per left row. Both inputs are counted first; pass written tables.
+    Both sides are cut into blocks by hash such that rows and product of two blocks are
+    bounded, and each task multiplies one pair of blocks, so no task ever holds a whole
+    side. The result is quadratic unless ``top`` asks for the best matches only. Then a
+    right side of some broadcast blocks is sent past the left rows, which are not
+    shuffled; beyond that, a pair of blocks passes on ``top`` per left row. Both inputs are
+    counted first; pass written tables.
     """
-    block = max(1, BLOCK_BYTES // (8 * space.size))
+    if top is not None:
+        blocks = max(1, -(-right.count() * 8 * space.size // BROADCAST_BYTES))
+        if blocks <= BROADCASTS:
+            return _ranked(_best_past_broadcasts(left, right, space, top, ascending, blocks), top, ascending)
+    block = max(1, min(BLOCK_BYTES // (8 * space.size), int((BLOCK_BYTES // 8) ** 0.5)))
     blocks_left = max(1, -(-left.count() // block))
     blocks_right = max(1, -(-right.count() // block))
 
@@ -127,8 +188,11 @@ def all_similarities(
         _block_product(space.size, top, ascending),
         "left_key {}, right_key {}, similarity double".format(*key_types),
     )
-    if top is None:
-        return found
+    return found if top is None else _ranked(found, top, ascending)
+
+
+def _ranked(found: DataFrame, top: int, ascending: bool) -> DataFrame:
+    """The ``top`` best right keys of each left one, with their rank."""
     rank = F.round("similarity", RANK_DECIMALS)
     order = [rank.asc_nulls_last() if ascending else rank.desc_nulls_last(), F.col("right_key")]
     best = F.row_number().over(Window.partitionBy("left_key").orderBy(*order))

@@ -50,6 +50,19 @@ def combine_local(rows: DataFrame, size: int, real: bool = False, unit: bool = F
     return _rows(rows, real).mapInArrow(add_rows(size, dtype, unit=unit), packed_schema(_key_type(rows), real))
 
 
+def spread_sum(partial: DataFrame, size: int, real: bool = False) -> DataFrame:
+    """Fewer partial rows of the same sums, for a few keys that have one from every map task.
+
+    Rows meet by key and by the task they come from, dealt to about the square root of the
+    number of tasks, so no task of this step or of the final merge takes a row from each.
+    """
+    tasks = partial.rdd.getNumPartitions()
+    fan = max(1, round(tasks**0.5))
+    salted = _rows(partial, real).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan)))
+    met = salted.repartition(fan, "key", "salt") if fan > 1 else salted
+    return combine_local(met.drop("salt"), size, real)
+
+
 def merge_by_key(
     partial: DataFrame, size: int, real: bool = False, centre: np.ndarray | None = None
 ) -> DataFrame:
@@ -71,10 +84,14 @@ def merge_by_key(
 
 
 def sum_vectors(
-    rows: DataFrame, size: int, real: bool = False, unit: bool = False, centre: np.ndarray | None = None
+    rows: DataFrame, size: int, real: bool = False, unit: bool = False, centre: np.ndarray | None = None, few: bool = False
 ) -> DataFrame:
-    """Sum of ``factor * vec`` and of ``weight`` per key; ``unit`` normalises each ``vec`` first."""
-    return merge_by_key(combine_local(rows, size, real, unit), size, real, centre)
+    """Sum of ``factor * vec`` and of ``weight`` per key; ``unit`` normalises each ``vec`` first.
+
+    ``few`` says that a few keys have rows everywhere, whose sums then meet in two steps.
+    """
+    partial = combine_local(rows, size, real, unit)
+    return merge_by_key(spread_sum(partial, size, real) if few else partial, size, real, centre)
 
 
 def negate(rows: DataFrame) -> DataFrame:
