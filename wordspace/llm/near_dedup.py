@@ -9,12 +9,13 @@ components of the links.
 Document frequencies come from a count-min sketch of fixed size over all texts, so the
 weights depend on the share of texts a shingle is in, and behave alike at every size.
 
-Equal texts are one text from the start. In a band's bucket each text first proposes only
-the partner it agrees with most; two rounds of that join the members of a group of copies
-without listing its pairs. A last round then lists every pair of a bucket that is still in
-different classes and whose samples agree about as often as the threshold asks, so no
-link between classes is lost to the short cut. Buckets of any size are compared in
-blocks of bounded size.
+Equal texts are one text from the start. Texts of a band's bucket are compared by their
+samples, in blocks of bounded size, and each block hands on one row per text: the first text
+it hangs together with through pairs whose samples agree about as often as the threshold
+asks. The components of those rows are sets of texts that may be classes. In each, again in
+bounded blocks, the similarity of all such pairs is computed exactly, and a block hands on
+one row per text: the first text it is linked to, and how many links it has. So every
+candidate pair is verified, and a group of copies costs rows as many as its texts.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wordspace.llm.components import components
 from wordspace.llm.packed import squeeze, unsqueeze
-from wordspace.llm.removal import survivors
+from wordspace.llm.removal import bounded, survivors
 from wordspace.llm.words import mix, pieces, word_hashes
 from wordspace.sources.scratch import materialize
 
@@ -34,12 +35,14 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-#: Samples that have to agree before texts are read: 3.75 standard deviations below the mean at the threshold.
-AGREE = 28
-#: Rounds in which each text proposes its best partner only.
-SHORT_ROUNDS = 2
-#: Texts of a bucket that are compared at once.
+#: Samples that have to agree to put two texts in one set: 2.9 standard deviations below the mean at the threshold.
+AGREE = 30
+#: Samples that have to agree to compare two texts of a set exactly: 5 standard deviations below.
+COMPARED = 24
+#: Texts of a bucket that are compared by their samples at once.
 BLOCK = 1024
+#: Bytes of texts that are compared exactly at once.
+TEXT_BLOCK = 1 << 20
 
 _DEPTH, _WIDTH, _CHUNK = 2, 1 << 20, 1 << 14
 _LOW = (1 << 44) - 1
@@ -189,123 +192,137 @@ def _sign(rare):
     return task
 
 
-def _compare(short: bool):
-    """Pairs of one block each: the best partner of each text, or all that agree often enough."""
-    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("agree", pa.int64())])
+def _agreeing(samples: np.ndarray, rows: np.ndarray, columns: np.ndarray, least: int) -> np.ndarray:
+    """Which rows agree with which columns often enough."""
+    agree = np.zeros((rows.size, columns.size), np.int16)
+    for k in range(SAMPLES):
+        agree += samples[rows, k][:, None] == samples[columns, k][None]
+    return agree >= least
 
+
+def _first_linked(size: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest number that each of ``size`` numbers hangs together with by the pairs given."""
+    label = np.arange(size)
+    while True:
+        low = np.minimum(label[left], label[right])
+        new = label.copy()
+        np.minimum.at(new, left, low)
+        np.minimum.at(new, right, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _sides(table: pa.Table, key) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two blocks of a group."""
+    block, left, right = np.asarray(table.column("block")), key[1].as_py(), key[2].as_py()
+    rows = np.flatnonzero(block == left)
+    return rows, rows if left == right else np.flatnonzero(block == right)
+
+
+def _samples(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint16).reshape(-1, SAMPLES)
+
+
+NEAR = pa.schema([("a", pa.string()), ("b", pa.string()), ("n", pa.int64())])
+NEAR_DDL = "a string, b string, n bigint"
+
+
+def _near(ids: pa.ChunkedArray, left: list, right: list) -> pa.Table:
+    """One row per text with a partner: the first text it hangs together with, and its partners."""
+    left = np.concatenate(left) if left else np.empty(0, np.int64)
+    right = np.concatenate(right) if right else np.empty(0, np.int64)
+    label = _first_linked(len(ids), left, right)
+    partners = np.bincount(left, minlength=len(ids)) + np.bincount(right, minlength=len(ids))
+    some = np.flatnonzero(partners)
+    columns = [ids.take(pa.array(some)), ids.take(pa.array(label[some])), pa.chunked_array([pa.array(partners[some])])]
+    return pa.Table.from_arrays(columns, schema=NEAR)
+
+
+def _by_samples(key, table):
+    samples, (rows, columns) = _samples(table), _sides(table, key)
+    left, right = [], []
+    for begin in range(0, rows.size, 128):
+        some = rows[begin : begin + 128]
+        i, j = np.nonzero(_agreeing(samples, some, columns, AGREE))
+        less = some[i] != columns[j] if key[1] != key[2] else some[i] < columns[j]
+        left.append(some[i][less])
+        right.append(columns[j][less])
+    return _near(table.column("id"), left, right)
+
+
+def _by_text(rare, threshold: float):
     def group(key, table):
-        left, right = key[1].as_py(), key[2].as_py()
-        ids = np.asarray(table.column("id").to_pylist(), object)
-        _, label = np.unique(np.asarray(table.column("label").to_pylist(), object), return_inverse=True)
-        samples = np.frombuffer(b"".join(table.column("samples").to_pylist()), np.uint16).reshape(-1, SAMPLES)
-        block = np.asarray(table.column("block"))
-        rows = np.flatnonzero(block == left)
-        columns = rows if left == right else np.flatnonzero(block == right)
-        out = []
+        samples, (rows, columns) = _samples(table), _sides(table, key)
+        text, shingle, often = shingles(table.column("text").combine_chunks())
+        weight = weights(shingle, often, rare.value).astype(np.float64)
+        _, place = np.unique(shingle, return_inverse=True)
+        bounds = np.searchsorted(text, np.arange(table.num_rows + 1))
+        total = np.bincount(text, weight, table.num_rows)
+        # All entries of the columns side by side; one row at a time is laid out over all shingles.
+        entries = np.concatenate([np.arange(bounds[c], bounds[c + 1]) for c in columns]) if columns.size else np.empty(0, np.int64)
+        owner = np.repeat(np.arange(columns.size), np.diff(bounds)[columns])
+        own_place, own_weight = place[entries], weight[entries]
+        dense = np.zeros(int(place.max(initial=-1)) + 1)
+        left, right = [], []
         for begin in range(0, rows.size if columns.size else 0, 128):
             some = rows[begin : begin + 128]
-            agree = np.zeros((some.size, columns.size), np.int16)
-            for k in range(SAMPLES):
-                agree += samples[some, k][:, None] == samples[columns, k][None]
-            agree[label[some][:, None] == label[columns][None]] = 0
-            if short:
-                best = agree.argmax(axis=1)
-                found = np.flatnonzero(agree[np.arange(some.size), best] >= AGREE)
-                pairs = zip(some[found], columns[best[found]], agree[found, best[found]])
-            else:
-                i, j = np.nonzero(agree >= AGREE)
-                pairs = zip(some[i], columns[j], agree[i, j])
-            out += [(*sorted((ids[i], ids[j])), int(n)) for i, j, n in pairs]
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ([],) * 3, schema)], schema=schema)
+            agreeing = _agreeing(samples, some, columns, COMPARED)
+            for row, partners in zip(some, agreeing):
+                if key[1] == key[2]:
+                    partners = partners & (columns > row)
+                if not partners.any():
+                    continue
+                mine = slice(bounds[row], bounds[row + 1])
+                dense[place[mine]] = weight[mine]
+                looked = partners[owner]
+                common = np.bincount(owner[looked], np.minimum(dense[own_place[looked]], own_weight[looked]), columns.size)
+                dense[place[mine]] = 0
+                linked = partners & (common >= threshold * (total[row] + total[columns] - common) - 1e-9)
+                right.append(columns[linked])
+                left.append(np.full(right[-1].size, row))
+        return _near(table.column("id"), left, right)
 
     return group
 
 
-def _pairs(members: DataFrame, labels: DataFrame | None, short: bool) -> DataFrame:
-    """Candidate pairs ``(a, b)`` of texts in different classes, from buckets of more than one class."""
-    own = members if labels is None else members.join(labels.withColumnRenamed("node", "id"), "id", "left")
-    label = F.col("id") if labels is None else F.coalesce("label", "id")
-    own = materialize(own.withColumn("label", label))
-    sizes = own.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    open_buckets = sizes.filter("low <> high").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    placed = own.join(open_buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    # Block i meets each block j once: with j < i as the right one, with j >= i as the left one.
+def _in_blocks(rows: DataFrame, key: str, compare) -> DataFrame:
+    """``rows`` with ``blocks`` and a ``block`` each; block i meets each block j once, as the left one if i <= j."""
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    met = placed.withColumn("with", other).select(
-        "key", F.least("block", "with").alias("left"), F.greatest("block", "with").alias("right"), "block", "id", "label", "samples"
-    )
-    found = met.groupBy("key", "left", "right").applyInArrow(_compare(short), "a string, b string, agree bigint")
-    if not short:
-        return found.select("a", "b").distinct()
-    sides = found.select(F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y")))).alias("p"), "agree")
-    best = sides.groupBy("p.x").agg(F.max_by("p.y", F.struct("agree", "p.y")).alias("y"))
-    return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def similarity(left: pa.Array, right: pa.Array, rare: np.ndarray) -> np.ndarray:
-    """Weighted Jaccard similarity of pairs of texts; 0 where neither has words."""
-    parts = []
-    for column in (left, right):
-        text, shingle, often = shingles(column)
-        parts.append((text.astype(np.uint64) << np.uint64(44) | shingle, weights(shingle, often, rare)))
-    keys, weight = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(keys, kind="stable")
-    keys, weight = keys[order], weight[order].astype(np.float64)
-    twice = np.flatnonzero(keys[1:] == keys[:-1])
-    pair = (keys >> np.uint64(44)).astype(np.int64)
-    common = np.bincount(pair[twice], np.minimum(weight[twice], weight[twice + 1]), len(left))
-    total = np.bincount(pair, weight, len(left)) - common
-    return np.divide(common, total, out=np.zeros(len(left)), where=total > 0)
-
-
-def _verify(rare, threshold: float):
-    schema = pa.schema([("a", pa.string()), ("b", pa.string()), ("similarity", pa.float64())])
+    met = rows.withColumn("with", other).withColumns({"left": F.least("block", "with"), "right": F.greatest("block", "with")})
+    return met.drop("with", "blocks").groupBy(key, "left", "right").applyInArrow(compare, NEAR_DDL)
 
-    def task(batches):
-        for batch in batches:
-            for piece in pieces(batch, "left"):
-                found = similarity(piece.column("left"), piece.column("right"), rare.value)
-                passed = pa.array(np.flatnonzero(found >= threshold))
-                columns = [piece.column("a").take(passed), piece.column("b").take(passed), pa.array(found).take(passed)]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
-    return task
+def _may_be_near(signed: DataFrame) -> DataFrame:
+    """``(node, label)``: the texts whose samples agree often enough with another's, and a label per set."""
+    banded = signed.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
+    banded = materialize(banded)
+    # Buckets of the same texts, as copies make in most bands, are compared once.
+    same = [F.bit_xor(F.xxhash64("id", F.lit(salt))).alias(f"set{salt}") for salt in (0, 1)]
+    buckets = banded.groupBy("key").agg(F.count("*").alias("size"), *same).filter("size > 1")
+    buckets = buckets.groupBy("size", "set0", "set1").agg(F.min("key").alias("key"))
+    buckets = buckets.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    members = banded.join(buckets, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    members = members.join(signed.select("id", "samples"), "id")
+    return components(_in_blocks(members, "key", _by_samples).select("a", "b").distinct())
 
 
 def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``(a, b, similarity)``: verified links between distinct texts, by ``text_id``, that join all classes."""
-    return _linked(docs, text, threshold)[0]
-
-
-def _linked(docs: DataFrame, text: str, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The links, and the components ``(node, label)`` that they make."""
+    """``(node, label, n_links)`` by ``text_id``: each distinct text linked to another, its class and links."""
     spark = docs.sparkSession
-    # Weights count every document; samples are taken once per distinct text below.
+    # Weights count every document; samples are compared once per distinct text.
     rare = spark.sparkContext.broadcast(rarity(docs, text))
     rows = docs.select(text_id(F.col(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    array = materialize(rows.mapInArrow(_sign(rare), "id string, keys array<bigint>, samples binary"))
-    signed = array.dropDuplicates(["id"])
-    banded = signed.select("id", F.posexplode("keys").alias("band", "key")).select("id", F.xxhash64("band", "key").alias("key"))
-    banded = materialize(banded)
-    shared = banded.groupBy("key").count().filter("count > 1").select("key")
-    members = banded.join(shared, "key", "left_semi")
-    members = materialize(members.join(signed.select("id", "samples"), "id"))
-    texts = materialize(rows.join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]))
-    left, right = (texts.select(F.col("id").alias(side), F.col("text").alias(name)) for side, name in (("a", "left"), ("b", "right")))
-    ddl = "a string, b string, similarity double"
-    found = spark.createDataFrame([], ddl)
-    labels, short_rounds = None, SHORT_ROUNDS
-    while True:
-        short = short_rounds > 0
-        pairs = _pairs(members, labels, short).join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        passed = materialize(pairs.mapInArrow(_verify(rare, threshold), ddl))
-        any_passed = not passed.isEmpty()
-        if any_passed:
-            found = found.unionByName(passed).dropDuplicates(["a", "b"])
-            labels = components(found)
-        if not short:
-            return found, labels if labels is not None else components(found)
-        short_rounds = short_rounds - 1 if any_passed else 0
+    signed = materialize(rows.mapInArrow(_sign(rare), "id string, keys array<bigint>, samples binary")).dropDuplicates(["id"])
+    near = _may_be_near(signed).withColumnRenamed("node", "id")
+    texts = rows.join(bounded(near), "id").dropDuplicates(["id"])
+    texts = materialize(texts.join(signed.select("id", "samples"), "id"))
+    sizes = texts.groupBy("label").agg(F.ceil(F.sum(F.octet_length("text") + 64) / TEXT_BLOCK).cast("int").alias("blocks"))
+    placed = texts.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    found = materialize(_in_blocks(placed, "label", _by_text(rare, threshold)))
+    counts = found.groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n_links"))
+    return components(found.select("a", "b").distinct()).join(counts, "node")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -319,11 +336,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", threshold:
 
 
 def _classes(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    found, labels = _linked(docs, text, threshold)
-    both = found.select(F.explode(F.array("a", "b")).alias("node"))
-    counts = both.groupBy("node").agg(F.count("*").alias("n_links"))
     rows = docs.select(F.col(key).alias("doc"), text_id(F.col(text)).alias("mark"), F.monotonically_increasing_id().alias("row"))
-    named = labels.join(counts, "node").withColumnRenamed("node", "mark")
+    named = links(docs, text, threshold).withColumnRenamed("node", "mark")
     rows = materialize(
         rows.join(named, "mark", "left").withColumns(
             {"label": F.coalesce("label", "mark"), "n_links": F.coalesce("n_links", F.lit(0).cast("bigint"))}
