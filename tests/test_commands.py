@@ -240,3 +240,17 @@ def test_large_files_are_read_by_line(spark, bench, tmp_path):
         want = text_vectors(whole, words.rows, words.space, unit=unit).first()
         assert got.weight == want.weight and got.vec.dims == want.vec.dims and got.vec.vals == pytest.approx(want.vec.vals)
     assert bench.compare_documents("lx", str(tmp_path / "a"), str(tmp_path / "b")) == pytest.approx(1)
+
+
+def test_scratch_is_cleared(spark):
+    kept, scratch._made[:] = list(scratch._made), []
+    rows = scratch.materialize(spark.range(3))
+    path = scratch._made[-1]
+    assert rows.count() == 3 and scratch.clear_scratch(spark) == 1 and scratch._made == []
+    assert not files_there(spark, path)
+    scratch._made[:] = kept
+
+
+def files_there(spark, path):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -23,8 +23,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/wordspace-{uuid.uuid4().hex}"
+    """A new folder name under the scratch folder."""
+    _made.append(f"{scratch_dir(spark)}/wordspace-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove what this process has written to the scratch folder; returns how many folders there were.
+
+    For the end of a job: results that were not written elsewhere can no longer be read.
+    """
+    removed = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def materialize(df: DataFrame) -> DataFrame:
