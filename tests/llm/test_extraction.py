@@ -37,7 +37,7 @@ AROUND = [
 
 
 @pytest.mark.parametrize("wrap", [
-    "<article>{}</article>", "<main>{}</main>", "<main><article>{}</article></main>", "<div id='content'>{}</div>",
+    "<article>{}</article>", "<article class='post has-comments'>{}</article>", "<div class='page with-sidebar'>{}</div>", "<main>{}</main>", "<main><article>{}</article></main>", "<div id='content'>{}</div>",
     "<div class='post'><div class='body'>{}</div></div>", "<div role='main'>{}</div>", "<article><header><h1>A heading</h1><p>By someone</p></header>{}</article>",
 ])
 def test_templates(wrap):
@@ -56,7 +56,7 @@ def test_templates(wrap):
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("just text", "just text"), ("<p>", ""), ("<<<", "<<<"), ("a < b &amp; c &lt;d&gt;", "a < b & c <d>"),
     ("<nav>menu only</nav>", ""), ("<article></article>", ""), ("<p>a<br>b</p>", "a b"), ("<p>a<b>b</b>c</p>", "abc"),
-    ("<article><p>one<p>two<p><b>three<br><p>four</article>", "one two three four"), ("</div></p>x", "x"), ("<script>x", ""),
+    ("<article><p>one<p>two<p><b>three<br><p>four</article>", "one two three four"), ("</div></p>x", "x"), ("<script>x", ""), ("<article><h1 class='entry-header'>a</h1><p>b</p></article>", "a b"),
     ("<article><table><tr><td>1<td>2<tr><td>3</table></article>", "1 2 3"), ("<p>&#0;&bogus;</p>", "�&bogus;"),
 ])
 def test_odd_pages(page, text):

@@ -43,6 +43,9 @@ NAMES = re.compile(
     r"discussion|widget|widgets|toolbar|pagination|pager|login|search|skip|skiplink|copyright|legal|disclaimer|tags|taglist|"
     r"hidden|sr-only|visually-hidden)(?:$|[\s_-]|\d)"
 )
+BESIDE = ("has-", "no-", "with-", "without-", "is-")
+#: Elements whose names do not make them boilerplate.
+UNNAMED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 HEADINGS = frozenset(("h1", "h2"))
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre blockquote figure figcaption".split())
@@ -76,10 +79,11 @@ class Lines(HTMLParser):
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
             return True
-        if tag in ("html", "body", "main"):
+        if tag in UNNAMED:
             return False
-        names = CAMEL.sub("-", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()
-        return names != " " and NAMES.search(names) is not None
+        names = CAMEL.sub("-", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower().split()
+        # "has-sidebar" is the name of what stands beside one.
+        return any(NAMES.search(name) for name in names if not name.startswith(BESIDE))
 
     def _push(self, tag, attrs):
         self.number += 1
