@@ -23,7 +23,7 @@ def brute(texts, threshold=near_dedup.THRESHOLD):
     """Class number of each text; equal texts are one class."""
     sets = [shingles(t) for t in texts]
     df = Counter(x for s in sets for x in s)
-    rare = {x: 1 + min(1, np.log1p(len(texts) / n) / np.log1p(len(texts))) for x, n in df.items()}
+    rare = {x: 1 + near_dedup.RARITY * min(1, np.log1p(len(texts) / n) / np.log1p(len(texts))) for x, n in df.items()}
     parent = list(range(len(texts)))
 
     def root(i):

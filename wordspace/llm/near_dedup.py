@@ -33,6 +33,9 @@ from wordspace.sources.scratch import materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
+#: How much more the rarest shingles weigh than one that all texts have. Texts that differ do so in
+#: rare shingles, so a large factor would push copies below the threshold.
+RARITY = 0.25
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
 #: Samples that have to agree to put two texts in one set: 2.9 standard deviations below the mean at the threshold.
@@ -108,7 +111,7 @@ def _add_up(batches):
 
 
 def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
-    """Per cell of the sketch, 1 + log(1 + N/n) / log(1 + N) for n of N texts: between 1 and 2.
+    """Per cell of the sketch, 1 + RARITY log(1 + N/n) / log(1 + N) for n of N texts.
 
     The sketch is a few MB whatever the input; map tasks send on the parts they used, and
     sums of parts are taken as they stream past.
@@ -123,7 +126,7 @@ def rarity(docs: DataFrame, text: str = "text") -> np.ndarray:
         else:
             sketch[row.chunk * _CHUNK : (row.chunk + 1) * _CHUNK] = unsqueeze(row.counts, _CHUNK, np.int64)
     share = np.log1p(texts / np.maximum(sketch, 1)) / np.log1p(max(texts, 1))
-    return (1 + np.minimum(share, 1)).astype(np.float32).reshape(_DEPTH, _WIDTH)
+    return (1 + RARITY * np.minimum(share, 1)).astype(np.float32).reshape(_DEPTH, _WIDTH)
 
 
 def weights(shingle: np.ndarray, often: np.ndarray, rare: np.ndarray) -> np.ndarray:
