@@ -8,6 +8,7 @@ import sys
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -21,6 +22,9 @@ from wordspace.llm import mixing, quality, queries  # noqa: E402
 ROOT = Path(__file__).resolve().parents[2]
 
 
+CLASHING = ("path", "id", "mark", "id_of_row", "key", "digest", "row", "label", "score", "items", "edits", "budget", "epoch", "kept")
+
+
 def words(n):
     return [random.choice("the of and".split()) if random.random() < 0.3 else f"word{random.randrange(900)}" for _ in range(n)]
 
@@ -73,10 +77,11 @@ def test_run_against_plain_python(spark, tables):
 
 def test_stages_keep_columns(spark, tables):
     folder = tables[0]
-    docs = queries.table(spark, folder, "documents").withColumnsRenamed({"n_chars": "tokens_"})
-    for name, stage in corpus_pipeline.STAGES[:-1]:
+    docs = queries.table(spark, folder, "documents").withColumnsRenamed({"n_chars": "tokens"}).withColumns({c: F.lit(c) for c in CLASHING})
+    for name, stage in corpus_pipeline.STAGES:
         found = stage(spark, docs, folder)
-        assert found.columns == docs.columns and found.dtypes == docs.dtypes, name
+        more = [("mix_copies", "bigint")] if name == "mixing" else []
+        assert found.dtypes == docs.dtypes + more, name
         assert stage(spark, docs.limit(0), folder).count() == 0, name
 
 

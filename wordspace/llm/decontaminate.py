@@ -188,7 +188,8 @@ def _find(items: Items, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
 def _blocks(benchmark: DataFrame, key: str, text: str, limit: int) -> list:
     """The items as broadcast indexes of at most about ``limit`` bytes each."""
     rows = benchmark.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # Each item counts 24 bytes more, which bounds the number of items of a block too.
+    size = rows.agg(F.sum(F.octet_length("text") + 24)).first()[0] or 0
     count = 1 + 2 * size // limit if size > limit else 1
     out = []
     for number in range(count):

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordspace.llm.removal import bounded
+from wordspace.llm.removal import bounded, unused
 from wordspace.sources.scratch import materialize
 
 #: Shares of the budget: by domain, and in every domain by language; sources share alike.
@@ -93,10 +93,9 @@ def _order(epoch: Column, key: Column, seed: int) -> Column:
 
 
 def _marked(docs, names, key, text, weights, percent, epochs, seed):
-    """The documents with ``path_``, ``tokens_`` and ``copies_`` added, and the leaves."""
+    """The documents with four columns added, and their names: path, tokens, budget of the leaf, copies."""
     path = F.array(*(F.coalesce(name.cast("string"), F.lit("")) for name in names))
-    counted = docs.withColumns({"names_": path, "tokens_": tokens(F.col(text))})
-    narrow = materialize(counted.select(F.col(key).alias("key"), F.col("names_").alias("names"), F.col("tokens_").alias("tokens")))
+    narrow = materialize(docs.select(F.col(key).alias("key"), path.alias("names"), tokens(F.col(text)).alias("tokens")))
     leaves = materialize(narrow.groupBy("names").agg(F.sum("tokens").alias("tokens")))
     total = (leaves.agg(F.sum("tokens")).first()[0] or 0) * percent // 100
     plan = budgets(leaves, len(names), total, weights, epochs)
@@ -112,12 +111,12 @@ def _marked(docs, names, key, text, weights, percent, epochs, seed):
     near = ordered.join(bounded(materialize(last)), ["path", "slice"]).groupBy("path", "slice", "rest", "before", "order").agg(F.sum("tokens").alias("tokens"))
     run = F.col("before") + F.sum("tokens").over(Window.partitionBy("path", "slice").orderBy("order"))
     ends = near.withColumn("run", run).filter("run > rest").groupBy("path").agg(F.min("order").alias("end"))
-    ends = bounded(materialize(plan.select("path", "epoch", "budget").join(ends, "path", "left")).select(
-        F.col("path").alias("path_"), F.col("epoch").alias("epoch_"), F.col("end").alias("end_"), F.col("budget").alias("budget_")
-    ))
-    marked = counted.withColumn("path_", F.array_join("names_", "/")).join(ends, "path_")
-    more = F.coalesce(_order(F.col("epoch_"), F.col(key), seed) < F.col("end_"), F.lit(False))
-    return marked.withColumn("copies_", F.col("epoch_") + more.cast("bigint"))
+    path_, tokens_, budget_, copies_, epoch_, end_ = unused(docs, "path", "tokens", "budget", "copies", "epoch", "end")
+    ends = materialize(plan.select("path", "epoch", "budget").join(ends, "path", "left").select("path", "epoch", "budget", "end"))
+    ends = bounded(ends.toDF(path_, epoch_, budget_, end_))
+    marked = docs.withColumns({path_: F.array_join(path, "/"), tokens_: tokens(F.col(text))}).join(ends, path_)
+    more = F.coalesce(_order(F.col(epoch_), F.col(key), seed) < F.col(end_), F.lit(False))
+    return marked.withColumn(copies_, F.col(epoch_) + more.cast("bigint")), (path_, tokens_, budget_, copies_)
 
 
 def assign(
@@ -130,11 +129,8 @@ def assign(
     taken together. A leaf without tokens is not used. The sum of copies times tokens
     falls short of a leaf's budget by less than one document.
     """
-    marked = _marked(docs, names, key, text, weights, percent, epochs, seed)
-    return marked.select(
-        key, F.col("path_").alias("path"), F.col("tokens_").alias("n_tokens"), F.col("budget_").alias("budget"),
-        F.col("copies_").alias("copies"),
-    )
+    marked, added = _marked(docs, names, key, text, weights, percent, epochs, seed)
+    return marked.select(key, *added).toDF(key, "path", "n_tokens", "budget", "copies")
 
 
 def mix(
@@ -142,5 +138,6 @@ def mix(
     percent: int = PERCENT, epochs: int = EPOCHS, seed: int = SEED,
 ) -> DataFrame:
     """The documents that the mix holds, with all their columns and ``mix_copies``."""
-    marked = _marked(docs, names, key, text, weights, percent, epochs, seed).filter("copies_ > 0")
-    return marked.select(*(docs[c] for c in docs.columns), F.col("copies_").alias("mix_copies"))
+    marked, (*_, copies) = _marked(docs, names, key, text, weights, percent, epochs, seed)
+    held = marked.filter(F.col(copies) > 0).select(*docs.columns, copies)
+    return held.withColumnRenamed(copies, *unused(docs, "mix_copies"))

@@ -13,6 +13,16 @@ from wordspace.sources.scratch import materialize
 BROADCAST_ROWS = 1_000_000
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores after them where ``docs`` has such a column."""
+    out = []
+    for name in names:
+        while name.lower() in (c.lower() for c in docs.columns):
+            name += "_"
+        out.append(name)
+    return out
+
+
 def bounded(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """A written table of narrow rows, marked for broadcast if it has at most ``limit`` rows."""
     return F.broadcast(rows) if rows.count() <= limit else rows
@@ -30,8 +40,9 @@ def only(docs: DataFrame, listed: DataFrame, keys: list[str] | None = None) -> D
 
 def _joined(docs, listed, keys, how):
     keys = keys or listed.columns
-    named = materialize(listed.select(*(F.col(k).alias(f"__{k}") for k in keys)).distinct())
-    same = reduce(lambda a, b: a & b, (docs[k].eqNullSafe(F.col(f"__{k}")) for k in keys))
+    names = unused(docs, *(f"listed_{k}" for k in keys))
+    named = materialize(listed.select(*(F.col(k).alias(name) for k, name in zip(keys, names))).distinct())
+    same = reduce(lambda a, b: a & b, (docs[k].eqNullSafe(F.col(name)) for k, name in zip(keys, names)))
     return docs.join(bounded(named), same, how)
 
 
@@ -41,8 +52,9 @@ def survivors(docs: DataFrame, key: str, mark: Column, found: DataFrame) -> Data
     ``found`` is a written table of ``(id, mark, kept)`` with a row per row of ``docs``, where
     ``mark`` is that digest of the text. Of rows alike in both, it keeps one at most.
     """
-    lost, kept = (found.filter(c).select(F.col("id").alias("id "), F.col("mark").alias("mark ")) for c in ("NOT kept", "kept"))
-    marked = docs.withColumns({"id ": F.col(key), "mark ": mark})
+    names = unused(docs, "id_of_row", "mark_of_row")
+    lost, kept = (found.filter(c).select("id", "mark").toDF(*names) for c in ("NOT kept", "kept"))
+    marked = docs.withColumns(dict(zip(names, (F.col(key), mark))))
     # Rows alike in both, of which one stays, are on both sides.
-    single = only(marked, lost.intersect(kept)).dropDuplicates(["id ", "mark "])
-    return without(marked, lost).unionByName(single).drop("id ", "mark ")
+    single = only(marked, lost.intersect(kept)).dropDuplicates(names)
+    return without(marked, lost).unionByName(single).drop(*names)
