@@ -140,10 +140,10 @@ def _header_at(source, size: int, offset: int) -> tuple[dict[str, str], int] | N
 
 
 def _candidates(batches):
-    schema = pa.schema([("archive", pa.string()), ("at", pa.int64()), ("next", pa.int64())])
+    schema = pa.schema([("archive", pa.int64()), ("at", pa.int64()), ("next", pa.int64())])
     for batch in batches:
         out = []
-        for archive, size, begin, end in zip(*(batch.column(c).to_pylist() for c in ("archive", "bytes", "begin", "end"))):
+        for archive, number, size, begin, end in zip(*(batch.column(c).to_pylist() for c in ("archive", "number", "bytes", "begin", "end"))):
             with open_file(archive) as source:
                 place, kept = begin, b""
                 while place < end:
@@ -156,7 +156,7 @@ def _candidates(batches):
                             fields, block = known
                             after = block + int(fields["content-length"]) + len(AFTER)
                             if after <= size:
-                                out.append((archive, place + found, after))
+                                out.append((number, place + found, after))
                         found = data.find(MAGIC, found + 1)
                     place += limit
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else ([],) * 3, schema)], schema=schema)
@@ -235,13 +235,18 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = T
     it stands for, from its headers. What follows a break in the chain of an archive is not
     read. A header may take 1 MiB.
     """
+    spark = archives.sparkSession
+    # As many tasks as asked for: rows are few bytes, what is read for them is not.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    archives = materialize(archives.select("archive", "bytes", F.monotonically_increasing_id().alias("number")))
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint")))
-    ranges = archives.select("archive", "bytes", starts.alias("begin"))
+    ranges = archives.select("archive", "bytes", "number", starts.alias("begin"))
     ranges = ranges.withColumn("end", F.least(F.col("begin") + range_bytes, F.col("bytes")))
-    found = ranges.repartition("archive", "begin").mapInArrow(_candidates, "archive string, at bigint, next bigint")
+    found = ranges.repartition(tasks, "number", "begin").mapInArrow(_candidates, "archive bigint, at bigint, next bigint")
     kept = chained(materialize(found))
-    place = kept.join(archives.select("archive", "bytes"), "archive").withColumn("begin", F.expr(f"at div {range_bytes}"))
-    place = place.repartition("archive", "begin").sortWithinPartitions("archive", "at").select("archive", "bytes", "at")
+    place = kept.withColumnRenamed("archive", "number").withColumn("begin", F.expr(f"at div {range_bytes}"))
+    place = place.repartition(tasks, "number", "begin").join(bounded(archives), "number")
+    place = place.sortWithinPartitions("number", "at").select("archive", "bytes", "at")
     ddl = "archive string, at bigint, key string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary"
     return place.mapInArrow(_records(not payloads), ddl)
 
