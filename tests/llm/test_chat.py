@@ -3,7 +3,6 @@
 import hashlib
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from wordspace.llm import chat

@@ -5,7 +5,6 @@ import random
 from collections import defaultdict
 
 import pytest
-from pyspark.sql import functions as F
 
 from wordspace.llm import mixing
 
