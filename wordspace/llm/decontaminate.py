@@ -30,7 +30,7 @@ WINDOW = 800
 #: Bytes of items that are broadcast at once; more of them are searched block by block.
 BLOCK_BYTES = 4 << 20
 #: Characters of a text searched at once; longer texts are searched in overlapping parts.
-PART = 1 << 21
+PART = 1 << 20
 
 _CLASS = np.full(256, 32, np.uint8)
 _CLASS[48:58], _CLASS[97:123], _CLASS[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
