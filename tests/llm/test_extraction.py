@@ -86,6 +86,23 @@ def test_query_columns(spark):
     assert extract(pages.limit(0)).count() == 0
 
 
+CARD = "<article class='card'><a href='/c'>A card</a></article>"
+
+
+def test_an_article_element_without_the_text_is_not_the_region():
+    body = f"<div id='content'>{article()}</div>"
+    for page in (CARD + body, body + CARD, f"{CARD}{body}{CARD}"):
+        assert main_text(f"<html><body>{MENU}{page}") == " ".join(TEXT)
+    long = CARD.replace("A card", "A card whose teaser is about as long as one of the paragraphs of the text is.")
+    assert all(line in main_text(f"<html><body>{MENU}{body}{long}") for line in TEXT)
+
+
+def test_lower_cluster_menus_in_an_article():
+    menu = "<ul>" + "".join(f"<li><a href='/{i}'>Go {i}</a></li>" for i in range(9)) + "</ul>"
+    page = f"<html><body>{MENU}<article>{menu}{article().replace(TEXT[0], f'<a href=/>{TEXT[0]}</a>')}</article>"
+    assert main_text(page) == " ".join(TEXT)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

@@ -4,8 +4,9 @@ The events of the standard library's parser cut a page into lines, one per block
 Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian and split in
 two clusters by a threshold, after Weninger, Hsu and Han (2010). The lines of the upper
 cluster outside of parts that name themselves boilerplate show where the content is:
-in the article elements that hold such lines, or else in the innermost division that
-holds nearly all their text. What stands in that region, short lines too, is the text.
+in the innermost division that holds nearly all their text, or in the article elements
+around them if those hold as much. What stands there, short lines too but no menus, is
+the text.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 #: Spread of the smoothing, in lines.
 SIGMA = 1.0
-#: Share of the upper cluster's text that the region has to hold where no article is marked.
+#: Share of the upper cluster's text that the region has to hold, marked as article or not.
 HELD = 0.8
 #: Share of link text from which a line of the lower cluster in such a region is a menu.
 LINKED = 0.6
@@ -200,6 +201,12 @@ def _holding(lines: list, some: list[int], share: float) -> set[int]:
     return {element for element, n in held.items() if n >= needed}
 
 
+def _hold(elements: set[int], lines: list, some: list[int], share: float) -> bool:
+    """Whether elements hold together a share of the text of some lines."""
+    held = sum(len(lines[i][0]) for i in some if not elements.isdisjoint(lines[i][3]))
+    return held >= share * sum(len(lines[i][0]) for i in some)
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page, empty if it has none."""
     parser = Lines()
@@ -212,18 +219,16 @@ def main_text(html: str | None) -> str:
     values = smoothed(np.array([len(line[0]) / max(1, line[1]) for line in lines]))
     limit = threshold(values)
     core = [i for i in inside if values[i] >= limit] or inside
-    articles = {e for i in core for e in lines[i][3]} & set(parser.articles)
-    if not articles:
-        articles = {e for i in inside for e in lines[i][3]} & set(parser.articles)
-    if articles:
-        return " ".join(lines[i][0] for i in inside if not articles.isdisjoint(lines[i][3]))
-    # Elements are numbered as they open, so the last that holds enough is the innermost.
-    region = max(_holding(lines, core, HELD) & _holding(lines, inside, HELD / 2) - parser.leaves, default=None)
+    regions = {e for i in core for e in lines[i][3]} & set(parser.articles)
+    marked = bool(regions) and _hold(regions, lines, core, HELD) and _hold(regions, lines, inside, HELD / 2)
+    if not marked:
+        # Elements are numbered as they open, so the last that holds enough is the innermost.
+        regions = {max(_holding(lines, core, HELD) & _holding(lines, inside, HELD / 2) - parser.leaves, default=0)}
     out = []
     for i in inside:
         text, _, linked, opened, _, heading = lines[i]
-        menu = linked > LINKED * len(text) and values[i] < limit
-        if not menu and (region is None or region in opened or heading):
+        menu = linked > LINKED * len(text) and values[i] < limit and not heading
+        if not menu and (regions == {0} or not regions.isdisjoint(opened) or heading and not marked):
             out.append(text)
     return " ".join(out)
 
