@@ -103,6 +103,32 @@ def test_lower_cluster_menus_in_an_article():
     assert main_text(page) == " ".join(TEXT)
 
 
+WRAPS = ["<div class='layout right-sidebar'>{}</div>", "<div id='legal'>{}</div>", "<section class='discussion'>{}</section>", "<div class='social-science'>{}</div>"]
+
+
+@pytest.mark.parametrize("wrap", WRAPS)
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<div class='body'>{}</div>"])
+def test_names_do_not_veto_what_holds_the_text(wrap, inner):
+    part = wrap.format(inner.format(article()))
+    for page in (part, MENU + part, "".join(AROUND[:7]) + part + "".join(AROUND[7:]), CARD + part, part + "<div>Some line</div>"):
+        assert main_text(f"<html><body>{page}").startswith(" ".join(TEXT))
+    beside = wrap.format(inner.format(article()) + AROUND[3] + AROUND[5])
+    assert main_text(f"<html><body>{MENU}{beside}") == " ".join(TEXT)
+    assert main_text(wrap.format("<p>a few words</p>")) == "a few words"
+
+
+def test_names_veto_small_parts_beside_an_article():
+    page = "<div class='ad'>Words of an advert, more of them than there are in the article.</div><article><h1>Ab.</h1><p>Ab.</p></article>"
+    assert main_text(page) == "Ab. Ab."
+    comments = "".join(f"<div class='comment'><p>{TEXT[1]} {i}</p></div>" for i in range(8000))
+    assert main_text(f"{article()}{comments}") == " ".join(TEXT)
+
+
+def test_formulas_stay():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>x = 1</annotation></semantics></math>"
+    assert main_text(f"<article><p>We find {formula} here.</p></article>") == "We find x=1 here."
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables here")
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")

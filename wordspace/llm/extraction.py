@@ -3,10 +3,13 @@
 The events of the standard library's parser cut a page into lines, one per block element.
 Each line has a text-to-tag ratio; the ratios are smoothed with a Gaussian and split in
 two clusters by a threshold, after Weninger, Hsu and Han (2010). The lines of the upper
-cluster outside of parts that name themselves boilerplate show where the content is:
+cluster outside of boilerplate show where the content is:
 in the innermost division that holds nearly all their text, or in the article elements
 around them if those hold as much. What stands there, short lines too but no menus, is
 the text.
+
+Boilerplate are elements and roles that say so. Class names and ids are evidence only: a part
+with such a name is left out unless it holds much of the upper cluster's text.
 """
 
 from __future__ import annotations
@@ -25,14 +28,18 @@ SIGMA = 1.0
 HELD = 0.8
 #: Share of link text from which a line of the lower cluster in such a region is a menu.
 LINKED = 0.6
+#: Share and characters of the upper cluster's text from which a part is content whatever its name.
+SMALL, LEAST = 1 / 3, 100
 
 # Elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr".split()
+    "strike strong sub sup time tt u var wbr "
+    "math semantics mrow mstyle mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mpadded "
+    "mmultiscripts mprescripts menclose mphantom merror".split()
 )
-SKIPPED = frozenset("head script style noscript template iframe object svg math canvas audio video select textarea button datalist".split())
+SKIPPED = frozenset("head script style noscript template iframe object svg annotation annotation-xml canvas audio video select textarea button datalist".split())
 AROUND = frozenset("nav aside footer form menu dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 #: Words in class names and ids of parts around the content.
@@ -60,7 +67,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.words, self.tags, self.linked, self.links = [], [], 0, 0, 0
-        self.open, self.number, self.articles, self.leaves = [], 0, [], set()
+        self.open, self.number, self.articles, self.leaves, self.named = [], 0, [], set(), set()
         self.skipping, self.around, self.in_article = 0, 0, 0
 
     def _end_line(self):
@@ -80,6 +87,9 @@ class Lines(HTMLParser):
             return True
         if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
             return True
+        return False
+
+    def _is_named(self, tag, attrs):
         if tag in UNNAMED:
             return False
         names = CAMEL.sub("-", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower().split()
@@ -95,6 +105,8 @@ class Lines(HTMLParser):
         self.open.append((tag, self.number, skipped, around, article))
         self.skipping += skipped
         self.around += around
+        if not skipped and self._is_named(tag, attrs):
+            self.named.add(self.number)
         if tag in LEAVES:
             self.leaves.add(self.number)
         if article and not self.in_article:
@@ -119,7 +131,7 @@ class Lines(HTMLParser):
             if tag == "img":
                 return
             attrs = dict(attrs)
-            if tag != "a" and attrs and self._is_around(tag, attrs):
+            if tag != "a" and attrs and (self._is_around(tag, attrs) or self._is_named(tag, attrs)):
                 self._end_line()
                 self._push(tag, attrs)
             return
@@ -207,17 +219,50 @@ def _hold(elements: set[int], lines: list, some: list[int], share: float) -> boo
     return held >= share * sum(len(lines[i][0]) for i in some)
 
 
+def _outside(lines: list, upper: np.ndarray, named: set[int], articles: set[int]) -> list[int]:
+    """The lines outside of boilerplate; at least one unless elements and roles leave none.
+
+    Named parts are looked at from the smallest on, each for its share of what is left. Where
+    an article element stands outside of all of them, a part has to outweigh it.
+    """
+    inside = [i for i, line in enumerate(lines) if not line[4]]
+    core = {i for i in inside if upper[i]} or set(inside)
+    size = {i: len(lines[i][0]) for i in inside}
+    members: dict[int, list[int]] = {}
+    for i in inside:
+        for element in named.intersection(lines[i][3]):
+            members.setdefault(element, []).append(i)
+    if not members:
+        return inside
+    marked = any(not articles.isdisjoint(lines[i][3]) and named.isdisjoint(lines[i][3]) for i in inside)
+    all_core, all_text, gone = sum(size[i] for i in core), sum(size.values()), set()
+    weights = {e: (sum(size[i] for i in own), -e) for e, own in members.items()}
+    for element in sorted(members, key=weights.get):
+        if not all_core:
+            core, all_core = set(inside) - gone, all_text
+        own = [i for i in members[element] if i not in gone]
+        held, text = sum(size[i] for i in own if i in core), sum(size[i] for i in own)
+        share = HELD if marked else SMALL
+        content = held >= LEAST and held >= share * all_core and text >= share / 2 * all_text
+        if not content and (marked or held < HELD * all_core or text < HELD * all_text):
+            gone.update(own)
+            all_core, all_text = all_core - held, all_text - text
+    return [i for i in inside if i not in gone]
+
+
 def main_text(html: str | None) -> str:
     """The main text of one page, empty if it has none."""
     parser = Lines()
     parser.feed(html or "")
     parser.close()
     lines = parser.lines
-    inside = [i for i, line in enumerate(lines) if not line[4]]
-    if not inside:
+    if not lines:
         return ""
     values = smoothed(np.array([len(line[0]) / max(1, line[1]) for line in lines]))
     limit = threshold(values)
+    inside = _outside(lines, values >= limit, parser.named, set(parser.articles))
+    if not inside:
+        return ""
     core = [i for i in inside if values[i] >= limit] or inside
     regions = {e for i in core for e in lines[i][3]} & set(parser.articles)
     marked = bool(regions) and _hold(regions, lines, core, HELD) and _hold(regions, lines, inside, HELD / 2)
