@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from wordspace.llm import decontaminate
@@ -102,3 +103,33 @@ def test_repeated_rows_stay_apart(spark):
     docs = spark.createDataFrame([(1, "some words that are an item")] * 2 + [(None, "some words that are an item")], "doc_id bigint, text string")
     bench = spark.createDataFrame([(4, "some words that are an item"), (4, "some words that are an item"), (None, "words that are an item")], "item_id bigint, text string")
     assert [r["items"] for r in decontaminate.quotations(docs, bench).collect()] == [[4]] * 3
+
+
+def test_passages_at_every_offset():
+    random.seed(8)
+    for size in (1, 60, 200, 900):
+        whole = words(50 + size)
+        item = normal(whole).decode("utf-8", "replace").replace("\ufffd", "e")
+        block = decontaminate.index([5], [item])
+        least = decontaminate.PASSAGE
+        around = [words(20) + " ", " " + words(20)]
+        starts = range(0, len(item.encode()) - least + 1, 1 if size < 900 else 7)
+        texts = [around[0] + item.encode()[at : at + least].decode("utf-8", "ignore") + around[1] for at in starts]
+        found = decontaminate.find(block, pa.array(texts))
+        assert set(found[0].tolist()) == set(range(len(texts)))
+        assert decontaminate.find(block, pa.array([words(60) for _ in range(50)]))[0].size == 0
+
+
+def test_passages_of_fifty_words(spark):
+    random.seed(9)
+    items = [words(n) for n in (70, 130, 400, 2000)]
+    docs, want = [], {}
+    for number, item in enumerate(items):
+        parts = item.split(" ")
+        for at in range(0, len(parts) - 50, 9):
+            want[len(docs)] = [number]
+            docs.append((len(docs), words(30) + " " + " ".join(parts[at : at + 50]) + " " + words(30)))
+    docs = spark.createDataFrame(docs, "doc_id bigint, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    assert {r.doc_id: r["items"] for r in decontaminate.quotations(docs, bench).collect()} == want
+    assert decontaminate.drop_contaminated(docs, bench).count() == 0

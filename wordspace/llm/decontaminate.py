@@ -7,6 +7,10 @@ m - q + 1 - k q of the item's q-grams with the item, on diagonals at most k apar
 shared q-grams are counted in bands of 2 (k + 1) diagonals that overlap by half, bands that
 reach the bound are kept, and a banded alignment of item and text decides.
 
+A passage of an item is found too: short windows stand so dense in longer items that every
+passage of ``PASSAGE`` characters holds one. They are searched for where shared q-grams, all
+windows taken together, are as many in a band as one of them needs.
+
 Characters beyond ASCII count as their UTF-8 bytes. Texts never move: the items, in blocks
 of bounded size, go to the texts.
 """
@@ -27,6 +31,10 @@ Q = 8
 EDITS = 0.1
 #: Longer items are searched by windows of this many characters, begun every half of it.
 WINDOW = 800
+#: Windows for passages of an item, and how far apart they begin; shorter items have none.
+SHORT, STRIDE = 256, 16
+#: Characters from which any passage of an item holds a short window.
+PASSAGE = SHORT + STRIDE - 1
 #: Bytes of items that are broadcast at once; more of them are searched block by block.
 BLOCK_BYTES = 4 << 20
 #: Characters of a text searched at once; longer texts are searched in overlapping parts.
@@ -36,6 +44,8 @@ _CLASS = np.full(256, 32, np.uint8)
 _CLASS[48:58], _CLASS[97:123], _CLASS[128:] = np.arange(48, 58), np.arange(97, 123), np.arange(128, 256)
 _CLASS[65:91] = np.arange(97, 123)
 _TABLE_BITS = 22
+#: Bits of a band's number: the part of a text above, the window, and the cell of its diagonal.
+_WINDOW_BITS, _CELL_BITS = 22, 22
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -58,16 +68,22 @@ def grams(data: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of items ready to be searched for."""
+    """A block of items ready to be searched for, by windows of their ``data``.
+
+    The first ``whole`` windows are those of whole items and of ``WINDOW`` characters, the
+    others the short ones; either are in the order of their places.
+    """
 
     ids: np.ndarray
     data: np.ndarray
-    offsets: np.ndarray
+    owner: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    whole: int
     budget: np.ndarray
     least: np.ndarray
     grams: np.ndarray
     first: np.ndarray
-    item: np.ndarray
     place: np.ndarray
     table: np.ndarray
 
@@ -76,40 +92,43 @@ def index(ids, texts: list[str | None], edits: float = EDITS) -> Items | None:
     """None if no item has the eight characters it takes to be searched for."""
     raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
     data, offsets = normalise(raw, offsets)
+    spans = list(enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())))
     cut = [
-        (i, data[begin : min(begin + WINDOW, end)])
-        for i, (start, end) in enumerate(zip(offsets[:-1], offsets[1:]))
+        (i, begin, min(begin + WINDOW, end))
+        for i, (start, end) in spans
         for begin in range(start, max(start + 1, end - WINDOW // 2), WINDOW // 2)
         if min(begin + WINDOW, end) - begin >= Q
     ]
     if not cut:
         return None
-    sizes = np.array([w.size for _, w in cut])
+    whole = len(cut)
+    cut += [(i, begin, begin + SHORT) for i, (start, end) in spans if end - start > SHORT for begin in range(start, end - SHORT + 1, STRIDE)]
+    if len(cut) >= 1 << _WINDOW_BITS:
+        raise ValueError("too many windows in one block of items")
+    owner, start, stop = np.array(cut, np.int64).T.copy()
+    sizes = stop - start
     # An item must share one q-gram at least, so short items have a smaller budget.
     budget = np.minimum((sizes * edits).astype(np.int64), (sizes - Q) // Q)
-    found = [grams(w) for _, w in cut]
-    all_grams = np.concatenate(found)
-    item = np.repeat(np.arange(len(cut)), [g.size for g in found])
-    place = np.concatenate([np.arange(g.size) for g in found])
-    order = np.argsort(all_grams, kind="stable")
-    distinct, first = np.unique(all_grams[order], return_index=True)
+    found = grams(data)
+    # Those across the ends of items are in no window.
+    place = np.flatnonzero(np.searchsorted(offsets, np.arange(found.size), "right") == np.searchsorted(offsets, np.arange(found.size) + Q, "left"))
+    order = place[np.argsort(found[place], kind="stable")]
+    distinct, first = np.unique(found[order], return_index=True)
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[distinct * _SPREAD >> np.uint64(64 - _TABLE_BITS)] = True
-    return Items(
-        np.array([ids[i] for i, _ in cut], object), np.concatenate([w for _, w in cut]), np.append(0, np.cumsum(sizes)), budget,
-        sizes - Q + 1 - budget * Q, distinct, np.append(first, order.size), item[order], place[order], table,
-    )
+    least = sizes - Q + 1 - budget * Q
+    return Items(np.array([*ids, None], object)[:-1], data, owner, start, stop, whole, budget, least, distinct, np.append(first, order.size), order, table)
 
 
 def align(items: Items, data: np.ndarray, item: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Least edits between each item and a part of ``data[begin:end]`` near the diagonals from ``low`` on."""
-    sizes = np.diff(items.offsets)[item]
+    sizes = (items.stop - items.start)[item]
     most = int(items.budget[item].max())
     width, rows = 4 * most + 2, int(sizes.max())
     at = (low - items.budget[item])[:, None] + np.arange(rows + width)
     inside = (at >= begin[:, None]) & (at < end[:, None])
     text = np.where(inside, data[np.clip(at, 0, max(data.size - 1, 0))], 0)
-    wanted = items.offsets[item][:, None] + np.arange(rows)
+    wanted = items.start[item][:, None] + np.arange(rows)
     wanted = items.data[np.minimum(wanted, items.data.size - 1)]
     best = np.full(item.size, np.iinfo(np.int16).max, np.int16)
     ramp = np.arange(width, dtype=np.int16)
@@ -157,32 +176,77 @@ def _find(items: Items, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
     inside = at + Q <= end[part]
     at, known, part = at[inside], known[inside], part[inside]
     counts = items.first[known + 1] - items.first[known]
-    entry = np.repeat(items.first[known] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-    item, part = items.item[entry], np.repeat(part, counts)
+    place, at, part = items.place[_ranges(items.first[known], counts)], np.repeat(at, counts), np.repeat(part, counts)
+    found = _aligned(items, data, base, begin, end, at, place, part, 0, items.whole)
+    if items.whole == items.start.size:
+        return found
+    some = _dense(items, place, at - base, part)
+    more = _aligned(items, data, base, begin, end, at[some], place[some], part[some], items.whole, items.start.size, found)
+    return tuple(np.concatenate(both) for both in zip(found, more))
+
+
+def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, as many as its count, end to end."""
+    return np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+
+
+def _banded(cells: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bands of two neighbouring cells, by the lower one, and their votes."""
+    if not cells.size:
+        return cells, votes
+    both = np.union1d(cells, cells - np.uint64(1))
+    band = np.zeros(both.size, np.int64)
+    for cell in (both, both + np.uint64(1)):
+        there = np.minimum(np.searchsorted(cells, cell), cells.size - 1)
+        band += np.where(cells[there] == cell, votes[there], 0)
+    return both, band
+
+
+def _dense(items: Items, place: np.ndarray, at: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The shared q-grams in bands that hold as many as a short window needs.
+
+    The diagonals are those of the data of all items, so that one count serves all windows.
+    """
+    width = int(items.budget[items.whole]) + 1
+    cell = part.astype(np.uint64) << np.uint64(40) | ((at - place + items.data.size) // width + 1).astype(np.uint64)
+    cells, where, votes = np.unique(cell, return_inverse=True, return_counts=True)
+    both, band = _banded(cells, votes)
+    full = both[band >= items.least[items.whole]]
+    return np.flatnonzero((np.isin(cells, full) | np.isin(cells, full + np.uint64(1)))[where])
+
+
+def _aligned(items: Items, data, base, begin, end, at, place, part, first: int, last: int, known=None):
+    """``(part, window, edits)`` of the windows from ``first`` to ``last`` within budget.
+
+    Items that are ``known`` to be quoted in a part are not looked for in it again.
+    """
+    low = first + np.searchsorted(items.stop[first:last], place + Q, "left")
+    counts = np.maximum(first + np.searchsorted(items.start[first:last], place, "right") - low, 0)
+    window, at, place, part = _ranges(low, counts), np.repeat(at, counts), np.repeat(place, counts), np.repeat(part, counts)
+    if known is not None:
+        pair = known[0] * items.ids.size + items.owner[known[1]]
+        new = np.isin(part * items.ids.size + items.owner[window], pair, invert=True)
+        window, at, place, part = window[new], at[new], place[new], part[new]
     # Diagonals from zero up, in cells of k + 1; two neighbouring cells are one band.
-    diagonal = np.repeat(at, counts) - base - items.place[entry] + WINDOW
-    cell = diagonal // (items.budget[item] + 1)
+    diagonal = at - base - (place - items.start[window]) + WINDOW
+    cell = diagonal // (items.budget[window] + 1) + 1
+    part_shift, window_shift = np.uint64(_WINDOW_BITS + _CELL_BITS), np.uint64(_CELL_BITS)
     cells, votes = np.unique(
-        part.astype(np.uint64) << np.uint64(44) | item.astype(np.uint64) << np.uint64(26) | cell.astype(np.uint64),
-        return_counts=True,
+        part.astype(np.uint64) << part_shift | window.astype(np.uint64) << window_shift | cell.astype(np.uint64), return_counts=True
     )
-    both = np.union1d(cells, cells - np.uint64(1))
-    here = np.searchsorted(cells, both)
-    band = np.where(cells[np.minimum(here, cells.size - 1)] == both, votes[np.minimum(here, cells.size - 1)], 0) if cells.size else votes
-    there = np.minimum(np.searchsorted(cells, both + np.uint64(1)), cells.size - 1)
-    band = band + np.where(cells[there] == both + np.uint64(1), votes[there], 0) if cells.size else band
-    item = (both >> np.uint64(26) & np.uint64((1 << 18) - 1)).astype(np.int64)
-    passed = np.flatnonzero(band >= items.least[item])
-    both, item = both[passed], item[passed]
-    part = (both >> np.uint64(44)).astype(np.int64)
-    low = (both & np.uint64((1 << 26) - 1)).astype(np.int64) * (items.budget[item] + 1) - WINDOW + base
-    order = np.argsort(np.diff(items.offsets)[item], kind="stable")
-    edits = np.empty(item.size, np.int64)
+    both, band = _banded(cells, votes)
+    window = (both >> window_shift & np.uint64((1 << _WINDOW_BITS) - 1)).astype(np.int64)
+    passed = np.flatnonzero(band >= items.least[window])
+    both, window = both[passed], window[passed]
+    part = (both >> part_shift).astype(np.int64)
+    low = ((both & np.uint64((1 << _CELL_BITS) - 1)).astype(np.int64) - 1) * (items.budget[window] + 1) - WINDOW + base
+    order = np.argsort((items.stop - items.start)[window], kind="stable")
+    edits = np.empty(window.size, np.int64)
     for some in np.split(order, range(128, order.size, 128)):
         if some.size:
-            edits[some] = align(items, data, item[some], low[some], begin[part[some]], end[part[some]])
-    good = edits <= items.budget[item]
-    return part[good], item[good], edits[good]
+            edits[some] = align(items, data, window[some], low[some], begin[part[some]], end[part[some]])
+    good = edits <= items.budget[window]
+    return part[good], window[good], edits[good]
 
 
 def _blocks(benchmark: DataFrame, key: str, text: str, limit: int) -> list:
@@ -210,7 +274,7 @@ def _search(items):
                 text, window, edits = find(block, piece.column("text"))
                 lists, least = piece.column("items").to_pylist(), piece.column("edits").to_pylist()
                 for t, w, e in zip(text.tolist(), window.tolist(), edits.tolist()):
-                    lists[t] = lists[t] + [block.ids[w]]
+                    lists[t] = lists[t] + [block.ids[block.owner[w]]]
                     least[t] = e if least[t] is None else min(least[t], e)
                 columns = [piece.column("id"), piece.column("text"), pa.array(lists, piece.schema.field("items").type), pa.array(least, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, piece.schema.names)
@@ -225,7 +289,8 @@ def quotations(
     """``(key, contaminated, items, edits)`` per row of ``docs``.
 
     ``items`` are the distinct ids of the quoted items in order, ``edits`` the least number of
-    edits (null without any). Null texts are empty and quote nothing; items of fewer than
+    edits (null without any); an item counts with those of its passages only where it is not
+    quoted as a whole, or by a window of 800 characters if it is longer. Null texts are empty and quote nothing; items of fewer than
     eight normalised characters, null ones too, are not searched for, and items with a null id
     count but are not listed. Repeated rows stay apart.
     """
