@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from wordspace.llm import warc
@@ -90,3 +91,22 @@ def test_broken_archive_is_read_up_to_the_break(spark):
         out.write(data[: offsets[12]] + b"XXXX" + data[offsets[12] + 4 :])
     archives = spark.createDataFrame([(row.archive, row.bytes)], "archive string, bytes bigint")
     assert sorted(r.at for r in warc.read(archives).collect()) == offsets[:12]
+
+
+def test_headers_of_any_length(spark):
+    rows = [(i, f"http://{i}" + "/x" * ((3 << 19) + i if i in (4, 9) else i), f"page {i}") for i in range(15)]
+    archives = warc.write(pages(spark, rows).coalesce(1), scratch_path(spark))
+    assert archives.count() == 1
+    want = {str(i): u for i, u, _ in rows}
+    assert {r.key: r.url for r in warc.read(archives).collect()} == want
+    assert {r.key: r.url for r in warc.read(archives.select("archive", "bytes")).collect()} == want
+
+
+def test_missing_records_are_an_error(spark):
+    archives = warc.write(pages(spark, [(i, "u", f"page {i}") for i in range(20)]).coalesce(1), scratch_path(spark))
+    path = local_path(archives.first().archive)
+    data, at = open(path, "rb").read(), sequential(path)[12]
+    with open(path, "wb") as out:
+        out.write(data[:at] + b"XXXX" + data[at + 4 :])
+    with pytest.raises(ValueError, match="20 records written, 12 found"):
+        warc.read(archives)

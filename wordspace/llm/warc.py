@@ -29,8 +29,6 @@ from wordspace.sources.scratch import materialize, scratch_path
 REVISITED = 1000
 #: Bytes after which a task begins another archive, and of the ranges in which archives are read.
 ARCHIVE_BYTES, RANGE_BYTES = 64 << 20, 8 << 20
-#: Longest header of a record.
-HEADER_BYTES = 1 << 20
 #: Bytes read at once.
 READ_BYTES = 1 << 20
 
@@ -61,28 +59,30 @@ def record(key: str | None, url: str | None, payload: bytes, digest: str, refers
 
 
 def _write(folder: str, archive_bytes: int):
-    schema = pa.schema([("archive", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
+    schema = pa.schema([("archive", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("header", pa.int64())])
 
     def task(batches):
-        out, name, size, count, done = None, "", 0, 0, []
+        out, name, size, count, longest, done = None, "", 0, 0, 0, []
         for batch in batches:
             for row in zip(*(batch.column(i) for i in range(batch.num_columns))):
                 key, url, html, digest, refers_to, revisit = (v.as_py() for v in row)
                 if out is None:
-                    name, size, count = f"{folder}/{uuid.uuid4().hex}.warc", 0, 0
+                    name, size, count, longest = f"{folder}/{uuid.uuid4().hex}.warc", 0, 0, 0
                     out = open_output(name)
-                for part in record(key, url, html, digest, refers_to, revisit):
+                parts = record(key, url, html, digest, refers_to, revisit)
+                longest = max(longest, len(parts[0]))
+                for part in parts:
                     out.write(part)
                     size += len(part)
                 count += 1
                 if size >= archive_bytes:
                     out.close()
                     out = None
-                    done.append((name, size, count))
+                    done.append((name, size, count, longest))
         if out is not None:
             out.close()
-            done.append((name, size, count))
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done) if done else ([],) * 3, schema)], schema=schema)
+            done.append((name, size, count, longest))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done) if done else ([],) * 4, schema)], schema=schema)
 
     return task
 
@@ -90,12 +90,12 @@ def _write(folder: str, archive_bytes: int):
 def write(
     pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
-    """Archives of all pages under ``folder``; ``(archive, bytes, records)`` of those written.
+    """Archives of all pages under ``folder``; ``(archive, bytes, records, header)`` of those written.
 
     Of equal payloads of at least 1,000 bytes the row with the largest id is a response and
     the others revisit it; rows that share that id are all responses, and so are rows
     with equal payloads none of which has an id. Null html is empty. Archives that a task
-    wrote before it was lost are not listed.
+    wrote before it was lost are not listed. ``header`` are the bytes of the longest header.
     """
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     digests = materialize(
@@ -111,7 +111,7 @@ def write(
         F.col("key").cast("string"), F.col("url").cast("string"), "html", "digest",
         F.when(revisit, F.col("held").cast("string")).alias("held"), revisit.alias("revisit"),
     )
-    return materialize(rows.mapInArrow(_write(folder, archive_bytes), "archive string, bytes bigint, records bigint"))
+    return materialize(rows.mapInArrow(_write(folder, archive_bytes), "archive string, bytes bigint, records bigint, header bigint"))
 
 
 def header(data: bytes) -> dict[str, str] | None:
@@ -125,17 +125,25 @@ def header(data: bytes) -> dict[str, str] | None:
     return fields if fields.get("content-length", "").isascii() and fields.get("content-length", "").isdigit() else None
 
 
-def _header_at(source, size: int, offset: int) -> tuple[dict[str, str], int] | None:
+def _header_at(source, size: int, offset: int, longest: int) -> tuple[dict[str, str], int] | None:
     """The fields of a record at an offset and where its block begins."""
     source.seek(offset)
-    data = source.read(min(8192, size - offset))
+    most = min(longest, size - offset)
+    data = bytearray(source.read(min(8192, most)))
+    if not data.startswith(MAGIC):
+        return None
     end = data.find(AFTER)
-    while end < 0 and len(data) < min(HEADER_BYTES, size - offset):
-        data += source.read(min(max(len(data), 8192), size - offset - len(data)))
-        end = data.find(AFTER)
-    if end < 0 or not data.startswith(MAGIC):
+    while end < 0 and len(data) < most:
+        # The mark may lie across what is read at once.
+        known = max(0, len(data) - len(AFTER) + 1)
+        more = source.read(min(max(len(data), 8192), most - len(data)))
+        if not more:
+            break
+        data += more
+        end = data.find(AFTER, known)
+    if end < 0:
         return None
-    fields = header(data[len(MAGIC) : end])
+    fields = header(bytes(data[len(MAGIC) : end]))
     return None if fields is None else (fields, offset + end + len(AFTER))
 
 
@@ -143,7 +151,7 @@ def _candidates(batches):
     schema = pa.schema([("archive", pa.int64()), ("at", pa.int64()), ("next", pa.int64())])
     for batch in batches:
         out = []
-        for archive, number, size, begin, end in zip(*(batch.column(c).to_pylist() for c in ("archive", "number", "bytes", "begin", "end"))):
+        for archive, number, size, longest, begin, end in zip(*(batch.column(c).to_pylist() for c in ("archive", "number", "bytes", "header", "begin", "end"))):
             with open_file(archive) as source:
                 place, kept = begin, b""
                 while place < end:
@@ -152,7 +160,7 @@ def _candidates(batches):
                     limit = min(READ_BYTES, end - place)
                     found = data.find(MAGIC)
                     while 0 <= found < limit:
-                        if (known := _header_at(source, size, place + found)) is not None:
+                        if (known := _header_at(source, size, place + found, longest)) is not None:
                             fields, block = known
                             after = block + int(fields["content-length"]) + len(AFTER)
                             if after <= size:
@@ -205,7 +213,7 @@ def _records(sizes: bool):
 
 
 def _read(source, size: int, at: int, digests_only: bool):
-    fields, block = _header_at(source, size, at)
+    fields, block = _header_at(source, size, at, size)
     kind = fields.get("warc-type")
     source.seek(block)
     left = int(fields["content-length"])
@@ -233,19 +241,28 @@ def read(archives: DataFrame, range_bytes: int = RANGE_BYTES, payloads: bool = T
 
     Length and digest are those of the payload as read; a revisit has those of the payload
     it stands for, from its headers. What follows a break in the chain of an archive is not
-    read. A header may take 1 MiB.
+    read; where ``archives`` has the ``records`` written, fewer or more found are an error.
+    A header ends within the ``header`` bytes given, or else anywhere in its archive.
     """
     spark = archives.sparkSession
     # As many tasks as asked for: rows are few bytes, what is read for them is not.
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    archives = materialize(archives.select("archive", "bytes", F.monotonically_increasing_id().alias("number")))
+    longest = F.col("header") if "header" in archives.columns else F.col("bytes")
+    records = F.col("records") if "records" in archives.columns else F.lit(None).cast("bigint")
+    archives = materialize(
+        archives.select("archive", "bytes", longest.alias("header"), records.alias("records"), F.monotonically_increasing_id().alias("number"))
+    )
     starts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("bigint")))
-    ranges = archives.select("archive", "bytes", "number", starts.alias("begin"))
+    ranges = archives.select("archive", "bytes", "header", "number", starts.alias("begin"))
     ranges = ranges.withColumn("end", F.least(F.col("begin") + range_bytes, F.col("bytes")))
     found = ranges.repartition(tasks, "number", "begin").mapInArrow(_candidates, "archive bigint, at bigint, next bigint")
     kept = chained(materialize(found))
+    counts = kept.groupBy(F.col("archive").alias("number")).agg(F.count("*").alias("found"))
+    wrong = archives.join(counts, "number", "left").filter("records <> coalesce(found, 0)").select("archive", "records", "found").first()
+    if wrong is not None:
+        raise ValueError(f"{wrong.archive}: {wrong.records} records written, {wrong.found or 0} found")
     place = kept.withColumnRenamed("archive", "number").withColumn("begin", F.expr(f"at div {range_bytes}"))
-    place = place.repartition(tasks, "number", "begin").join(bounded(archives), "number")
+    place = place.repartition(tasks, "number", "begin").join(bounded(archives.select("number", "archive", "bytes")), "number")
     place = place.sortWithinPartitions("number", "at").select("archive", "bytes", "at")
     ddl = "archive string, at bigint, key string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, payload binary"
     return place.mapInArrow(_records(not payloads), ddl)
