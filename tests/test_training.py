@@ -139,3 +139,11 @@ def test_plan_has_one_shuffle_by_word(spark):
     plan = training.train(texts, SPACE)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_merging_keeps_other_columns(spark):
+    first = training.train(docs(spark, ["a b a", "b c"]), SPACE)
+    tagged = first.withColumns({"tag": F.concat(F.lit("tag "), "key"), "n": F.when(F.col("key") == "a", 7)})
+    found = training.train(docs(spark, ["a d"]), SPACE, lexicon=tagged.unionByName(tagged.limit(0)))
+    assert {r.key: (r.tag, r.n) for r in found.collect()} == {"a": ("tag a", 7), "b": ("tag b", None), "c": ("tag c", None), "d": (None, None)}
+    assert brute.as_dict(found.select("key", "vec")) == brute.as_dict(training.train(docs(spark, ["a d"]), SPACE, lexicon=first))

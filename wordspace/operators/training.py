@@ -50,12 +50,18 @@ def merge_lexicon(lexicon: DataFrame | None, partial: DataFrame, space: VectorSp
     """Add trained vectors onto a lexicon: words of either side stay, shared ones add up.
 
     A full outer join by word with the sums taken on the way, for the price of the one
-    shuffle the sums need anyway.
+    shuffle the sums need anyway. Other columns of the lexicon, if it has any, are joined to
+    the sums afterwards: of each the first value of a word that is not null.
     """
     if lexicon is not None:
         stored = lexicon.select("key", F.lit(0).cast("bigint").alias("weight"), "vec")
         partial = partial.unionByName(pack(stored, space.size))
-    return merge_by_key(partial, space.size).select("key", "vec")
+    merged = merge_by_key(partial, space.size).select("key", "vec")
+    others = [] if lexicon is None else [c for c in lexicon.columns if c not in ("key", "vec")]
+    if not others:
+        return merged
+    kept = lexicon.groupBy(F.col("key").alias("stored_key")).agg(*(F.first(c, ignorenulls=True).alias(c) for c in others))
+    return merged.join(kept, merged["key"].eqNullSafe(kept["stored_key"]), "left").select("key", "vec", *others)
 
 
 def train(
