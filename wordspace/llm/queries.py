@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordspace.llm import chat, decontaminate, exact_dedup, extraction, licenses, lm, mixing, near_dedup, quality, warc
+from wordspace.llm import (
+    chat, decontaminate, exact_dedup, extraction, importance, licenses, lm, mixing, near_dedup, quality, search, toxicity, warc,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,6 +177,91 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn to resemble the benchmark."""
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) AS r(i)),
+texts AS (
+  SELECT true AS own, row_number() OVER () AS id, doc_id, text FROM documents
+  UNION ALL SELECT false, row_number() OVER (), NULL, text FROM benchmark),
+split AS (
+  SELECT own, id, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM texts),
+runs AS (
+  SELECT own, id, unnest(w) AS f FROM split
+  UNION ALL SELECT own, id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) FROM split),
+counted AS (SELECT own, id, f, count(*) AS n FROM runs GROUP BY ALL),
+steps AS (
+  SELECT f, hex(encode(f)) AS x, 0 AS p, 4294967295::BIGINT AS c FROM (SELECT DISTINCT f FROM counted)
+  UNION ALL
+  SELECT f, x, p + 1, xor(c >> 8, v) FROM steps JOIN crc_table ON i = xor(c, ('0x' || substr(x, 2 * p + 1, 2))::BIGINT) & 255
+  WHERE 2 * p < length(x)),
+hashed AS (SELECT f, xor(c, 4294967295) % 10000 AS b FROM steps WHERE 2 * p = length(x)),
+buckets AS (
+  SELECT b, coalesce(sum(n) FILTER (own), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (NOT own), 0)::DOUBLE AS t
+  FROM counted JOIN hashed USING (f) GROUP BY b),
+gains AS (
+  SELECT b, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM buckets) + 10000) / ((s + 1) * ((SELECT sum(t) FROM buckets) + 10000))))::BIGINT AS g
+  FROM buckets),
+weighed AS (
+  SELECT id, sum(n)::BIGINT AS n_features, floor(sum(n * g) / sum(n))::BIGINT AS weight
+  FROM counted JOIN hashed USING (f) JOIN gains USING (b) WHERE own GROUP BY id),
+scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE)
+           / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM split LEFT JOIN weighed USING (id) WHERE own),
+ranked AS (
+  SELECT *, CASE WHEN n_words >= 20 THEN row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) END AS place FROM scored)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN place <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) // 100 THEN place END AS rank
+FROM ranked
+"""
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a model of the toxicity labels whose remainder by 5 is not 0."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(documents, labels, learn=remainder("doc_id", 5) != 0)
+    return toxicity.score(documents, model).withColumn("held_out", remainder("doc_id", 5) == 0)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every benchmark item."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = r"""
+WITH words AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+lengths AS (SELECT id, doc_id, len(w)::BIGINT AS n FROM words WHERE len(w) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM lengths),
+asked AS (
+  SELECT DISTINCT number, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS number, * FROM benchmark)),
+tf AS (
+  SELECT id, term, count(*)::BIGINT AS tf FROM (SELECT id, unnest(w) AS term FROM words) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), totals),
+factors AS (SELECT id, doc_id, 10 + (90 * n * docs) // length AS m FROM lengths, totals),
+scores AS (
+  SELECT number, item_id, id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN factors USING (id) GROUP BY ALL),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY number ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
     "op2_quality_classifier": op2_quality_classifier,
@@ -186,6 +273,9 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_warc": op9_warc,
     "op10_license_scan": op10_license_scan,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_toxicity": op12_toxicity,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -193,4 +283,6 @@ ORACLES: dict[str, str] = {
     "op6_exact_dedup": OP6_SQL,
     "op8_chat_formatting": OP8_SQL,
     "op9_warc": OP9_SQL,
+    "op11_importance_resampling": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
 }
