@@ -1,11 +1,11 @@
 """Toxicity of texts by a counterfactually regularised classifier (Garg et al. 2019).
 
-A text is the set of its words and word pairs, of which those are looked at that say most
-about the label. Weights are fitted by logistic regression with a second penalty: sentences of
-labelled texts that name a group of people are paired with the same sentences naming
-another group of the same kind, and the square of the difference of their scores is added to the loss.
-So what the labels happen to say about a group moves to the words around it, and a neutral
-mention does not make a text toxic.
+A text is its words, word pairs and beginnings of words, each with how often it occurs (once,
+twice, four times); those are looked at that say most about the label. Weights are fitted by logistic
+regression with a second penalty: sentences of labelled texts that name a group of people
+are paired with the same sentences naming another group of the same kind, and the square of the
+difference of their scores is added to the loss. So what the labels happen to say about a
+group moves to the words around it, and a neutral mention does not make a text toxic.
 
 Counting, the choice of features and the pairing run in Spark over the labelled texts; the
 driver fits at most ``sample`` rows and ``pairs`` pairs of as many bits as there are features.
@@ -14,7 +14,10 @@ Scoring is a map over all texts, in which no row moves.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -22,18 +25,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordspace.llm.packed import Tally
+from wordspace.llm.tokens import word_lists
 from wordspace.llm.words import LOWER, mix, pieces, span_hashes, spans, text_bytes
 from wordspace.sources.scratch import materialize
 
 #: Most labelled rows and most pairs of sentences a model is fitted on, in the order of a hash.
 SAMPLE, PAIRS = 20_000, 20_000
 #: Features chosen, and in how many labelled texts one has to be.
-FEATURES, LEAST = 1024, 3
+FEATURES, LEAST = 768, 3
+#: Beginnings of words of so many bytes count like words, and so many counts are told apart.
+BEGINNINGS, LEVELS = (4, 5, 6, 7, 8), 3
 #: A text whose score is at least this is toxic.
 TOXIC = 0.5
 #: Weight of the squared weights, and of the squared score differences of pairs.
-RIDGE, FAIR = 2.0, 1.0
-STEPS = 600
+RIDGE, FAIR = 0.25, 1.0
+#: Most Newton steps of a fit, and rows of one addition to its matrix.
+STEPS, ROWS = 30, 2048
 
 #: Names of groups; a name is swapped for one of the same row.
 GROUPS = (
@@ -58,79 +65,69 @@ GROUPS = (
 _WORD = np.zeros(256, bool)
 _WORD[list(b"0123456789abcdefghijklmnopqrstuvwxyz")] = True
 _WORD[128:] = True
-_SENTENCE = np.ones(256, bool)
-_SENTENCE[list(b".!?\n\r")] = False
-_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_SENTENCES = re.compile("[.!?\n\r]+")
+_SALT = np.uint64(0x9E3779B97F4A7C15)
+#: The last bits of a feature are the level of its count.
+_LEVEL = np.uint64(3)
 
 
-def _hash_of(word: str) -> int:
-    raw = LOWER[np.frombuffer(word.encode(), np.uint8)]
-    return int(span_hashes(raw, np.array([0]), np.array([raw.size - 1]))[0])
-
-
-def swaps(groups: tuple[str, ...] = GROUPS) -> dict[int, np.ndarray]:
-    """For the hash of each name, the hashes of the others of its row, from its right neighbour on."""
-    out = {}
-    for row in groups:
-        own = [_hash_of(word) for word in row.split()]
-        if len(own) < 2:
-            raise ValueError(f"a group needs a name to swap with: {row}")
-        for i, name in enumerate(own):
-            out[name] = np.array(own[i + 1 :] + own[:i], np.uint64)
-    return out
-
-
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of all words, the runs of the texts, and the sentence each word is in."""
+def _kinds(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes and texts of all words, of all word pairs, and of all beginnings of each length."""
     raw, offsets = text_bytes(column)
     if not raw.size:
-        return np.empty(0, np.uint64), np.zeros(len(column) + 1, np.int64), np.empty(0, np.int64)
+        return
     raw = LOWER[raw]
     starts, ends, bounds = spans(raw, offsets, _WORD)
-    sentence_starts, _, _ = spans(raw, offsets, _SENTENCE)
-    return span_hashes(raw, starts, ends), bounds, np.searchsorted(sentence_starts, starts, "right")
-
-
-def _pairs(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of neighbouring words of the same owner, and that owner."""
-    here = np.flatnonzero(owner[1:] == owner[:-1])
-    return mix(words[here] * _PAIR + words[here + 1]), owner[here]
-
-
-def terms(words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``(owner, hash)`` of the words and word pairs, each once per owner; owners come in order."""
-    two, of = _pairs(words, owner)
-    hashes, owners = np.concatenate((words, two)), np.concatenate((owner, of))
-    order = np.lexsort((hashes, owners))
-    hashes, owners = hashes[order], owners[order]
+    owner = np.repeat(np.arange(len(column)), np.diff(bounds))
+    words = span_hashes(raw, starts, ends)
+    yield words, owner
+    together = np.flatnonzero(owner[1:] == owner[:-1])
+    yield mix(words[together] * _SALT + words[together + 1]), owner[together]
+    for length in BEGINNINGS:
+        long = np.flatnonzero(ends - starts + 1 >= length)
+        begun = starts[long]
+        yield mix(span_hashes(raw, begun, begun + length - 1) + _SALT), owner[long]
+
+
+def _counted(hashes: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(text, feature)``: each hash of a text once for every level its count reaches there."""
+    hashes = hashes & ~_LEVEL
+    order = np.lexsort((hashes, owner))
+    hashes, owner = hashes[order], owner[order]
     first = np.ones(hashes.size, bool)
-    first[1:] = (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])
-    return owners[first], hashes[first]
-
-
-def _owners(bounds: np.ndarray) -> np.ndarray:
-    return np.repeat(np.arange(bounds.size - 1), np.diff(bounds))
-
-
-def _cells(owners: np.ndarray, hashes: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Owner and place among the sorted ``chosen`` of the hashes that are chosen."""
-    if not chosen.size:
-        return owners[:0], np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(chosen, hashes), chosen.size - 1)
-    known = chosen[at] == hashes
-    return owners[known], at[known]
-
-
-def _bits(rows: int, owners: np.ndarray, hashes: np.ndarray, chosen: np.ndarray) -> list[bytes]:
-    """Which of the ``chosen`` each of the rows has, a bit each."""
-    table = np.zeros((rows, max(chosen.size, 1)), bool)
-    table[_cells(owners, hashes, chosen)] = True
-    return [row.tobytes() for row in np.packbits(table, axis=1)]
+    first[1:] = (hashes[1:] != hashes[:-1]) | (owner[1:] != owner[:-1])
+    first = np.flatnonzero(first)
+    counts = np.diff(np.append(first, hashes.size))
+    hashes, owner = hashes[first], owner[first]
+    levels = [counts >= 1 << level for level in range(LEVELS)]
+    features = [hashes[reached] | np.uint64(level) for level, reached in enumerate(levels)]
+    return np.concatenate([owner[reached] for reached in levels]), np.concatenate(features)
+
+
+def _cells(column: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Text and place among the sorted ``chosen`` of the chosen features of the texts."""
+    bases = np.unique(chosen & ~_LEVEL)
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    for hashes, owner in _kinds(column) if chosen.size else ():
+        at = np.minimum(np.searchsorted(bases, hashes & ~_LEVEL), bases.size - 1)
+        some = np.flatnonzero(bases[at] == hashes & ~_LEVEL)
+        owner, features = _counted(hashes[some], owner[some])
+        at = np.minimum(np.searchsorted(chosen, features), chosen.size - 1)
+        some = chosen[at] == features
+        found.append((owner[some], at[some]))
+    return tuple(np.concatenate(side) for side in zip(*found))
+
+
+def _bits(column: pa.Array, chosen: np.ndarray) -> pa.Array:
+    """Which of the ``chosen`` features each text has, a bit each."""
+    table = np.zeros((len(column), max(chosen.size, 1)), bool)
+    table[_cells(column, chosen)] = True
+    return pa.array([row.tobytes() for row in np.packbits(table, axis=1)], pa.binary())
 
 
 @dataclass
 class Model:
-    """Sorted hashes of the features, their weights, and the score of a text with none."""
+    """Sorted features, their weights, and the score of a text with none."""
 
     start: float
     chosen: np.ndarray
@@ -138,9 +135,8 @@ class Model:
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Probability of label 1 of each text."""
-        words, bounds, _ = _words(column)
-        owners, at = _cells(*terms(words, _owners(bounds)), self.chosen)
-        total = self.start + np.bincount(owners, self.weights[at], minlength=len(column))
+        owner, at = _cells(column, self.chosen)
+        total = self.start + np.bincount(owner, self.weights[at], minlength=len(column))
         return 1 / (1 + np.exp(-np.clip(total, -35, 35)))
 
 
@@ -149,39 +145,53 @@ def fit(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, ridge: float
 
     The loss is that of logistic regression, ``ridge / 2`` times the squared weights and
     ``fair / 2`` times the squared differences ``(a - b) @ weights``, all over the rows; minimised by
-    accelerated gradient steps. Without rows, or of one label, nearly the same is said of all.
+    Newton steps, halved where one does not lower it. Without rows, or of one label, nearly
+    the same is said of all.
     """
     rate = (y.sum() + 0.5) / (y.size + 1)
-    w = np.zeros(x.shape[1] + 1)
+    many = x.shape[1]
+    w = np.zeros(many + 1)
     w[-1] = np.log(rate / (1 - rate))
     if not y.size or y.min() == y.max():
         return float(w[-1]), w[:-1]
-    x = np.column_stack((x, np.ones(y.size))).astype(np.float32)
-    apart = a.astype(np.float32) - b.astype(np.float32)
-    apart = apart[(apart != 0).any(axis=1)]
-    # The largest curvature bounds the step.
-    v = np.full(w.size, w.size**-0.5, np.float32)
-    for _ in range(30):
-        bent = x.T @ (x @ v) / 4
-        bent[:-1] += fair * (apart.T @ (apart @ v[:-1]))
-        steep = float(np.linalg.norm(bent))
-        v = bent / steep
-    step = 1 / (1.1 * steep + ridge)
-    last, ahead, t = w, w, 1.0
+
+    def parts(rows):
+        for begin in range(0, rows.shape[0], ROWS):
+            yield slice(begin, begin + ROWS), rows[begin : begin + ROWS].astype(np.float64)
+
+    bent = np.zeros((many + 1, many + 1))
+    bent[np.arange(many), np.arange(many)] = ridge
+    for at, part in parts(a):
+        part -= b[at]
+        bent[:many, :many] += fair * (part.T @ part)
+
+    def scores(w):
+        return np.concatenate([part @ w[:-1] + w[-1] for _, part in parts(x)])
+
+    def loss(w, z):
+        return (np.logaddexp(0, z) - y * z).sum() + w @ bent @ w / 2
+
+    z = scores(w)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ ahead.astype(np.float32), -35, 35)))
-        slope = (x.T @ (p - y).astype(np.float32)).astype(float)
-        slope[:-1] += ridge * ahead[:-1] + fair * (apart.T @ (apart @ ahead[:-1].astype(np.float32)))
-        w = ahead - step * slope
-        if (slope @ (w - last)) > 0:
-            t = 1.0
-        after = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, last, t = w + (t - 1) / after * (w - last), w, after
+        p = 1 / (1 + np.exp(-z))
+        slope, curve = bent @ w, bent.copy()
+        for at, part in parts(x):
+            part = np.column_stack((part, np.ones(part.shape[0])))
+            slope += part.T @ (p[at] - y[at])
+            curve += (part * (p[at] * (1 - p[at]))[:, None]).T @ part
+        step, size, before = np.linalg.solve(curve, slope), 1.0, loss(w, z)
+        while size > 1e-4 and loss(w - size * step, after := scores(w - size * step)) > before:
+            size /= 2
+        if size <= 1e-4:
+            break
+        w, z = w - size * step, after
+        if np.abs(size * step).max() < 1e-6:
+            break
     return float(w[-1]), w[:-1]
 
 
 def _label_counts(found: DataFrame) -> DataFrame:
-    """``(hash, n0, n1)``: in how many texts of either label a word or pair is."""
+    """``(hash, n0, n1)``: how many texts of either label have a feature."""
 
     def task(batches):
         tallies = Tally(), Tally()
@@ -193,13 +203,13 @@ def _label_counts(found: DataFrame) -> DataFrame:
 
         for batch in batches:
             for piece in pieces(batch, "text"):
-                words, bounds, _ = _words(piece.column("text"))
-                owners, hashes = terms(words, _owners(bounds))
-                label = piece.column("label").to_numpy()[owners]
-                for value in (0, 1):
-                    out = tallies[value].add(hashes[label == value])
-                    if out is not None:
-                        yield rows(value, *out)
+                labels = piece.column("label").to_numpy()
+                for hashes, owner in _kinds(piece.column("text")):
+                    owner, features = _counted(hashes, owner)
+                    for value in (0, 1):
+                        out = tallies[value].add(features[labels[owner] == value])
+                        if out is not None:
+                            yield rows(value, *out)
         for value in (0, 1):
             yield rows(value, *tallies[value].take())
 
@@ -208,7 +218,7 @@ def _label_counts(found: DataFrame) -> DataFrame:
 
 
 def choose(found: DataFrame, many: int = FEATURES, least: int = LEAST) -> np.ndarray:
-    """The hashes of the ``many`` words and pairs whose presence says most about the label."""
+    """The ``many`` features whose presence says most about the label, sorted."""
     totals = found.agg(F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1")).first()
     if not totals.n0 or not totals.n1:
         return np.empty(0, np.uint64)
@@ -222,46 +232,45 @@ def choose(found: DataFrame, many: int = FEATURES, least: int = LEAST) -> np.nda
     says = part(F.col("n0"), totals.n0, has) + part(F.col("n1"), totals.n1, has)
     says += part(F.lit(totals.n0) - F.col("n0"), totals.n0, lacks) + part(F.lit(totals.n1) - F.col("n1"), totals.n1, lacks)
     kept = _label_counts(found).filter(has >= least).orderBy(F.desc(says), "hash").limit(many).select("hash").collect()
-    return np.array([row["hash"] for row in kept], np.int64).view(np.uint64)
+    return np.sort(np.array([row["hash"] for row in kept], np.int64).view(np.uint64))
 
 
-def _swapped(words: np.ndarray, owner: np.ndarray, others: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the words in sentences with a name, and the words with all names swapped.
+def swaps(groups: tuple[str, ...] = GROUPS) -> dict[bytes, list[bytes]]:
+    """For each name the others of its row, from its right neighbour on."""
+    out = {}
+    for row in groups:
+        own = row.encode().split()
+        if len(own) < 2:
+            raise ValueError(f"a group needs a name to swap with: {row}")
+        out.update((name, own[i + 1 :] + own[:i]) for i, name in enumerate(own))
+    return out
+
 
-    All names of a sentence move by the same number of places in their rows, taken from its
-    words, so the same sentence is always swapped alike.
+def swapped(text: str | None, others: dict[bytes, list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
+    """The words of each sentence that names a group, and the same with all names swapped.
+
+    How far a name moves in its row is taken from the sentence, so equal sentences are always
+    swapped alike.
     """
-    names = np.fromiter(others, np.uint64, len(others))
-    named = np.isin(words, names)
-    inside = np.flatnonzero(np.isin(owner, owner[named]))
-    turned = words[inside].copy()
-    sentence = owner[inside]
-    first = np.flatnonzero(np.concatenate(([True], sentence[1:] != sentence[:-1]))) if inside.size else inside
-    sums = np.add.reduceat(turned, first) if inside.size else turned
-    turns = np.repeat(mix(sums) >> np.uint64(33), np.diff(np.append(first, inside.size)))
-    for i in np.flatnonzero(named[inside]):
-        choice = others[int(turned[i])]
-        turned[i] = choice[int(turns[i]) % choice.size]
-    return inside, turned
-
-
-def sentence_pairs(found: DataFrame, chosen: np.ndarray, others: dict[int, np.ndarray]) -> DataFrame:
+    for sentence in _SENTENCES.split(text or ""):
+        words = [word for some in word_lists(sentence) for word in some]
+        if any(word in others for word in words):
+            said = b" ".join(words)
+            turn = crc32(said)
+            yield said, b" ".join(others[w][turn % len(others[w])] if w in others else w for w in words)
+
+
+def sentence_pairs(found: DataFrame, chosen: np.ndarray, others: dict[bytes, list[bytes]]) -> DataFrame:
     """``(hash, a, b)``: the features of each sentence that names a group, as it is and swapped."""
 
     def task(batches):
         for batch in batches:
-            for piece in pieces(batch, "text"):
-                words, _, sentence = _words(piece.column("text"))
-                inside, turned = _swapped(words, sentence, others)
-                if not inside.size:
-                    continue
-                _, owner = np.unique(sentence[inside], return_inverse=True)
-                many = int(owner[-1]) + 1
-                sums = np.zeros(many, np.uint64)
-                np.add.at(sums, owner, mix(words[inside]))
-                sides = [_bits(many, *terms(side, owner), chosen) for side in (words[inside], turned)]
-                columns = [pa.array(mix(sums).view(np.int64)), *(pa.array(side, pa.binary()) for side in sides)]
-                yield pa.RecordBatch.from_arrays(columns, ["hash", "a", "b"])
+            for value in batch.column("text"):
+                pairs = list(swapped(value.as_py(), others))
+                if pairs:
+                    sides = [pa.array([word.decode() for word in side]) for side in zip(*pairs)]
+                    hashes = pa.array([crc32(said) for said, _ in pairs], pa.int64())
+                    yield pa.RecordBatch.from_arrays([hashes, *(_bits(side, chosen) for side in sides)], ["hash", "a", "b"])
 
     return found.mapInArrow(task, "hash bigint, a binary, b binary")
 
@@ -289,15 +298,11 @@ def train(
     found = materialize(joined.select("label", "text", F.xxhash64("key", "text").alias("hash")))
     others = swaps(groups)
     chosen = choose(found, many)
-    if chosen.size:
-        chosen = np.union1d(chosen, np.fromiter(others, np.uint64, len(others)))
 
     def task(batches):
         for batch in batches:
             for piece in pieces(batch, "text"):
-                words, bounds, _ = _words(piece.column("text"))
-                bits = _bits(piece.num_rows, *terms(words, _owners(bounds)), chosen)
-                columns = [piece.column("hash"), piece.column("label"), pa.array(bits, pa.binary())]
+                columns = [piece.column("hash"), piece.column("label"), _bits(piece.column("text"), chosen)]
                 yield pa.RecordBatch.from_arrays(columns, ["hash", "label", "x"])
 
     cases = found.mapInArrow(task, "hash bigint, label int, x binary").orderBy("hash", "label", "x").limit(sample).collect()
