@@ -137,3 +137,27 @@ def test_given_pages(spark):
         inner = re.search("<article>(.*?)(</article>|$)", page.html, re.S)[1]
         plain = re.sub("<[^>]*>", lambda m: "" if m[0] in ("<b>", "</b>") else " ", inner)
         assert got[page.page_id] == " ".join(html.unescape(plain).split())
+
+
+SHAPES = [
+    "<article>{}<div id='comments'>{}</div></article>", "<main>{}<ol class='comment-list'>{}</ol></main>", "<main>{}<div class='reader-comments'>{}</div></main>",
+    "<div class='content'>{}</div><div class='comments'>{}</div>", "<div class='post'>{}</div><section id='comments'>{}</section>",
+    "<section class='discussion'><div class='post'>{}</div><div class='replies'>{}</div></section>", "<article>{}</article><div id='disqus_thread'>{}</div>",
+    "<div class='layout right-sidebar'><div>{}</div><div class='commentList'>{}</div></div>",
+]
+SAID = ["<p>{}</p>", "<article class='comment'><p>{}</p></article>", "<li>{}</li>", "<div class='comment'><div class='body'>{}</div></div>"]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("said", SAID)
+@pytest.mark.parametrize("times", [1, 3, 10])
+def test_comments_of_readers_stay_out_however_long(shape, said, times):
+    comments = "".join(said.format(f"A reader has this to say, number {i}: {TEXT[3]} {TEXT[6]} {TEXT[1]}") for i in range(2 * times))
+    for around in ("", MENU, "".join(AROUND[:7])):
+        assert main_text(f"<html><body>{around}{shape.format(article(), comments)}") == " ".join(TEXT)
+
+
+def test_an_article_open_to_comments_is_no_comment():
+    text = " ".join(TEXT)
+    beside = "<div>A line of some length beside the article that is none of its text but stands on the page too, alas.</div>"
+    assert main_text(f"<html><body><article class='post comments-open'>{article()}</article>{beside}").startswith(text)

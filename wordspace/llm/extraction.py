@@ -9,7 +9,8 @@ around them if those hold as much. What stands there, short lines too but no men
 the text.
 
 Boilerplate are elements and roles that say so. Class names and ids are evidence only: a part
-with such a name is left out unless it holds much of the upper cluster's text.
+with such a name is left out unless it holds much of the upper cluster's text. Parts named for what
+readers say are left out however much they hold, if any text stands beside them.
 """
 
 from __future__ import annotations
@@ -51,6 +52,10 @@ NAMES = re.compile(
     r"discussion|widget|widgets|toolbar|pagination|pager|login|search|skip|skiplink|copyright|legal|disclaimer|tags|taglist|"
     r"hidden|sr-only|visually-hidden)(?:$|[\s_-]|\d)"
 )
+#: Words in the names of what readers say about the content.
+READERS = re.compile(
+    r"(?:^|[\s_-])(?:comments?|commentlist|commentary|respond|responses|replies|reply|disqus|discussions?)(?:$|[\s_\d]|-(?!open|closed|enabled|disabled|allowed))"
+)
 BESIDE = ("has-", "no-", "with-", "without-", "is-")
 #: Elements whose names do not make them boilerplate.
 UNNAMED = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
@@ -67,7 +72,7 @@ class Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines, self.words, self.tags, self.linked, self.links = [], [], 0, 0, 0
-        self.open, self.number, self.articles, self.leaves, self.named = [], 0, [], set(), set()
+        self.open, self.number, self.articles, self.leaves, self.named, self.readers = [], 0, [], set(), set(), set()
         self.skipping, self.around, self.in_article = 0, 0, 0
 
     def _end_line(self):
@@ -89,12 +94,12 @@ class Lines(HTMLParser):
             return True
         return False
 
-    def _is_named(self, tag, attrs):
+    def _is_named(self, tag, attrs, what=NAMES):
         if tag in UNNAMED:
             return False
         names = CAMEL.sub("-", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower().split()
         # "has-sidebar" is the name of what stands beside one.
-        return any(NAMES.search(name) for name in names if not name.startswith(BESIDE))
+        return any(what.search(name) for name in names if not name.startswith(BESIDE))
 
     def _push(self, tag, attrs):
         self.number += 1
@@ -107,6 +112,9 @@ class Lines(HTMLParser):
         self.around += around
         if not skipped and self._is_named(tag, attrs):
             self.named.add(self.number)
+        if not skipped and self._is_named(tag, attrs, READERS):
+            self.named.add(self.number)
+            self.readers.add(self.number)
         if tag in LEAVES:
             self.leaves.add(self.number)
         if article and not self.in_article:
@@ -219,13 +227,34 @@ def _hold(elements: set[int], lines: list, some: list[int], share: float) -> boo
     return held >= share * sum(len(lines[i][0]) for i in some)
 
 
-def _outside(lines: list, upper: np.ndarray, named: set[int], articles: set[int]) -> list[int]:
+def _without_readers(lines: list, inside: list[int], named: set[int], readers: set[int]) -> list[int]:
+    """The lines of ``inside`` that are not in a part for what readers say.
+
+    Such a part stays only if next to nothing is left without it: outside of all named parts but
+    those around it.
+    """
+    # The innermost named part of each line, and how much text that is no link each has of its own.
+    own: dict[int, int] = {}
+    chains: dict[int, list[int]] = {}
+    for i in inside:
+        chain = [e for e in lines[i][3] if e in named]
+        last = chain[-1] if chain else 0
+        own[last] = own.get(last, 0) + max(0, len(lines[i][0]) - lines[i][2])
+        for at, element in enumerate(chain):
+            if element in readers:
+                chains.setdefault(element, chain[:at])
+    out = {e for e, around in chains.items() if own.get(0, 0) + sum(own.get(a, 0) for a in around) >= LEAST}
+    return [i for i in inside if out.isdisjoint(lines[i][3])]
+
+
+def _outside(lines: list, upper: np.ndarray, named: set[int], articles: set[int], readers: set[int]) -> list[int]:
     """The lines outside of boilerplate; at least one unless elements and roles leave none.
 
     Named parts are looked at from the smallest on, each for its share of what is left. Where
     an article element stands outside of all of them, a part has to outweigh it.
     """
     inside = [i for i, line in enumerate(lines) if not line[4]]
+    inside = _without_readers(lines, inside, named, readers) if readers else inside
     core = {i for i in inside if upper[i]} or set(inside)
     size = {i: len(lines[i][0]) for i in inside}
     members: dict[int, list[int]] = {}
@@ -260,7 +289,7 @@ def main_text(html: str | None) -> str:
         return ""
     values = smoothed(np.array([len(line[0]) / max(1, line[1]) for line in lines]))
     limit = threshold(values)
-    inside = _outside(lines, values >= limit, parser.named, set(parser.articles))
+    inside = _outside(lines, values >= limit, parser.named, set(parser.articles), parser.readers)
     if not inside:
         return ""
     core = [i for i in inside if values[i] >= limit] or inside
