@@ -254,3 +254,106 @@ def test_scratch_is_cleared(spark):
 def files_there(spark, path):
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def lexicon_rows(rows):
+    return {r.key: dict(zip(r.vec.dims, r.vec.vals)) for r in rows.collect()}
+
+
+def test_batches_are_merged_bucket_by_bucket(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=3)
+    store.create("words", "lx", SPACE)
+    batches = [[f"w{i} w{i + 1} w{i + 2}" for i in range(60)], ["w1 new one"], ["w1 w2 other", "solo"], ["new w1"]]
+    sizes = []
+    for batch in batches:
+        table = store.merge("words", "lx", training.train(docs(spark, batch), SPACE))
+        latest = store._latest("words", "lx")
+        sizes.append(spark.read.parquet(store._data("words", "lx", latest.folders[-1])).count())
+    # The first batch is the base, of the others the keys they touch are written.
+    assert len(latest.folders) == 2 and sizes == [62, 3, 6, 6]
+    assert exchanges(table.rows) == 0 and table.rows.rdd.getNumPartitions() == 3
+    assert lexicon_rows(table.rows) == brute.ordered(sum(batches, []), SPACE)
+    many = [f"x{i} y{i}" for i in range(20)]
+    table = store.merge("words", "lx", training.train(docs(spark, many), SPACE))
+    assert len(store._latest("words", "lx").folders) == 1
+    assert lexicon_rows(table.rows) == brute.ordered(sum(batches, []) + many, SPACE)
+    assert lexicon_rows(store.compact("lx", "words", buckets=5).rows) == lexicon_rows(table.rows)
+    assert store.buckets_of("words", "lx") == 5
+    assert store.prune("words", "lx") >= 5
+    with pytest.raises(ValueError):
+        store.merge("corpus", "lx", table.rows)
+    with pytest.raises(TableMissing):
+        store.merge("words", "none", table.rows)
+
+
+def test_sums_that_cancel_leave_no_cell(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.create("words", "lx", VectorSpace(8, 2))
+    row = "key string, vec struct<dims:array<int>,vals:array<bigint>>"
+    store.merge("words", "lx", spark.createDataFrame([("a", ([1, 5], [2, 3])), ("b", ([], []))] + [(f"z{i}", ([], [])) for i in range(20)], row))
+    table = store.merge("words", "lx", spark.createDataFrame([("a", ([0, 5], [7, -3])), ("b", ([1], [1]))], row))
+    found = lexicon_rows(table.rows)
+    assert len(store._latest("words", "lx").folders) == 2
+    assert found["a"] == {0: 7, 1: 2} and found["b"] == {1: 1} and found["z3"] == {}
+
+
+def test_other_sessions_read_the_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "it's here"), buckets=4)
+    store.create("words", "lx", SPACE)
+    store.merge("words", "lx", training.train(docs(spark, [f"a{i} b{i}" for i in range(30)]), SPACE))
+    store.merge("words", "lx", training.train(docs(spark, ["a1 c"]), SPACE))
+    wanted = lexicon_rows(store.open("words", "lx").rows)
+    for folder in store._latest("words", "lx").folders:
+        spark.sql(f"DROP TABLE wordspace_{folder}")
+    table = Store(spark, str(tmp_path / "it's here")).open("words", "lx")
+    assert exchanges(table.rows) == 0 and lexicon_rows(table.rows) == wanted
+
+
+def test_other_columns_stay_in_the_store(spark, tmp_path):
+    bench = Workbench(spark, str(tmp_path))
+    first = training.train(docs(spark, [f"a{i} b{i}" for i in range(30)] + ["x y"]), SPACE)
+    rows = first.selectExpr("*", "upper(key) AS `Name of it`", "length(key) AS letters", "array(key) AS list")
+    bench.store.write("words", "lx", rows, SPACE)
+    for text in ("x new", "y new"):
+        bench.train("words", "lx", docs(spark, [text]))
+    more = training.train(docs(spark, ["z x"]), SPACE).selectExpr("*", "'v' AS extra", "-1 AS letters")
+    table = bench.store.merge("words", "lx", more)
+    found = {r.key: r for r in table.rows.collect()}
+    assert table.rows.columns == ["key", "vec", "Name of it", "letters", "list", "extra"]
+    assert (found["x"]["Name of it"], found["x"].letters, found["x"].list, found["x"].extra) == ("X", 1, ["x"], "v")
+    assert (found["new"]["Name of it"], found["new"].letters, found["z"].letters) == (None, None, -1)
+    assert bench.store.compact("lx", "words").rows.columns == table.rows.columns
+    assert len(bench.store.lookup("words", "lx", spark.createDataFrame([("x",)], "key string")).columns) == 6
+
+
+def test_lookup_opens_the_files_of_its_keys(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=40)
+    store.create("words", "lx", SPACE)
+    store.merge("words", "lx", training.train(docs(spark, [f"a{i} b{i}" for i in range(300)]), SPACE))
+    store.merge("words", "lx", training.train(docs(spark, ["a1 c"]), SPACE))
+    keys = spark.createDataFrame([("a1",), ("b7",), ("zz",), (None,), ("a1",)], "key string")
+    found = store.lookup("words", "lx", keys)
+    assert len(found.inputFiles()) <= 6
+    rows = lexicon_rows(store.open("words", "lx").rows)
+    assert lexicon_rows(found) == {key: rows[key] for key in ("a1", "b7")}
+    assert store.lookup("words", "lx", keys.filter("false")).count() == 0
+
+
+def test_texts_are_read_once(spark, tmp_path):
+    bench = Workbench(spark, str(tmp_path))
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    rows = docs(spark, ["a b", None, "c d", "e"])
+    counted = lambda: rows.mapInArrow(seen, "doc_id int, text string")
+    assert bench.put_texts(counted(), "set") == 4 and reads.value == 4
+    report = bench.train("words", "lx", counted(), True, SPACE).first()
+    assert (report.processed, report.rejected, report.total) == (4, 1, 5) and reads.value == 8

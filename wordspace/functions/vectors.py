@@ -91,6 +91,18 @@ def normalize(vec: Column) -> Column:
     return divide(vec, length(vec))
 
 
+def plus(a: Column, b: Column) -> Column:
+    """The sum of two vectors, where a missing one counts as zero; evaluated only for rows that have both."""
+    both = F.map_zip_with(
+        F.map_from_arrays(a["dims"], a["vals"]),
+        F.map_from_arrays(b["dims"], b["vals"]),
+        lambda _, x, y: F.coalesce(x, F.lit(0)) + F.coalesce(y, F.lit(0)),
+    )
+    cells = F.array_sort(F.map_entries(F.map_filter(both, lambda _, v: v != 0)))
+    total = F.struct(F.transform(cells, lambda c: c["key"]).alias("dims"), F.transform(cells, lambda c: c["value"]).alias("vals"))
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(total)
+
+
 def cells(vec: Column) -> Column:
     """Generator of ``(dim, val)`` rows."""
     return F.inline(F.arrays_zip(vec["dims"].alias("dim"), vec["vals"].alias("val")))

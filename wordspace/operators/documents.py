@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from wordspace.functions.text import each, line_array, token_array
 from wordspace.functions.vectors import length
-from wordspace.operators.partial import PartialVectors
-from wordspace.operators.sums import combine_local, merge_by_key, pack, packed_schema, sum_vectors
+from wordspace.operators.partial import OUTPUT_CELLS, PartialVectors, add_products
+from wordspace.operators.sums import merge_by_key, pack, packed_schema, sum_vectors
 from wordspace.space import VectorSpace
 
 # Room for the vectors of the most frequent words, sent to every executor.
 FREQUENT_BYTES = 64 << 20
 
+# Occurrences of other words after which a block of texts is closed.
+BLOCK_TOKENS = 1 << 20
+
 
 def mean_vector(lexicon: DataFrame, space: VectorSpace) -> DataFrame:
     """``(weight, vec)``: number of words and mean of their normalised vectors, one row."""
@@ -79,6 +84,57 @@ def _add_frequent(size: int, words_at, matrix_at):
     return run
 
 
+def _count_rare(key_type: pa.DataType, texts_at_once: int, words_at):
+    """Which texts of a block have a word that is not frequent, and how often: a row per word and block."""
+    kind = pa.schema([("word", pa.string()), ("block", pa.int64()), ("keys", pa.list_(key_type)), ("counts", pa.list_(pa.int64()))])
+
+    def rows(block: int, keys: pa.Array, texts: list, words: list, names: list):
+        text, word = np.concatenate(texts), np.concatenate(words)
+        both, counts = np.unique(word * np.int64(len(keys)) + text, return_counts=True)
+        word, text = np.divmod(both, len(keys))
+        first = np.flatnonzero(np.diff(word, prepend=-1))
+        edges = np.append(first, word.size)
+        step = max(1, OUTPUT_CELLS // 8)
+        for lo in range(0, first.size, step):
+            hi = min(lo + step, first.size)
+            inside = slice(edges[lo], edges[hi])
+            offsets = pa.array((edges[lo : hi + 1] - edges[lo]).astype(np.int32))
+            columns = [
+                pa.array([names[i] for i in word[first[lo:hi]].tolist()], pa.string()), pa.array(np.full(hi - lo, block)),
+                pa.ListArray.from_arrays(offsets, keys.take(pa.array(text[inside]))), pa.ListArray.from_arrays(offsets, pa.array(counts[inside])),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=kind)
+
+    def run(batches):
+        frequent = words_at.value
+        block = TaskContext.get().partitionId() << 24
+        numbers: dict[str, int] = {}
+        keys, texts, words, held = [], [], [], 0
+        for batch in batches:
+            begin = 0
+            while begin < batch.num_rows:
+                part = batch.slice(begin, texts_at_once - held)
+                begin += part.num_rows
+                tokens = part.column("tokens")
+                found = tokens.flatten().dictionary_encode()
+                code = np.array(
+                    [-1 if w in frequent else numbers.setdefault(w, len(numbers)) for w in found.dictionary.to_pylist()], np.int64
+                )
+                word = code[found.indices.to_numpy()] if code.size else np.empty(0, np.int64)
+                text = held + np.repeat(np.arange(part.num_rows), np.diff(tokens.offsets.to_numpy()))
+                texts.append(text[word >= 0])
+                words.append(word[word >= 0])
+                keys.append(part.column("key"))
+                held += part.num_rows
+                if held == texts_at_once or sum(w.size for w in words) > BLOCK_TOKENS:
+                    yield from rows(block, pa.concat_arrays(keys), texts, words, list(numbers))
+                    block, numbers, keys, texts, words, held = block + 1, {}, [], [], [], 0
+        if held:
+            yield from rows(block, pa.concat_arrays(keys), texts, words, list(numbers))
+
+    return run
+
+
 def _matrix(frequent: DataFrame, size: int) -> tuple[dict, np.ndarray]:
     """Keys and unit vectors of a bounded number of lexicon rows."""
     rows = frequent.toArrow()
@@ -105,7 +161,9 @@ def text_vectors(
     file that lists one word per line.
 
     The most frequent words are added on the spot from a matrix of bounded size, which
-    spares the shuffle most occurrences; the others meet the lexicon in a join by word.
+    spares the shuffle most occurrences. The others are a sparse matrix of counts, cut in blocks of texts:
+    a word is in it once per block, meets its vector in a join by word, and the vector then
+    goes once to the block, where it is multiplied with the counts of all texts there.
     The mean is taken off once per finished vector, in proportion to ``weight``.
     """
     spark = texts.sparkSession
@@ -120,12 +178,19 @@ def text_vectors(
     kernel = _add_frequent(space.size, sc.broadcast(row_of), sc.broadcast(matrix))
     here = rows.mapInArrow(kernel, packed_schema(rows.schema["key"].dataType.simpleString(), real=True))
 
-    rare = words.join(F.broadcast(frequent.withColumnRenamed("key", "word")), "word", "left_anti")
-    one = F.lit(1).cast("bigint").alias("weight")
+    key_type = rows.schema["key"].dataType
+    texts_at_once = max(16, FREQUENT_BYTES // (8 * space.size))
+    listed = frozenset(row.key for row in frequent.collect())
+    counted = rows.mapInArrow(
+        _count_rare(to_arrow_type(key_type), texts_at_once, sc.broadcast(listed)),
+        f"word string, block bigint, keys array<{key_type.simpleString()}>, counts array<bigint>",
+    )
     factor = F.coalesce(1 / F.nullif(length(F.col("vec")), F.lit(0.0)), F.lit(0.0))
+    one = F.lit(1).cast("bigint").alias("weight")
     unit_rows = pack(lexicon.select(F.col("key").alias("word"), one, factor.alias("factor"), "vec"), space.size)
-    joined = rare.join(unit_rows, "word").select("key", "weight", "factor", "vec")
-    there = combine_local(joined, space.size, real=True)
+    joined = counted.join(unit_rows, "word").select("block", "weight", "factor", "vec", "keys", "counts")
+    blocks = joined.repartition("block").sortWithinPartitions("block").drop("block")
+    there = blocks.mapInArrow(add_products(space.size), packed_schema(key_type.simpleString(), real=True))
     return merge_by_key(
         here.unionByName(there), space.size, real=True, centre=_mean_array(lexicon, space)
     )

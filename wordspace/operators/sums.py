@@ -50,34 +50,37 @@ def combine_local(rows: DataFrame, size: int, real: bool = False, unit: bool = F
     return _rows(rows, real).mapInArrow(add_rows(size, dtype, unit=unit), packed_schema(_key_type(rows), real))
 
 
-def spread_sum(partial: DataFrame, size: int, real: bool = False) -> DataFrame:
+#: Into how many groups by map task the rows of a key are dealt before they meet.
+FAN = 64
+
+
+def spread_sum(partial: DataFrame, size: int, real: bool = False, fan: int = FAN) -> DataFrame:
     """Fewer partial rows of the same sums, for a few keys that have one from every map task.
 
-    Rows meet by key and by the task they come from, dealt to about the square root of the
-    number of tasks, so no task of this step or of the final merge takes a row from each.
+    Rows meet by key and by the task they come from, dealt to ``fan`` groups, so the final merge
+    takes that many rows of a key, and a task of this step one in so many. The plan is
+    only built here: how many tasks there are is not asked, as that would run them.
     """
-    tasks = partial.rdd.getNumPartitions()
-    fan = max(1, round(tasks**0.5))
     salted = _rows(partial, real).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(fan)))
-    met = salted.repartition(fan, "key", "salt") if fan > 1 else salted
-    return combine_local(met.drop("salt"), size, real)
+    return combine_local(salted.repartition("key", "salt").drop("salt"), size, real)
 
 
 def merge_by_key(
-    partial: DataFrame, size: int, real: bool = False, centre: np.ndarray | None = None
+    partial: DataFrame, size: int, real: bool = False, centre: np.ndarray | None = None, partitions: int | None = None
 ) -> DataFrame:
     """Add the partial rows of every key: ``(key, weight, vec)``, one row per key.
 
     One shuffle by key. Rows arrive sorted and are summed as they stream past, so a key
     needs one table row of memory however many partial rows it has; and it has about one
     per map task, because the tasks combined it already. ``centre`` is subtracted
-    ``weight`` times from each finished vector.
+    ``weight`` times from each finished vector. With ``partitions`` keys are dealt to so many, as a
+    table of as many buckets has them.
     """
     dtype = np.float64 if real else np.int64
     schema = f"key {_key_type(partial)}, weight bigint, vec {REAL_VECTOR if real else INT_VECTOR}"
     return (
         _rows(partial, real)
-        .repartition("key")
+        .repartition(*([partitions] if partitions else []), "key")
         .sortWithinPartitions("key")
         .mapInArrow(add_rows(size, dtype, ordered=True, centre=centre), schema)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wordspace.functions.text import each, token_array
 from wordspace.operators.documents import text_vectors
 from wordspace.operators.similarity import all_similarities
-from wordspace.operators.sums import merge_by_key, pack
+from wordspace.operators.sums import merge_by_key, pack, sum_vectors
 from wordspace.sources.scratch import materialize
 from wordspace.space import VectorSpace
 
@@ -19,11 +19,16 @@ TOPICS_PER_TEXT = 10
 def topic_vectors(docs: DataFrame, lexicon: DataFrame, space: VectorSpace) -> DataFrame:
     """``(key, weight, vec)`` per topic of ``(topics, body)`` documents.
 
-    The document vector of a body goes to every topic named, which makes a topic the
-    vector of all its bodies together.
+    The document vector of a body goes to every topic named, as often as it is named, which
+    makes a topic the vector of all its bodies together. Bodies of the same topics are added up first, so a
+    body is worked on once however many topics it has, and what is repeated per topic
+    is one vector per set of topics.
     """
-    named = each(docs, token_array(F.col("topics")), "topic", "body")
-    return text_vectors(named, lexicon, space, key="topic", text="body")
+    named = docs.select(F.array_sort(token_array(F.col("topics"))).alias("names"), "body").filter(F.size("names") > 0)
+    sets = text_vectors(named.withColumn("set", F.array_join("names", " ")), lexicon, space, key="set", text="body")
+    # Names are tokens, so a space never stands inside of one.
+    each_topic = each(sets, F.split("key", " "), "topic", "weight", "vec").withColumnRenamed("topic", "key")
+    return sum_vectors(each_topic, space.size, real=True, few=True)
 
 
 def merge_topics(topics: DataFrame | None, trained: DataFrame, space: VectorSpace) -> DataFrame:

@@ -46,7 +46,9 @@ def empty_lexicon(spark) -> DataFrame:
     return spark.createDataFrame([], f"key string, vec {INT_VECTOR}")
 
 
-def merge_lexicon(lexicon: DataFrame | None, partial: DataFrame, space: VectorSpace) -> DataFrame:
+def merge_lexicon(
+    lexicon: DataFrame | None, partial: DataFrame, space: VectorSpace, partitions: int | None = None
+) -> DataFrame:
     """Add trained vectors onto a lexicon: words of either side stay, shared ones add up.
 
     A full outer join by word with the sums taken on the way, for the price of the one
@@ -56,7 +58,7 @@ def merge_lexicon(lexicon: DataFrame | None, partial: DataFrame, space: VectorSp
     if lexicon is not None:
         stored = lexicon.select("key", F.lit(0).cast("bigint").alias("weight"), "vec")
         partial = partial.unionByName(pack(stored, space.size))
-    merged = merge_by_key(partial, space.size).select("key", "vec")
+    merged = merge_by_key(partial, space.size, partitions=partitions).select("key", "vec")
     others = [] if lexicon is None else [c for c in lexicon.columns if c not in ("key", "vec")]
     if not others:
         return merged
@@ -65,7 +67,8 @@ def merge_lexicon(lexicon: DataFrame | None, partial: DataFrame, space: VectorSp
 
 
 def train(
-    texts: DataFrame, space: VectorSpace, trainer: Trainer = from_sentences, lexicon: DataFrame | None = None
+    texts: DataFrame, space: VectorSpace, trainer: Trainer = from_sentences, lexicon: DataFrame | None = None,
+    partitions: int | None = None,
 ) -> DataFrame:
     """The lexicon after training on the texts, on top of an earlier one if given."""
-    return merge_lexicon(lexicon, trainer(texts, space), space)
+    return merge_lexicon(lexicon, trainer(texts, space), space, partitions)

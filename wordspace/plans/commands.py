@@ -4,18 +4,18 @@ from __future__ import annotations
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wordspace.functions.text import split_topics
 from wordspace.operators.documents import text_vectors
 from wordspace.operators.lookup import get_or_error
 from wordspace.operators.similarity import compare
-from wordspace.operators.topics import TOPICS_PER_TEXT, assign_topics, merge_topics, topic_vectors
+from wordspace.operators.topics import TOPICS_PER_TEXT, assign_topics, topic_vectors
 from wordspace.operators.training import Trainer, from_sentences, train
 from wordspace.sources.files import lines, prepare, whole_files
 from wordspace.sources.scratch import materialize
-from wordspace.sources.store import KINDS, Store, Table, TableMissing
+from wordspace.sources.store import BUCKETS, KINDS, Store, Table, TableMissing
 from wordspace.space import VectorSpace
 
 REPORT = "kind string, processed bigint, rejected bigint, added bigint, total bigint, seconds double"
@@ -24,8 +24,8 @@ REPORT = "kind string, processed bigint, rejected bigint, added bigint, total bi
 class Workbench:
     """Commands over the tables of one store."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.store = spark, Store(spark, root)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.store = spark, Store(spark, root, buckets)
 
     def process_dir(self, path: str, dataset: str, how=None) -> int:
         """Prepare the files under a path and put them into a corpus; returns how many there were.
@@ -42,9 +42,8 @@ class Workbench:
         return self._put(dataset, texts.select(F.col(doc).cast("string").alias("doc_id"), F.col(text).alias("text")))
 
     def _put(self, dataset: str, rows: DataFrame) -> int:
-        rows = materialize(rows)
         self.store.add("corpus", dataset, rows)
-        return rows.count()
+        return self.store.added("corpus", dataset)
 
     def texts(self, dataset: str) -> DataFrame:
         """``(doc_id, text)`` of a corpus."""
@@ -59,26 +58,30 @@ class Workbench:
     ) -> DataFrame:
         """Train a word or topic lexicon on a corpus and make the result its current version.
 
-        Returns a one-row report. The counts are those of the tables as written, so the
-        training itself runs once. Null texts are left out and counted as rejected, and
-        so are topic texts that lack ``<topics>`` or ``<body>``.
+        Returns a one-row report. Its counts are those of the tables as written, and of the
+        texts as they are read for training, which happens once (a task run again after a
+        lost executor may count its texts again). Null texts are left out and counted as
+        rejected, and so are topic texts that lack ``<topics>`` or ``<body>``.
         """
         begun = time.monotonic()
         docs = self.texts(texts) if isinstance(texts, str) else texts
         if KINDS.get(kind) == "words":
             old = self._open(kind, lexicon, create, space)
-            new = self.store.write(kind, lexicon, train(docs, old.space, trainer, old.rows), old.space)
-            rejected = docs.filter(F.col("text").isNull()).count()
+            seen = Observation()
+            column = "text" if "text" in docs.columns else docs.columns[0]
+            counted = docs.observe(seen, F.count("*").alias("processed"), F.count_if(F.col(column).isNull()).alias("rejected"))
+            batch = train(counted, old.space, trainer, partitions=self.store.buckets_of(kind, lexicon))
+            new = self.store.merge(kind, lexicon, batch, dealt=True)
+            processed, rejected = seen.get["processed"], seen.get["rejected"]
         elif KINDS.get(kind) == "topics":
             words = self.store.open("words", lexicon)
             old = self._open(kind, lexicon, create, words.space)
             parts = materialize(split_topics(docs))
-            rejected = parts.filter("rejected").count()
-            fresh = topic_vectors(parts.filter("NOT rejected"), words.rows, words.space)
-            new = self.store.write(kind, lexicon, merge_topics(old.rows, fresh, words.space), words.space)
+            processed, rejected = parts.count(), parts.filter("rejected").count()
+            new = self.store.merge(kind, lexicon, topic_vectors(parts.filter("NOT rejected"), words.rows, words.space))
         else:
             raise ValueError(f"not a kind of lexicon: {kind}")
-        processed, total = docs.count(), new.rows.count()
+        total = new.rows.count()
         row = (KINDS[kind], processed, rejected, total - old.rows.count(), total, time.monotonic() - begun)
         return self.spark.createDataFrame([row], REPORT)
 

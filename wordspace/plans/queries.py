@@ -273,6 +273,33 @@ def merge_lexicon(spark, sf_dir):
     return digest(training.train(more, SPACE, training.from_windows, first))
 
 
+def stored_lexicon_extended(spark, sf_dir):
+    """A stored lexicon of the documents, then of two more tables, each batch merged into it where it is."""
+    bench = Workbench(spark, scratch_path(spark))
+    bench.train("words", "all", _texts(spark, sf_dir, "documents"), True, SPACE, training.from_windows)
+    for name in ("conversations", "benchmark"):
+        bench.train("words", "all", _texts(spark, sf_dir, name), trainer=training.from_windows)
+    return digest(bench.store.open("words", "all").rows)
+
+
+def stored_lookup(spark, sf_dir):
+    """The words of the benchmark in a stored lexicon, from the files that can hold them."""
+    bench = Workbench(spark, scratch_path(spark))
+    bench.train("words", "all", _texts(spark, sf_dir, "conversations"), True, SPACE, training.from_windows)
+    keys = _benchmark_words(spark, sf_dir).withColumnRenamed("word", "key")
+    return digest(bench.store.lookup("words", "all", keys))
+
+
+def stored_columns(spark, sf_dir):
+    """A stored lexicon with columns of its own, which stay when it is trained further."""
+    bench = Workbench(spark, scratch_path(spark))
+    first = training.train(_texts(spark, sf_dir, "conversations"), SPACE, training.from_windows)
+    bench.store.write("words", "all", first.withColumn("letters", F.length("key")).withColumn("initial", F.substring("key", 1, 1)), SPACE)
+    bench.train("words", "all", _texts(spark, sf_dir, "benchmark"), trainer=training.from_windows)
+    rows = bench.store.open("words", "all").rows
+    return digest(rows).join(rows.select("key", "letters", "initial"), "key")
+
+
 def train_on_empty(spark, sf_dir):
     """Training on top of a lexicon without words."""
     return digest(training.train(_texts(spark, sf_dir, "conversations"), SPACE, training.from_windows, training.empty_lexicon(spark)))
@@ -399,8 +426,9 @@ def _topic_documents(spark, sf_dir, which=None):
     """The documents in the form topic training reads, their topics language and source."""
     docs = _texts(spark, sf_dir, "documents")
     docs = docs if which is None else docs.filter(which)
+    names = [F.coalesce(name, F.lit("")) for name in ("lang", "source")]
     body = F.concat(
-        F.lit("<topics>\n"), "lang", F.lit("\n"), "source", F.lit("\n</topics>\n<body>"), "text", F.lit("</body>")
+        F.lit("<topics>\n"), names[0], F.lit("\n"), names[1], F.lit("\n</topics>\n<body>"), "text", F.lit("</body>")
     )
     return T.split_topics(docs.select("doc_id", body.alias("text")))
 
@@ -416,11 +444,13 @@ def train_topics(spark, sf_dir):
 
 
 def merge_topics(spark, sf_dir):
-    """Topics of English and German documents, then trained further on German and French ones."""
+    """Topics of all documents but the French ones, then trained further on all but the English ones.
+
+    Documents without a language are on the first side.
+    """
     lexicon = _lexicon(spark, sf_dir, "conversations")
-    old, new = (
-        materialize(_topics(spark, sf_dir, lexicon, F.col("lang").isin(*langs))) for langs in (("en", "de"), ("de", "fr"))
-    )
+    sides = (~F.col("lang").eqNullSafe("fr"), F.col("lang") != "en")
+    old, new = (materialize(_topics(spark, sf_dir, lexicon, side)) for side in sides)
     return cells_of(topics.merge_topics(old, new, SPACE), "key", "weight").withColumn("val", _rounded(F.col("val"), 4))
 
 
@@ -480,6 +510,7 @@ QUERIES = {
         training_report, cleared_lexicon, row_as_map, map_as_row,
         index_vectors, permuted_vectors, vector_sums, vector_differences, normalized_vectors, mean_vector,
         train_window, train_sentence, train_sentence_documents, train_lines, merge_lexicon, train_on_empty, merge_lines,
+        stored_lexicon_extended, stored_lookup, stored_columns,
         word_lookup, known_words, word_points, missing_words, lookup_or_index, compare_words,
         document_vectors, line_vectors, document_vectors_documents, compare_documents, compare_document_batch,
         best_matches, similarity_lists, train_topics, merge_topics, assign_topics,

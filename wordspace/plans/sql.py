@@ -214,10 +214,13 @@ def oracles() -> dict[str, str]:
 {UNIT},
 {_tokens('item_tokens', 'benchmark')},
 {_text_vectors('items', 'item_tokens')}"""
-    topic_rows = "SELECT topic AS doc, text FROM (SELECT unnest([lang, source]) AS topic, text FROM documents)"
-    topics = f"""{_tokens('topic_tokens', topic_rows)},
+    topic_rows = "SELECT topic AS doc, text FROM (SELECT unnest([coalesce(lang, ''), coalesce(source, '')]) AS topic, text FROM documents{})"
+    known = " WHERE topic <> ''"
+    topics = f"""{_tokens('topic_tokens', topic_rows.format('') + known)},
 {_text_vectors('topics', 'topic_tokens')}"""
-    both_rows = " UNION ALL ".join(f"{topic_rows[:-1]} WHERE lang IN ({langs}))" for langs in ("'en', 'de'", "'de', 'fr'"))
+    both_rows = " UNION ALL ".join(
+        topic_rows.format(f" WHERE lang {side}") + known for side in ("IS DISTINCT FROM 'fr'", "<> 'en'")
+    )
     both_topics = f"""{_tokens('topic_tokens', both_rows)},
 {_text_vectors('topics', 'topic_tokens')}"""
     benchmark_words = f"{_tokens('item_tokens', 'benchmark')},\nitem_words AS (SELECT DISTINCT word FROM item_tokens)"
@@ -286,6 +289,16 @@ SELECT (SELECT count(*) FROM words)::BIGINT AS weight, dim, {_rounded('val', 9)}
         "train_sentence_documents": _sentence_digest("documents", 16),
         "train_lines": _digest(_sentence_lexicon("conversations")),
         "merge_lexicon": _digest(_window_lexicon("documents", "conversations")),
+        "stored_lexicon_extended": _digest(_window_lexicon("documents", "conversations", "benchmark")),
+        "stored_lookup": f"""WITH {conversations},
+{benchmark_words}
+SELECT key, {DIGEST} FROM words JOIN item_words ON word = key LEFT JOIN lexicon USING (key) GROUP BY key""",
+        "stored_columns": _digest(
+            _window_lexicon("conversations", "benchmark"),
+            ", any_value(letters) AS letters, any_value(initial) AS initial",
+            "words LEFT JOIN (SELECT DISTINCT word, length(word)::INTEGER AS letters, substr(word, 1, 1) AS initial FROM tokens_conversations) own "
+            "ON own.word = key LEFT JOIN lexicon USING (key)",
+        ),
         "train_on_empty": _digest(_window_lexicon("conversations")),
         "merge_lines": _digest(_sentence_lexicon("lines")),
         "known_words": _digest(_window_lexicon("conversations")),

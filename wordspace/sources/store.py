@@ -8,19 +8,29 @@ none of that version: of two writers that began from the same version one fails.
 
 Adding to a corpus writes the new rows only. A version then has several folders, and a row
 counts unless a later folder has its ``doc_id``.
+
+A lexicon is dealt to buckets by the hash of its keys, sorted in each, and merging a batch
+writes the keys of the batch only: a version is a base and at most one delta, which a read adds up
+bucket by bucket, so neither is shuffled. Batches since the last base meet in the delta; once it
+has a quarter as many rows as the base, both become the next base. A merge thus writes the
+batches since then, not the lexicon, and a row is rewritten into a base seldom. Columns beyond those of the
+kind are kept in either.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from wordspace.functions.vectors import plus
+from wordspace.operators.sums import merge_by_key, pack
 from wordspace.space import DEFAULT_K, DEFAULT_RADIUS, DEFAULT_SIZE, INT_VECTOR, REAL_VECTOR, VectorSpace
 
 SCHEMAS = {
@@ -34,7 +44,43 @@ SUFFIXES = {"corpus": "", "words": "_WORDS", "topics": "_TOPICS"}
 
 KINDS = {"corpus": "corpus", "word": "words", "words": "words", "topic": "topics", "topics": "topics"}
 
-MANIFEST = "version bigint, folders array<string>, size int, k int, cr int"
+MANIFEST = "version bigint, folders array<string>, size int, k int, cr int, buckets int, others string"
+
+#: Buckets of a new lexicon; about 100 MB of vectors in each is a good size.
+BUCKETS = 16
+#: Once the delta has one in so many rows of the base, both are written as one.
+DELTA_SHARE = 4
+
+
+#: The bucket in the name of a file that Spark wrote.
+_BUCKET_OF = re.compile(r"_(\d{5,})\.c\d+[^/]*$")
+
+
+def _entry(folder: str) -> str:
+    """The catalog's name of a data folder of a lexicon."""
+    return f"wordspace_{folder}"
+
+
+def _columns(spark: SparkSession, kind: str) -> dict:
+    return {f.name: f for f in spark.createDataFrame([], SCHEMAS[KINDS[kind]]).schema}
+
+
+def added(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The rows of two lexicons by key: vectors and weights added, of other columns the first that is not null.
+
+    One full outer join by key, which sides dealt alike enter without a shuffle.
+    """
+    sides = [side.select(*(F.col(f"`{c}`").alias(f"{mark}{c}") for c in side.columns)) for mark, side in (("a_", a), ("b_", b))]
+    columns = [F.coalesce("a_key", "b_key").alias("key")]
+    for name in [*a.columns, *(c for c in b.columns if c not in a.columns)]:
+        own = [F.col(f"`{mark}{name}`") for mark, side in (("a_", a), ("b_", b)) if name in side.columns]
+        if name == "vec":
+            columns.append(plus(*own).alias("vec"))
+        elif name == "weight":
+            columns.append((F.coalesce(own[0], F.lit(0)) + F.coalesce(own[1], F.lit(0))).alias("weight"))
+        elif name != "key":
+            columns.append(F.coalesce(*own).alias(name))
+    return sides[0].join(sides[1], F.col("a_key") == F.col("b_key"), "full_outer").select(*columns)
 
 
 class TableMissing(LookupError):
@@ -55,10 +101,13 @@ class Table:
 
 
 class Store:
-    """Tables under one root folder on any file system Spark can reach."""
+    """Tables under one root folder on any file system Spark can reach.
+
+    ``buckets`` is for lexicons made through this object; :meth:`compact` deals an old one anew.
+    """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def folder(self, kind: str, name: str) -> str:
         if kind not in KINDS:
@@ -105,17 +154,110 @@ class Store:
         latest = self._latest(kind, name)
         if latest is None:
             raise TableMissing(f"no {KINDS[kind]} table named {name}")
+        given = {"size": latest["size"], "k": latest["k"], "radius": latest["cr"]}
+        space = VectorSpace(**{item: value for item, value in given.items() if value is not None})
+        rows = self._corpus(name, latest) if KINDS[kind] == "corpus" else self._lexicon(kind, name, latest)
+        return Table(rows, space, latest.version)
+
+    def _data(self, kind: str, name: str, folder: str) -> str:
+        return f"{self.folder(kind, name)}/data/{folder}"
+
+    def _corpus(self, name: str, latest) -> DataFrame:
         rows, later = None, None
         for folder in reversed(latest.folders):
-            part = self.spark.read.schema(SCHEMAS[KINDS[kind]]).parquet(f"{self.folder(kind, name)}/data/{folder}")
+            part = self.spark.read.schema(SCHEMAS["corpus"]).parquet(self._data("corpus", name, folder))
             old = part if later is None else part.join(later, "doc_id", "left_anti")
             rows = old if rows is None else rows.unionByName(old)
             if len(latest.folders) > 1:
                 ids = part.select("doc_id")
                 later = ids if later is None else later.unionByName(ids)
-        given = {"size": latest["size"], "k": latest["k"], "radius": latest["cr"]}
-        space = VectorSpace(**{item: value for item, value in given.items() if value is not None})
-        return Table(rows, space, latest.version)
+        return rows
+
+    def _schema(self, kind: str, latest) -> str:
+        """The columns of a table: those of its kind, and the others it was written with."""
+        return ", ".join(filter(None, (SCHEMAS[KINDS[kind]], latest.others)))
+
+    def _bucketed(self, kind: str, name: str, folder: str, latest) -> DataFrame:
+        """A folder of a lexicon, read such that Spark knows how its keys are dealt."""
+        files, path = self._files(self._data(kind, name, folder))
+        where = str(files.makeQualified(path).toString()).replace("'", "\\'")
+        self.spark.sql(
+            f"CREATE TABLE IF NOT EXISTS {_entry(folder)} ({self._schema(kind, latest)}) USING parquet "
+            f"CLUSTERED BY (key) SORTED BY (key) INTO {latest.buckets} BUCKETS LOCATION '{where}'"
+        )
+        return self.spark.table(_entry(folder))
+
+    def _lexicon(self, kind: str, name: str, latest) -> DataFrame:
+        parts = [self._bucketed(kind, name, folder, latest) for folder in latest.folders]
+        return parts[0] if len(parts) == 1 else added(*parts)
+
+    def buckets_of(self, kind: str, name: str) -> int:
+        """Into how many buckets a lexicon is dealt."""
+        return self._latest(kind, name).buckets
+
+    def lookup(self, kind: str, name: str, keys: DataFrame) -> DataFrame:
+        """The rows of the keys, a table with a column ``key``; only files that can hold one of them are read.
+
+        The keys are dealt as the lexicon is, which gives the buckets, at most as many as the
+        lexicon has, and so the files.
+        """
+        latest = self._latest(kind, name)
+        if latest is None:
+            raise TableMissing(f"no {KINDS[kind]} table named {name}")
+        bucket = F.pmod(F.hash("key"), F.lit(latest.buckets))
+        wanted = {row.bucket for row in keys.filter("key IS NOT NULL").select(bucket.alias("bucket")).distinct().collect()}
+        parts = []
+        for folder in latest.folders:
+            files, path = self._files(self._data(kind, name, folder))
+            names = [str(status.getPath().toString()) for status in files.listStatus(path)]
+            some = [n for n in names if (found := _BUCKET_OF.search(n)) and int(found[1]) in wanted]
+            reader = self.spark.read.schema(self._schema(kind, latest))
+            parts.append(reader.parquet(*some) if some else self.spark.createDataFrame([], self._schema(kind, latest)))
+        asked = keys.select("key").distinct()
+        parts = [part.join(asked, "key", "left_semi") for part in parts]
+        return parts[0] if len(parts) == 1 else added(*parts)
+
+    def merge(self, kind: str, name: str, batch: DataFrame, dealt: bool = False) -> Table:
+        """Add the vectors of a batch, one row per key, onto a lexicon; written is what the batch touches.
+
+        Weights add up too; of other columns the first value that is not null stays. Keys are
+        not null. ``dealt`` says that the batch comes in the partitions of the lexicon, as from
+        a training told so; otherwise it is shuffled to them.
+        """
+        if KINDS.get(kind) not in ("words", "topics"):
+            raise ValueError(f"vectors are merged into a lexicon only, not into {kind}")
+        latest = self._latest(kind, name)
+        if latest is None:
+            raise TableMissing(f"no {KINDS[kind]} table named {name}")
+        table = self.open(kind, name)
+        others = [f for f in batch.schema if f.name not in _columns(self.spark, kind)]
+        known = {f.name for f in self.spark.createDataFrame([], self._schema(kind, latest)).schema}
+        more = ", ".join(filter(None, (latest.others, *(f"`{f.name}` {f.dataType.simpleString()}" for f in others if f.name not in known))))
+        base, delta = latest.folders[0], latest.folders[1:]
+        rows = batch
+        if delta:
+            rows = self._bucketed(kind, name, delta[0], latest)
+            dealt = not (others or latest.others)
+            rows = self._summed(kind, rows, batch, table.space, latest.buckets) if dealt else added(rows, batch)
+        fresh = self._put(kind, name, rows, latest.buckets, more, dealt)
+        count = lambda folder: self.spark.read.schema("key string").parquet(self._data(kind, name, folder)).count()
+        folders = [base, fresh]
+        if DELTA_SHARE * count(fresh) > (had := count(base)):
+            folders = [fresh]
+            if had:
+                now = latest.asDict() | {"others": more}
+                both = (self._bucketed(kind, name, folder, Row(**now)) for folder in (base, fresh))
+                folders = [self._put(kind, name, added(*both), latest.buckets, more, dealt=True)]
+        self._commit(kind, name, latest.version + 1, folders, table.space, latest.buckets, more)
+        return self.open(kind, name)
+
+    def _summed(self, kind: str, rows: DataFrame, batch: DataFrame, space: VectorSpace, buckets: int) -> DataFrame:
+        real = KINDS[kind] == "topics"
+        sides = []
+        for side in (rows, batch):
+            weight = F.col("weight") if real else F.lit(0).cast("bigint").alias("weight")
+            sides.append(pack(side.select("key", weight, "vec"), space.size))
+        return merge_by_key(sides[0].unionByName(sides[1]), space.size, real, partitions=buckets)
 
     def add(self, kind: str, name: str, rows: DataFrame) -> Table:
         """Put rows into a corpus: earlier rows stay but for those of the same ``doc_id``.
@@ -128,9 +270,15 @@ class Store:
         self._append(kind, name, rows, (latest.version if latest else 0) + 1, None, latest.folders if latest else [])
         return self.open(kind, name)
 
-    def compact(self, name: str) -> Table:
-        """Write a corpus that was added to as one folder."""
-        return self.write("corpus", name, self.open("corpus", name).rows)
+    def added(self, kind: str, name: str) -> int:
+        """How many rows the last write put into the newest folder of a table, from its file footers."""
+        return self.spark.read.schema("doc_id string").parquet(self._data(kind, name, self._latest(kind, name).folders[-1])).count()
+
+    def compact(self, name: str, kind: str = "corpus", buckets: int | None = None) -> Table:
+        """Write a table that was added to as one folder; a lexicon in another number of buckets if given."""
+        if buckets is not None:
+            self.buckets = buckets
+        return self.write(kind, name, self.open(kind, name).rows, buckets=buckets)
 
     def prune(self, kind: str, name: str, keep: int = 1) -> int:
         """Remove the data that none of the last ``keep`` versions consists of; returns the folders removed.
@@ -145,30 +293,61 @@ class Store:
         removed = 0
         for status in files.listStatus(path):
             if status.getPath().getName() not in kept:
+                if kind != "corpus":
+                    self.spark.sql(f"DROP TABLE IF EXISTS {_entry(status.getPath().getName())}")
                 removed += bool(files.delete(status.getPath(), True))
         return removed
 
-    def write(self, kind: str, name: str, rows: DataFrame, space: VectorSpace | None = None) -> Table:
+    def write(
+        self, kind: str, name: str, rows: DataFrame, space: VectorSpace | None = None, buckets: int | None = None
+    ) -> Table:
         """Make the rows the current version, of the space given or else the one stored."""
         latest = self._latest(kind, name)
         if space is None and latest is not None:
             space = self.open(kind, name).space
-        self._append(kind, name, rows, (latest.version if latest else 0) + 1, space)
+        buckets = buckets or (latest.buckets if latest else None)
+        self._append(kind, name, rows, (latest.version if latest else 0) + 1, space, buckets=buckets)
         return self.open(kind, name)
 
     def _append(
-        self, kind: str, name: str, rows: DataFrame, version: int, space: VectorSpace | None, before: list[str] | None = None
+        self, kind: str, name: str, rows: DataFrame, version: int, space: VectorSpace | None, before: list[str] | None = None,
+        buckets: int | None = None,
     ) -> None:
-        schema = SCHEMAS[KINDS[kind]]
-        columns = self.spark.createDataFrame([], schema).schema
-        data = rows.select(*(F.col(c.name).cast(c.dataType) for c in columns))
+        buckets, others = (None, None) if kind == "corpus" else (buckets or self.buckets, self._others(kind, rows))
+        folder = self._put(kind, name, rows, buckets, others)
+        self._commit(kind, name, version, [*(before or []), folder], space, buckets, others)
+
+    def _others(self, kind: str, rows: DataFrame) -> str:
+        """The columns of a lexicon beyond those of its kind, as a schema."""
+        known = _columns(self.spark, kind)
+        return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in known)
+
+    def _put(self, kind: str, name: str, rows: DataFrame, buckets: int | None, others: str | None, dealt: bool = False) -> str:
+        """Write rows to a new folder; returns its name. ``dealt`` rows are in the partitions of the buckets already."""
         folder = uuid.uuid4().hex
-        writer = data.write
-        if kind != "corpus":
-            # Rows leave the merge sorted by key; bloom filters let a lookup skip files.
-            writer = writer.option("parquet.bloom.filter.enabled#key", "true")
-        writer.parquet(f"{self.folder(kind, name)}/data/{folder}")
-        meta = {"version": version, "folders": [*(before or []), folder]}
+        path = self._data(kind, name, folder)
+        fields = list(_columns(self.spark, kind).values())
+        if others:
+            fields += list(self.spark.createDataFrame([], others).schema)
+        lacking = lambda f: F.lit(None) if f.name not in rows.columns else F.col(f"`{f.name}`")
+        data = rows.select(*(lacking(f).cast(f.dataType).alias(f.name) for f in fields))
+        if buckets is None:
+            data.write.parquet(path)
+            return folder
+        files, there = self._files(path)
+        # Each task holds the keys of one bucket and writes one file; bloom filters let a lookup skip files.
+        data = data if dealt else data.repartition(buckets, "key")
+        writer = data.write.format("parquet").option("parquet.bloom.filter.enabled#key", "true")
+        writer = writer.bucketBy(buckets, "key").sortBy("key").option("path", str(files.makeQualified(there).toString()))
+        writer.saveAsTable(_entry(folder))
+        return folder
+
+    def _commit(
+        self, kind: str, name: str, version: int, folders: list[str], space: VectorSpace | None, buckets: int | None, others: str | None
+    ) -> None:
+        meta = {"version": version, "folders": folders}
+        if buckets is not None:
+            meta |= {"buckets": buckets, "others": others or None}
         if space:
             meta |= {"size": space.size, "k": space.k, "cr": space.radius}
         files, path = self._files(f"{self.folder(kind, name)}/manifest/{version:09d}.json")
