@@ -147,3 +147,27 @@ def test_merging_keeps_other_columns(spark):
     found = training.train(docs(spark, ["a d"]), SPACE, lexicon=tagged.unionByName(tagged.limit(0)))
     assert {r.key: (r.tag, r.n) for r in found.collect()} == {"a": ("tag a", 7), "b": ("tag b", None), "c": ("tag c", None), "d": (None, None)}
     assert brute.as_dict(found.select("key", "vec")) == brute.as_dict(training.train(docs(spark, ["a d"]), SPACE, lexicon=first))
+
+
+@pytest.mark.parametrize("partitions", ["1", "5"])
+def test_wide_spaces_deal_sentences_by_word(spark, partitions):
+    """Hot words, a sentence longer than a vector, and words of one occurrence, in batches and on top of a lexicon."""
+    wide = VectorSpace(4099, 6, 2)
+    texts = random_texts(1, 6) + TEXTS + [" ".join(f"w{i % 7}" for i in range(1100))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        first = training.train(docs(spark, texts[:4]), wide)
+        assert brute.as_dict(first) == brute.ordered(lines_of(texts[:4]), wide)
+        assert brute.as_dict(training.train(docs(spark, texts[4:]), wide, lexicon=first)) == brute.ordered(lines_of(texts), wide)
+        assert training.train(docs(spark, [None, ""]), wide).count() == 0
+        assert brute.as_dict(training.train(docs(spark, ["solo"]), wide)) == {"solo": {}}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_wide_spaces_send_sentences_not_vectors(spark):
+    wide, texts = VectorSpace(16000, 48, 3), [" ".join(f"a{i * 50 + j}" for j in range(40)) for i in range(50)]
+    dealt = training.from_sentences(docs(spark, texts).coalesce(1), wide)
+    assert dealt.filter("vec IS NOT NULL").count() == 0
+    assert sum(len(r.places) for r in dealt.collect()) == 2000

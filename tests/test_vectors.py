@@ -69,8 +69,12 @@ def test_a_key_of_every_task_meets_in_two_steps(spark):
     rows = _vectors(spark, [("hot", 1, 1, ([i % 4], [i])) for i in range(640)]).repartition(64)
     partial = sums.combine_local(rows, 4)
     assert partial.count() == 64
-    fewer = sums.spread_sum(partial, 4)
-    assert fewer.rdd.getNumPartitions() == 8 and fewer.count() <= 8
+    assert sums.spread_sum(partial, 4, fan=8).count() <= 8
+    # Building the plan runs nothing.
+    spark.sparkContext.setJobGroup("planned", "only planned")
+    sums.sum_vectors(rows.repartition("key"), 4, few=True)
+    assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("planned"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     found = {r.key: (r.weight, r.vec.vals) for r in sums.sum_vectors(rows, 4, few=True).collect()}
     assert found == {"hot": (640, [sum(range(d, 640, 4)) for d in range(4)])}
 
@@ -94,3 +98,17 @@ def test_cosine(spark):
     found = {r.id: r.s for r in rows.select("id", V.cosine_function(3)("a", "b").alias("s")).collect()}
     assert found[1] == pytest.approx(1 / np.sqrt(2))
     assert (found[2], found[3], found[4]) == (None, 0.0, None)
+
+
+def test_digests_of_words_of_any_length():
+    from hashlib import md5
+
+    from wordspace.functions.vectors import _numbered_digests
+
+    names = [("é" * n)[:n].encode() for n in range(0, 40)] + [b"x" * n for n in range(45, 140)] + [b"", b"\0", b"\x80#"] + [str(i).encode() for i in range(9000)]
+    for k in (2, 12, 102):
+        found = _numbered_digests(names[: 200 if k > 2 else None], k)
+        for name, row in zip(names, found):
+            for i in (0, 1, k // 2, k - 1):
+                digest = md5(name + f"#{i}".encode()).digest()
+                assert row[i].tolist() == [int.from_bytes(digest[:4]), int.from_bytes(digest[4:8])]

@@ -65,3 +65,16 @@ def test_top_by(spark):
     rows = [(i, float(rng.randint(0, 5))) for i in range(40)] + [(99, None)]
     best = similarity.top_by(spark.createDataFrame(rows, "id int, v double"), 7, "v", "id").collect()
     assert [r.id for r in best] == [i for i, v in sorted(rows[:-1], key=lambda r: (-r[1], r[0]))[:7]]
+
+
+def test_seeded_numbers_permute_the_range(spark):
+    for bound in (1, 2, 3, 5, 17, 64, 1000):
+        rows = windows.seeded_numbers(spark, bound, bound + 5, 3).orderBy("nth").collect()
+        assert sorted(r.id for r in rows) == list(range(bound)) and [r.nth for r in rows] == list(range(bound))
+        assert windows.seeded_numbers(spark, bound, bound // 2, 3).orderBy("nth").collect() == rows[: bound // 2]
+    wide = windows.seeded_numbers(spark, 1 << 61, 500, 3)
+    assert wide.select("id").distinct().count() == 500 and wide.filter("id < 0 OR id >= 2305843009213693952").count() == 0
+    assert wide.agg({"id": "avg"}).first()[0] > 1 << 58
+    assert windows.seeded_numbers(spark, 1000, 9, 4).collect() != windows.seeded_numbers(spark, 1000, 9, 3).collect()
+    assert "Exchange" not in wide._jdf.queryExecution().executedPlan().toString()
+    assert windows.seeded_numbers(spark, 0, 5, 3).count() == 0

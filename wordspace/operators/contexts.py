@@ -3,13 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from wordspace.functions.vectors import index_table
-from wordspace.operators.partial import PartialVectors
-from wordspace.space import VectorSpace
+from wordspace.operators.partial import OUTPUT_CELLS, PartialVectors, digits, packed_cells
+from wordspace.space import PACKED_INT, VectorSpace
+
+#: From this size on, a row of the table of partial vectors is so long that seldom words have none.
+WIDE = 4096
+#: Cells of sentence sums that are held at once.
+SENTENCE_CELLS = 1 << 23
 
 WORDS_REMEMBERED = 200_000
 TOKENS_AT_ONCE = 1 << 15
@@ -111,3 +120,171 @@ def combine_contexts(space: VectorSpace, ordered: bool):
         yield from table.finish()
 
     return run
+
+
+DEALT_DDL = f"part int, key string, weight bigint, factor bigint, vec {PACKED_INT}, tokens array<string>, places array<int>"
+_PACKED = pa.struct([("dims", pa.binary()), ("ints", pa.binary())])
+_DEALT = pa.schema(
+    [
+        ("part", pa.int32()), ("key", pa.string()), ("weight", pa.int64()), ("factor", pa.int64()), ("vec", _PACKED),
+        ("tokens", pa.list_(pa.string())), ("places", pa.list_(pa.int32())),
+    ]
+)
+
+
+def part_of(key: Column, parts: int) -> Column:
+    """The part a word is dealt to."""
+    return F.pmod(F.crc32(key.cast("binary")), F.lit(parts)).cast("int")
+
+
+def deal_sentences(space: VectorSpace, parts: int):
+    """Turn ``(tokens)`` rows into rows dealt by word: finished partial vectors, or the sentences a word is in.
+
+    A vector of a wide space has thousands of cells from one sentence on, many times what
+    the sentence takes. So only words with many occurrences in a batch, at most as many as the table
+    has rows, are added up here; of the others goes the sentence itself, once to each part that has
+    any of its words, with the places of those. A sentence longer than a vector is added up here whole.
+    """
+    size = space.size
+
+    def finished(batches):
+        for batch in batches:
+            part = pa.array([crc32(key.encode()) % parts for key in batch.column("key").to_pylist()], pa.int32())
+            none = [pa.nulls(batch.num_rows, field.type) for field in list(_DEALT)[5:]]
+            yield pa.RecordBatch.from_arrays([part, *batch.columns, *none], schema=_DEALT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = PartialVectors(size, np.int64)
+        index = _IndexVectors(size, space.k)
+        piece = min(table.capacity // 2, TOKENS_AT_ONCE)
+        for batch in batches:
+            texts = batch.column("tokens")
+            words = texts.flatten().dictionary_encode()
+            names, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+            part = np.array([crc32(name.encode()) % parts for name in names], np.int32)
+            edges = texts.offsets.to_numpy() - texts.offsets[0].as_py()
+            length = np.diff(edges)
+            sentence = np.repeat(np.arange(length.size), length)
+            often = np.bincount(codes, minlength=len(names)) >= max(32, 2 * codes.size // table.capacity)
+            here = often[codes] | (length > size // 4)[sentence]
+            yield from _send(texts, codes, part, edges, sentence, ~here)
+            table.start_batch(words.dictionary)
+            added = np.unique(sentence[here])
+            used = np.unique(codes[np.isin(sentence, added)])
+            vectors = np.zeros(len(names), np.int64)
+            vectors[used] = index.places([names[c] for c in used.tolist()])
+            for i in added.tolist():
+                begin, end = edges[i], edges[i + 1]
+                own = codes[begin:end]
+                places = vectors[own]
+                whole = _whole_sentence(index, places)
+                some = np.flatnonzero(here[begin:end])
+                for lo in range(0, some.size, piece):
+                    at = some[lo : lo + piece]
+                    yield from finished(table.reserve(own[at]))
+                    rows = table.rows[own[at]]
+                    np.add.at(table.weights, rows, 1)
+                    for row, place in zip(rows.tolist(), (at % size).tolist()):
+                        table.sums[row] += whole[place : place + size]
+                    dims, signs = index.of(places[at])
+                    np.subtract.at(table.flat, (rows[:, None] * size + dims).ravel(), signs.ravel())
+        yield from finished(table.finish())
+
+    def _send(texts, codes, part, edges, sentence, light):
+        token = np.flatnonzero(light)
+        order = np.lexsort((token, part[codes[token]], sentence[token]))
+        token = token[order]
+        both = sentence[token] * np.int64(parts) + part[codes[token]]
+        first = np.flatnonzero(np.diff(both, prepend=-1))
+        for lo in range(0, first.size, 1 << 14):
+            own = first[lo : lo + (1 << 14)]
+            stop = np.append(own[1:], first[lo + own.size] if lo + own.size < first.size else token.size)
+            inside = token[own[0] : stop[-1]]
+            which, to = np.divmod(both[own], parts)
+            offsets = np.append(own, stop[-1]) - own[0]
+            n = own.size
+            places = pa.array((inside - edges[sentence[inside]]).astype(np.int32))
+            columns = [
+                pa.array(to.astype(np.int32)), pa.nulls(n, pa.string()), pa.array(np.zeros(n, np.int64)), pa.array(np.ones(n, np.int64)),
+                pa.nulls(n, _PACKED), texts.take(pa.array(which)).cast(_DEALT.field("tokens").type),
+                pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), places),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=_DEALT)
+
+    return run
+
+
+def add_dealt(space: VectorSpace):
+    """Packed partial rows from dealt ones: a row per word and batch for the words at the places of the sentences.
+
+    Every sentence is added up once; the context of a word is then that sum turned back by
+    its place, over all its places, less the word itself as often.
+    """
+    size = space.size
+
+    def rows(names, found):
+        edges = np.cumsum([0, *(dims.size for _, _, dims, _ in found)])
+        dims, vals = (np.concatenate([one[i] for one in found]) for i in (2, 3))
+        weights = np.array([one[1] for one in found], np.int64)
+        for some, times, *cells in digits(edges, dims, vals):
+            keys = pa.array([names[found[i][0]] for i in some.tolist()], pa.string())
+            counted = weights[some] if times == 1 else np.zeros(some.size, np.int64)
+            columns = [keys, pa.array(counted), pa.array(np.full(some.size, times, np.int64)), packed_cells(*cells, size)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "weight", "factor", "vec"])
+
+    def sums(index, tokens, places):
+        words = tokens.flatten().dictionary_encode()
+        names, codes = words.dictionary.to_pylist(), words.indices.to_numpy()
+        vectors = index.places(names)
+        edges = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
+        whole = []
+        for begin, end in zip(edges.tolist(), edges[1:].tolist()):
+            dims, signs = index.of(vectors[codes[begin:end]])
+            turned = ((dims + np.arange(end - begin)[:, None]) % size).ravel()
+            # Cells that cancel out stay: a word's own are taken off each.
+            touched = np.flatnonzero(np.bincount(turned, minlength=size) != 0)
+            whole.append((touched, np.bincount(turned, signs.ravel(), size)[touched].astype(np.int64)))
+        at = places.flatten().to_numpy()
+        sentence = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+        word = codes[edges[sentence] + at]
+        order = np.argsort(word, kind="stable")
+        first = np.flatnonzero(np.diff(word[order], prepend=-1))
+        line, found, held = np.zeros(size, np.int64), [], 0
+        for begin, end in zip(first.tolist(), np.append(first[1:], order.size).tolist()):
+            for i in order[begin:end].tolist():
+                dims, vals = whole[sentence[i]]
+                turn = at[i] % size
+                cut = np.searchsorted(dims, turn)
+                line[dims[cut:] - turn] += vals[cut:]
+                line[dims[:cut] + (size - turn)] += vals[:cut]
+            own = word[order[begin]]
+            dims, signs = index.of(vectors[own : own + 1])
+            line[dims[0]] -= (end - begin) * signs[0]
+            cells = np.flatnonzero(line != 0)
+            found.append((own, end - begin, cells, line[cells]))
+            line[cells] = 0
+            held += cells.size
+            if held > OUTPUT_CELLS:
+                yield from rows(names, found)
+                found, held = [], 0
+        if found:
+            yield from rows(names, found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _IndexVectors(size, space.k)
+        for batch in batches:
+            sent = batch.column("tokens").is_valid()
+            done = batch.filter(pc.invert(sent))
+            if done.num_rows:
+                yield done.select(["key", "weight", "factor", "vec"])
+            batch = batch.filter(sent)
+            tokens, places = batch.column("tokens"), batch.column("places")
+            cells = np.cumsum(np.minimum(np.diff(tokens.offsets.to_numpy()) * space.k, size)) if batch.num_rows else np.empty(0)
+            begin = 0
+            while begin < batch.num_rows:
+                base = cells[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(cells, base + SENTENCE_CELLS, "right")))
+                yield from sums(index, tokens.slice(begin, end - begin), places.slice(begin, end - begin))
+                begin = end
+
+    return run

@@ -227,6 +227,28 @@ class PartialVectors:
             yield pa.RecordBatch.from_arrays(columns, ["key", "weight", "factor", "vec"])
 
 
+def _alone(batch: pa.RecordBatch, dtype) -> tuple[pa.RecordBatch | None, pa.RecordBatch]:
+    """The finished rows of keys that have one row in sorted input, and the rows of the others.
+
+    The first and the last row of a batch may go on in another.
+    """
+    codes = batch.column("key").dictionary_encode("encode").indices.to_numpy()
+    alone = np.zeros(codes.size, bool)
+    alone[1:-1] = (codes[1:-1] != codes[:-2]) & (codes[1:-1] != codes[2:])
+    if not alone.any():
+        return None, batch
+    edges, dims, vals = read_cells(batch.column("vec"))
+    counts = np.diff(edges)
+    cells = slice(edges[0], edges[-1])
+    vals = vals[cells].astype(dtype) * np.repeat(batch.column("factor").to_numpy(), counts)
+    kept = np.repeat(alone, counts) & (vals != 0)
+    upto = np.concatenate(([0], np.cumsum(kept)))[edges - edges[0]]
+    own = np.concatenate(([0], np.cumsum(np.diff(upto)[alone])))
+    some = pa.array(alone)
+    columns = [batch.column("key").filter(some), batch.column("weight").filter(some), plain_cells(own, dims[cells][kept], vals[kept])]
+    return pa.RecordBatch.from_arrays(columns, ["key", "weight", "vec"]), batch.filter(pa.array(~alone))
+
+
 def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None = None, unit: bool = False):
     """Sum ``(key, weight, factor, vec)`` rows by key, finishing the keys of ``ordered`` input.
 
@@ -237,6 +259,10 @@ def add_rows(size: int, dtype, ordered: bool = False, centre: np.ndarray | None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = PartialVectors(size, dtype, ordered, centre)
         for batch in batches:
+            if ordered and centre is None and not unit:
+                done, batch = _alone(batch, dtype)
+                if done is not None:
+                    yield done
             keys = batch.column("key").dictionary_encode("encode")
             codes = keys.indices.to_numpy()
             table.start_batch(keys.dictionary)

@@ -76,14 +76,15 @@ def merge_by_key(
     ``weight`` times from each finished vector. With ``partitions`` keys are dealt to so many, as a
     table of as many buckets has them.
     """
+    met = _rows(partial, real).repartition(*([partitions] if partitions else []), "key")
+    return add_sorted(met, size, real, centre)
+
+
+def add_sorted(met: DataFrame, size: int, real: bool = False, centre: np.ndarray | None = None) -> DataFrame:
+    """As :func:`merge_by_key` for rows of which those of a key are in one partition already."""
     dtype = np.float64 if real else np.int64
-    schema = f"key {_key_type(partial)}, weight bigint, vec {REAL_VECTOR if real else INT_VECTOR}"
-    return (
-        _rows(partial, real)
-        .repartition(*([partitions] if partitions else []), "key")
-        .sortWithinPartitions("key")
-        .mapInArrow(add_rows(size, dtype, ordered=True, centre=centre), schema)
-    )
+    schema = f"key {_key_type(met)}, weight bigint, vec {REAL_VECTOR if real else INT_VECTOR}"
+    return _rows(met, real).sortWithinPartitions("key").mapInArrow(add_rows(size, dtype, ordered=True, centre=centre), schema)
 
 
 def sum_vectors(

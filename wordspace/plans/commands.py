@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from wordspace.functions.text import split_topics
+from wordspace.operators.contexts import WIDE
 from wordspace.operators.documents import text_vectors
 from wordspace.operators.lookup import get_or_error
 from wordspace.operators.similarity import compare
@@ -71,7 +72,8 @@ class Workbench:
             column = "text" if "text" in docs.columns else docs.columns[0]
             counted = docs.observe(seen, F.count("*").alias("processed"), F.count_if(F.col(column).isNull()).alias("rejected"))
             batch = train(counted, old.space, trainer, partitions=self.store.buckets_of(kind, lexicon))
-            new = self.store.merge(kind, lexicon, batch, dealt=True)
+            # Training in a wide space deals words in its own way.
+            new = self.store.merge(kind, lexicon, batch, dealt=old.space.size < WIDE)
             processed, rejected = seen.get["processed"], seen.get["rejected"]
         elif KINDS.get(kind) == "topics":
             words = self.store.open("words", lexicon)

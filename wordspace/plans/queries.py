@@ -256,6 +256,11 @@ def train_sentence(spark, sf_dir):
     return digest(training.train(_texts(spark, sf_dir, "conversations"), SPACE, training.from_sentences))
 
 
+def train_sentence_default(spark, sf_dir):
+    """Ordered training in the space a lexicon has by default."""
+    return digest(training.train(_texts(spark, sf_dir, "conversations"), VectorSpace(), training.from_sentences))
+
+
 def train_sentence_documents(spark, sf_dir):
     return digest(training.train(_texts(spark, sf_dir, "documents"), SPACE, training.from_sentences))
 
@@ -497,6 +502,18 @@ def number_range(spark, sf_dir):
     return _word_counts(spark, sf_dir).select("conv_id", "turn", F.explode(windows.steps(F.lit(0), F.col("words"), 3)).alias("id"))
 
 
+def range_of_numbers(spark, sf_dir):
+    """Every 97th place in all the characters of the documents."""
+    total = _table(spark, sf_dir, "documents").agg(F.sum("n_chars")).first()[0]
+    return windows.number_range(spark, 0, total, 97)
+
+
+def seeded_distinct(spark, sf_dir):
+    """As many distinct numbers as there are documents, below a thousand times their characters."""
+    rows, total = _table(spark, sf_dir, "documents").agg(F.count("*"), F.sum("n_chars")).first()
+    return windows.seeded_numbers(spark, 1000 * total, rows, SEED)
+
+
 def top_by(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("doc_id", "n_chars")
     return similarity.top_by(rows, 20, "n_chars", "doc_id")
@@ -509,12 +526,13 @@ QUERIES = {
         scan_lines, process_dir, stored_corpus, corpus_extended, prepared_plain, prepared_sgml, prepared_by_type,
         training_report, cleared_lexicon, row_as_map, map_as_row,
         index_vectors, permuted_vectors, vector_sums, vector_differences, normalized_vectors, mean_vector,
-        train_window, train_sentence, train_sentence_documents, train_lines, merge_lexicon, train_on_empty, merge_lines,
+        train_window, train_sentence, train_sentence_default, train_sentence_documents, train_lines, merge_lexicon, train_on_empty, merge_lines,
         stored_lexicon_extended, stored_lookup, stored_columns,
         word_lookup, known_words, word_points, missing_words, lookup_or_index, compare_words,
         document_vectors, line_vectors, document_vectors_documents, compare_documents, compare_document_batch,
         best_matches, similarity_lists, train_topics, merge_topics, assign_topics,
-        context_windows, seeded_order, seeded_numbers, shuffled_tokens, number_range, top_by,
+        context_windows, seeded_order, seeded_numbers, shuffled_tokens, number_range, range_of_numbers,
+        seeded_distinct, top_by,
     )
 }
 

@@ -45,16 +45,16 @@ def _sentence_tokens(name: str, corpus: str) -> str:
       FROM (SELECT doc, {_split('text', SENTENCE_BREAK)} AS parts FROM ({CORPORA[corpus]})))))"""
 
 
-def _index(name: str, words: str) -> str:
+def _index(name: str, words: str, size: int = SIZE, k: int = K) -> str:
     """``name(word, dim, val)``: index vectors of the distinct words of a relation."""
     def bits(number: str, start: int, digits: int) -> str:
         return f"('0x' || substr(md5(word || '#' || {number}), {start}, {digits}))::BIGINT"
 
-    width = f"((i + 1) * {SIZE} // {K} - i * {SIZE} // {K})"
+    width = f"((i + 1) * {size} // {k} - i * {size} // {k})"
     return f"""{name} AS (
-  SELECT word, (i * {SIZE} // {K} + {bits('i', 1, 8)} % {width})::INTEGER AS dim,
+  SELECT word, (i * {size} // {k} + {bits('i', 1, 8)} % {width})::INTEGER AS dim,
     CASE WHEN ({bits('(i // 2)', 16, 1)} + i) % 2 = 0 THEN 1 ELSE -1 END::BIGINT AS val
-  FROM (SELECT DISTINCT word FROM {words}), range(0, {K}) r(i))"""
+  FROM (SELECT DISTINCT word FROM {words}), range(0, {k}) r(i))"""
 
 
 def _window_lexicon(*corpora: str) -> str:
@@ -75,16 +75,16 @@ lexicon AS (
   FROM neighbours JOIN index_cells ON word = seen GROUP BY key, dim HAVING sum(n * val) <> 0)"""
 
 
-def _sentence_lexicon(corpus: str) -> str:
+def _sentence_lexicon(corpus: str, size: int = SIZE, k: int = K) -> str:
     """``lexicon(key, dim, val)`` and ``words(key)`` trained on ordered sentences, pair by pair."""
     return f"""{_sentence_tokens('tokens', corpus)},
 numbered AS (SELECT word, row_number() OVER ()::INTEGER AS id FROM (SELECT DISTINCT word FROM tokens)),
 words AS (SELECT word AS key FROM numbered),
-{_index('index_cells', 'numbered')},
+{_index('index_cells', 'numbered', size, k)},
 index_ids AS (SELECT id, dim, val::INTEGER AS val FROM index_cells JOIN numbered USING (word)),
 places AS (SELECT dense_rank() OVER (ORDER BY doc, sent) AS line, pos, id FROM tokens JOIN numbered USING (word)),
 sums AS (
-  SELECT a.id, ((i.dim + b.pos - a.pos) % {SIZE} + {SIZE}) % {SIZE} AS dim, sum(i.val)::BIGINT AS val
+  SELECT a.id, ((i.dim + b.pos - a.pos) % {size} + {size}) % {size} AS dim, sum(i.val)::BIGINT AS val
   FROM places a JOIN places b ON b.line = a.line AND b.pos <> a.pos JOIN index_ids i ON i.id = b.id
   GROUP BY ALL HAVING sum(i.val) <> 0),
 lexicon AS (SELECT word AS key, dim::INTEGER AS dim, val FROM sums JOIN numbered USING (id))"""
@@ -208,6 +208,23 @@ kept AS (
 SELECT doc_id, coalesce(array_to_string(flatten(list(parts ORDER BY nr)), chr(10)), '') AS text FROM kept GROUP BY doc_id"""
 
 
+def _picks(bound: str, num: str) -> str:
+    """The first numbers of the seeded order below a bound: each is permuted, and again while it is beyond the bound."""
+    step = "SELECT i, walked, x >> h AS l, x & mask AS r, h, mask FROM walk, b WHERE walked = 0 OR x >= n"
+    for number in range(4):
+        digest = f"('0x' || substr(md5(r || '#{SEED}#{number}'), 1, 8))::BIGINT"
+        step = f"SELECT i, walked, r AS l, xor(l, {digest} & mask) AS r, h, mask FROM ({step})"
+    return f"""WITH RECURSIVE bound AS ({bound}),
+b AS (
+  SELECT n, h, (1::BIGINT << h) - 1 AS mask
+  FROM (SELECT n, (SELECT min(i) FROM range(1, 32) r(i) WHERE (1::BIGINT << (2 * i)) >= n) AS h FROM bound)),
+walk AS (
+  SELECT i, i AS x, 0 AS walked FROM range(0, ({num})::BIGINT) r(i)
+  UNION ALL
+  SELECT i, (l << h) | r, walked + 1 FROM ({step}))
+SELECT i AS nth, x AS id FROM walk, b WHERE walked > 0 AND x < n"""
+
+
 def oracles() -> dict[str, str]:
     conversations = _window_lexicon("conversations")
     items = f"""WITH {conversations},
@@ -286,6 +303,9 @@ SELECT key, dim, {_rounded('val')} AS val FROM unit""",
 SELECT (SELECT count(*) FROM words)::BIGINT AS weight, dim, {_rounded('val', 9)} AS val FROM mean WHERE val <> 0""",
         "train_window": _digest(_window_lexicon("documents")),
         "train_sentence": _digest(_sentence_lexicon("conversations")),
+        "train_sentence_default": _digest(_sentence_lexicon("conversations", 16000, 48)),
+        "range_of_numbers": "SELECT range AS id FROM range(0, (SELECT sum(n_chars) FROM documents)::BIGINT, 97)",
+        "seeded_distinct": _picks("SELECT sum(n_chars)::BIGINT * 1000 AS n FROM documents", "SELECT count(*) FROM documents"),
         "train_sentence_documents": _sentence_digest("documents", 16),
         "train_lines": _digest(_sentence_lexicon("conversations")),
         "merge_lexicon": _digest(_window_lexicon("documents", "conversations")),
