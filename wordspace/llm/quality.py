@@ -248,7 +248,9 @@ def train(
                 yield pa.RecordBatch.from_arrays(columns, ["key", "label", "x"])
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = found.mapInArrow(task, f"key {kind}, label double, x array<double>").collect()
+    # An id may be that of many rows, so what is collected is bounded once more.
+    cases = found.mapInArrow(task, f"key {kind}, label double, x array<double>")
+    rows = cases.orderBy(F.xxhash64("key", "x"), "key", "label", "x").limit(sample).collect()
     rows.sort(key=lambda r: (r.key, r.label, r.x))
     return fit(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.label for r in rows], float))
 
