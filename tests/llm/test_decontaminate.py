@@ -133,3 +133,44 @@ def test_passages_of_fifty_words(spark):
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     assert {r.doc_id: r["items"] for r in decontaminate.quotations(docs, bench).collect()} == want
     assert decontaminate.drop_contaminated(docs, bench).count() == 0
+
+
+def test_repetition_takes_no_memory():
+    import tracemalloc
+
+    line = "all rights reserved "
+    cases = [("a" * 2000, "a" * 300_000), (line * 100, line * 10_000), (line * 16, line * 5_000 + "x" + line * 5_000)]
+    for item, text in cases:
+        block = decontaminate.index([[1]], [item])
+        tracemalloc.start()
+        found = decontaminate.find(block, pa.array(["clean text", text]))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert set(found[0].tolist()) == {1} and found[2].min() == 0
+        assert peak < 400 << 20
+
+
+def test_slices_of_votes_change_nothing(monkeypatch):
+    random.seed(10)
+    items = [words(n) for n in (20, 40, 90, 300)] + ["of the and it is so " * 30]
+    texts = [words(60) + " " + edited(random.choice(items), 6) + " " + words(60) for _ in range(30)] + [items[4] * 3, words(3000)]
+    block = decontaminate.index([[i] for i in range(len(items))], items)
+    best = lambda found: {(t, o) for t, w in zip(found[0].tolist(), found[1].tolist()) for o in block.owners[w]}
+    whole = best(decontaminate.find(block, pa.array(texts)))
+    assert len({t for t, _ in whole}) >= 25
+    for together, size in ((1 << 20, 50), (0, 300), (0, 64)):
+        monkeypatch.setattr(decontaminate, "TOGETHER", together)
+        monkeypatch.setattr(decontaminate, "SLICE", size)
+        assert best(decontaminate.find(block, pa.array(texts))) == whole
+
+
+def test_equal_and_very_long_items(spark):
+    random.seed(11)
+    far = words(400_000)
+    items = [(i, "the same item said by very many rows of the benchmark") for i in range(3000)] + [(9000, far), (None, "the same item said by very many rows of the benchmark")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    at = far.index(" ", len(far) // 2)
+    texts = [(1, "so the same item said by very many rows of the benchmark"), (2, far[at : at + 500]), (3, words(50))]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    got = {r.doc_id: r["items"] for r in decontaminate.quotations(docs, bench).collect()}
+    assert got == {1: list(range(3000)), 2: [9000], 3: []}

@@ -11,6 +11,12 @@ A passage of an item is found too: short windows stand so dense in longer items
 passage of ``PASSAGE`` characters holds one. They are searched for where shared q-grams, all
 windows taken together, are as many in a band as one of them needs.
 
+Equal items, and equal windows of items, are searched for once. A q-gram with more than ``COMMON`` places in
+a block of items, as repetition makes, has no votes; a window needs fewer votes by as many of
+its q-grams as are such, so nothing is lost. A window that would need none is looked for wherever a
+stretch of text has enough of its q-grams in any order. Votes are counted as the text goes by, so memory does
+not grow with how often text and items repeat themselves.
+
 Characters beyond ASCII count as their UTF-8 bytes. Texts never move: the items, in blocks
 of bounded size, go to the texts.
 """
@@ -25,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordspace.llm.words import pieces, text_bytes
+from wordspace.sources.scratch import materialize
 
 Q = 8
 #: Edits allowed, as a share of the characters of an item.
@@ -37,6 +44,12 @@ SHORT, STRIDE = 256, 16
 PASSAGE = SHORT + STRIDE - 1
 #: Bytes of items that are broadcast at once; more of them are searched block by block.
 BLOCK_BYTES = 4 << 20
+#: Longer items are cut to overlapping parts of this many characters.
+SEGMENT = 400_000
+#: Places from which a q-gram of a block of items has no votes.
+COMMON = 64
+#: Shared q-grams, places counted, that are looked at together, and counted in one go.
+TOGETHER, SLICE = 1 << 20, 1 << 17
 #: Characters of a text searched at once; longer texts are searched in overlapping parts.
 PART = 1 << 20
 
@@ -71,10 +84,14 @@ class Items:
     """A block of items ready to be searched for, by windows of their ``data``.
 
     The first ``whole`` windows are those of whole items and of ``WINDOW`` characters, the
-    others the short ones; either are in the order of their places.
+    others the short ones; either are in the order of their places. ``owner`` is the one item that
+    has a window, -1 if ``owners`` are several. ``hard`` windows need no vote.
     """
 
-    ids: np.ndarray
+    ids: list
+    owners: list
+    hard: np.ndarray
+    numbers: np.ndarray
     data: np.ndarray
     owner: np.ndarray
     start: np.ndarray
@@ -88,8 +105,8 @@ class Items:
     table: np.ndarray
 
 
-def index(ids, texts: list[str | None], edits: float = EDITS) -> Items | None:
-    """None if no item has the eight characters it takes to be searched for."""
+def index(ids: list[list], texts: list[str | None], edits: float = EDITS) -> Items | None:
+    """Distinct texts with the ids of each; None if none has the eight characters it takes to be searched for."""
     raw, offsets = text_bytes(pa.array(texts, pa.large_string()))
     data, offsets = normalise(raw, offsets)
     spans = list(enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())))
@@ -101,23 +118,46 @@ def index(ids, texts: list[str | None], edits: float = EDITS) -> Items | None:
     ]
     if not cut:
         return None
-    whole = len(cut)
-    cut += [(i, begin, begin + SHORT) for i, (start, end) in spans if end - start > SHORT for begin in range(start, end - SHORT + 1, STRIDE)]
-    if len(cut) >= 1 << _WINDOW_BITS:
+    short = [(i, begin, begin + SHORT) for i, (start, end) in spans if end - start > SHORT for begin in range(start, end - SHORT + 1, STRIDE)]
+    seen: dict[bytes, list[int]] = {}
+    kept: list = []
+    for some in (cut, short):
+        for i, start, stop in some:
+            own = seen.setdefault(data[start:stop].tobytes(), [])
+            if not own:
+                kept.append((own, start, stop))
+            if i not in own[-1:]:
+                own.append(i)
+        whole = len(kept) if some is cut else whole
+    if len(kept) >= 1 << _WINDOW_BITS:
         raise ValueError("too many windows in one block of items")
-    owner, start, stop = np.array(cut, np.int64).T.copy()
+    owners = [own for own, _, _ in kept]
+    owner = np.array([own[0] if len(own) == 1 else -1 for own in owners], np.int64)
+    start, stop = np.array([span for _, *span in kept], np.int64).T.copy()
     sizes = stop - start
     # An item must share one q-gram at least, so short items have a smaller budget.
     budget = np.minimum((sizes * edits).astype(np.int64), (sizes - Q) // Q)
     found = grams(data)
     # Those across the ends of items are in no window.
     place = np.flatnonzero(np.searchsorted(offsets, np.arange(found.size), "right") == np.searchsorted(offsets, np.arange(found.size) + Q, "left"))
+    # Nor are those of windows that another stands for.
+    edges = np.bincount(start, minlength=data.size + 1) - np.bincount(np.maximum(stop - Q + 1, start), minlength=data.size + 1)
+    place = place[np.cumsum(edges)[place] > 0]
     order = place[np.argsort(found[place], kind="stable")]
     distinct, first = np.unique(found[order], return_index=True)
     table = np.zeros(1 << _TABLE_BITS, bool)
     table[distinct * _SPREAD >> np.uint64(64 - _TABLE_BITS)] = True
     least = sizes - Q + 1 - budget * Q
-    return Items(np.array([*ids, None], object)[:-1], data, owner, start, stop, whole, budget, least, distinct, np.append(first, order.size), order, table)
+    first = np.append(first, order.size)
+    numbers = np.full(data.size + 1, -1, np.int64)
+    numbers[order] = np.repeat(np.arange(distinct.size), np.diff(first))
+    common = np.concatenate(([0], np.cumsum((numbers >= 0) & (np.diff(first)[numbers] > COMMON))))
+    needed = least - (common[np.maximum(stop - Q + 1, start)] - common[start])
+    hard = needed < 1
+    return Items(
+        ids, owners, hard, numbers, data, owner, start, stop, whole, budget, np.where(hard, np.iinfo(np.int64).max, needed),
+        distinct, first, order, table,
+    )
 
 
 def align(items: Items, data: np.ndarray, item: np.ndarray, low: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -175,14 +215,63 @@ def _find(items: Items, data: np.ndarray, begin: np.ndarray, end: np.ndarray):
     part = np.searchsorted(begin, at, "right") - 1
     inside = at + Q <= end[part]
     at, known, part = at[inside], known[inside], part[inside]
+    found = [np.empty(0, np.int64)] * 3
+    for window in np.flatnonzero(items.hard).tolist() if at.size else ():
+        found = _joined(found, _repetitive(items, data, begin, end, at, known, part, window))
     counts = items.first[known + 1] - items.first[known]
-    place, at, part = items.place[_ranges(items.first[known], counts)], np.repeat(at, counts), np.repeat(part, counts)
-    found = _aligned(items, data, base, begin, end, at, place, part, 0, items.whole)
+    some = counts <= COMMON
+    at, known, part, counts = at[some], known[some], part[some], counts[some]
+    together = counts.sum() <= TOGETHER
+    # In the order of the text; a position has few places.
+    cuts = [0, at.size] if together else np.searchsorted(np.cumsum(counts), np.arange(0, counts.sum() + SLICE, SLICE), "right").tolist() + [at.size]
+
+    def hits(first: int):
+        for lo, hi in zip(cuts, cuts[1:]):
+            n = counts[lo:hi]
+            place, where, own = items.place[_ranges(items.first[known[lo:hi]], n)], np.repeat(at[lo:hi], n), np.repeat(part[lo:hi], n)
+            if together and first:
+                dense = _dense(items, place, where - base, own)
+                place, where, own = place[dense], where[dense], own[dense]
+            for begun in range(0, max(place.size, 1), SLICE):
+                inside = slice(begun, begun + SLICE)
+                yield where[inside], place[inside], own[inside]
+
+    found = _joined(found, _aligned(items, data, base, begin, end, hits(0), 0, items.whole))
     if items.whole == items.start.size:
         return found
-    some = _dense(items, place, at - base, part)
-    more = _aligned(items, data, base, begin, end, at[some], place[some], part[some], items.whole, items.start.size, found)
-    return tuple(np.concatenate(both) for both in zip(found, more))
+    return _joined(found, _aligned(items, data, base, begin, end, hits(1), items.whole, items.start.size, found))
+
+
+def _joined(a, b):
+    return tuple(np.concatenate(both) for both in zip(a, b))
+
+
+def _repetitive(items: Items, data, begin, end, at, known, part, window: int):
+    """``(part, window, edits)`` of a window whose q-grams repeat, where a stretch has enough of them in any order."""
+    size, budget = int(items.stop[window] - items.start[window]), int(items.budget[window])
+    own = np.unique(items.numbers[items.start[window] : items.stop[window] - Q + 1])
+    here = np.flatnonzero(np.isin(known, own))
+    least = size - Q + 1 - budget * Q
+    width = 2 * (budget + 1)
+    out = [np.empty(0, np.int64)] * 3
+    for p in np.unique(part[here]).tolist():
+        places = at[here[part[here] == p]] - begin[p]
+        # Every other cell of diagonals begins a band; a quotation on it ends before the next size and budget.
+        bands = np.unique(places // width)
+        bands = np.unique((bands[:, None] - np.arange(-(-(size + budget) // width) + 2)).ravel())
+        low = bands * width
+        held = np.searchsorted(places, low + width + size + budget) - np.searchsorted(places, low - budget)
+        low = low[held >= least] + begin[p]
+        best = items.budget[window] + 1
+        for lo in range(0, low.size, 128):
+            some = low[lo : lo + 128]
+            many = np.full(some.size, window)
+            best = min(best, align(items, data, many, some, np.full(some.size, begin[p]), np.full(some.size, end[p])).min())
+            if not best:
+                break
+        if best <= budget:
+            out = _joined(out, ([p], [window], [best]))
+    return tuple(np.asarray(side, np.int64) for side in out)
 
 
 def _ranges(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -203,7 +292,7 @@ def _banded(cells: np.ndarray, votes: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _dense(items: Items, place: np.ndarray, at: np.ndarray, part: np.ndarray) -> np.ndarray:
-    """The shared q-grams in bands that hold as many as a short window needs.
+    """The shared q-grams in bands that hold as many as the short window needs that needs fewest.
 
     The diagonals are those of the data of all items, so that one count serves all windows.
     """
@@ -211,55 +300,108 @@ def _dense(items: Items, place: np.ndarray, at: np.ndarray, part: np.ndarray) ->
     cell = part.astype(np.uint64) << np.uint64(40) | ((at - place + items.data.size) // width + 1).astype(np.uint64)
     cells, where, votes = np.unique(cell, return_inverse=True, return_counts=True)
     both, band = _banded(cells, votes)
-    full = both[band >= items.least[items.whole]]
+    full = both[band >= items.least[items.whole :].min()]
     return np.flatnonzero((np.isin(cells, full) | np.isin(cells, full + np.uint64(1)))[where])
 
 
-def _aligned(items: Items, data, base, begin, end, at, place, part, first: int, last: int, known=None):
-    """``(part, window, edits)`` of the windows from ``first`` to ``last`` within budget.
+_PART_SHIFT, _WINDOW_SHIFT = np.uint64(_WINDOW_BITS + _CELL_BITS), np.uint64(_CELL_BITS)
 
-    Items that are ``known`` to be quoted in a part are not looked for in it again.
-    """
+
+def _split(items: Items, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Part, window and number of cells."""
+    window = (cells >> _WINDOW_SHIFT & np.uint64((1 << _WINDOW_BITS) - 1)).astype(np.int64)
+    return (cells >> _PART_SHIFT).astype(np.int64), window, (cells & np.uint64((1 << _CELL_BITS) - 1)).astype(np.int64)
+
+
+def _votes(items: Items, base, at, place, part, first: int, last: int, pairs, done) -> tuple[np.ndarray, np.ndarray]:
+    """The cells of the windows from ``first`` to ``last`` that shared q-grams fall into, and how many each."""
     low = first + np.searchsorted(items.stop[first:last], place + Q, "left")
     counts = np.maximum(first + np.searchsorted(items.start[first:last], place, "right") - low, 0)
     window, at, place, part = _ranges(low, counts), np.repeat(at, counts), np.repeat(place, counts), np.repeat(part, counts)
-    if known is not None:
-        pair = known[0] * items.ids.size + items.owner[known[1]]
-        new = np.isin(part * items.ids.size + items.owner[window], pair, invert=True)
-        window, at, place, part = window[new], at[new], place[new], part[new]
+    keep = ~items.hard[window]
+    if pairs is not None:
+        keep &= np.isin(part * (len(items.ids) + 1) + items.owner[window] + 1, pairs, invert=True)
+    if done.size:
+        keep &= np.isin(part << _WINDOW_BITS | window, done, invert=True)
+    if not keep.all():
+        window, at, place, part = window[keep], at[keep], place[keep], part[keep]
     # Diagonals from zero up, in cells of k + 1; two neighbouring cells are one band.
     diagonal = at - base - (place - items.start[window]) + WINDOW
     cell = diagonal // (items.budget[window] + 1) + 1
-    part_shift, window_shift = np.uint64(_WINDOW_BITS + _CELL_BITS), np.uint64(_CELL_BITS)
-    cells, votes = np.unique(
-        part.astype(np.uint64) << part_shift | window.astype(np.uint64) << window_shift | cell.astype(np.uint64), return_counts=True
-    )
-    both, band = _banded(cells, votes)
-    window = (both >> window_shift & np.uint64((1 << _WINDOW_BITS) - 1)).astype(np.int64)
-    passed = np.flatnonzero(band >= items.least[window])
-    both, window = both[passed], window[passed]
-    part = (both >> part_shift).astype(np.int64)
-    low = ((both & np.uint64((1 << _CELL_BITS) - 1)).astype(np.int64) - 1) * (items.budget[window] + 1) - WINDOW + base
-    order = np.argsort((items.stop - items.start)[window], kind="stable")
-    edits = np.empty(window.size, np.int64)
-    for some in np.split(order, range(128, order.size, 128)):
-        if some.size:
-            edits[some] = align(items, data, window[some], low[some], begin[part[some]], end[part[some]])
-    good = edits <= items.budget[window]
-    return part[good], window[good], edits[good]
+    return np.unique(part.astype(np.uint64) << _PART_SHIFT | window.astype(np.uint64) << _WINDOW_SHIFT | cell.astype(np.uint64), return_counts=True)
+
+
+def _aligned(items: Items, data, base, begin, end, hits, first: int, last: int, known=None):
+    """``(part, window, edits)`` of the windows from ``first`` to ``last`` within budget.
+
+    ``hits`` come in slices in the order of the text. Cells that later ones can no longer fall into
+    are settled after each slice; where a window is found without an edit, it is looked for no more in that part. Items that are ``known`` to be quoted in a part are not
+    looked for in it again.
+    """
+    pairs = None
+    if known is not None:
+        owner = items.owner[known[1]]
+        pairs = (known[0] * (len(items.ids) + 1) + owner + 1)[owner >= 0]
+    cells, votes = np.empty(0, np.uint64), np.empty(0, np.int64)
+    out = [np.empty(0, np.int64)] * 3
+    done = np.empty(0, np.int64)
+    slices = iter(hits)
+    ahead = next(slices, None)
+    while ahead is not None:
+        (at, place, part), ahead = ahead, next(slices, None)
+        new = _votes(items, base, at, place, part, first, last, pairs, done)
+        if cells.size:
+            cells, where = np.unique(np.concatenate((cells, new[0])), return_inverse=True)
+            votes = np.bincount(where, np.concatenate((votes, new[1]))).astype(np.int64)
+        else:
+            cells, votes = new
+        both, band = _banded(cells, votes)
+        own, window, cell = _split(items, both)
+        settled = np.ones(both.size, bool)
+        if ahead is not None and at.size:
+            # A q-gram further on in the text lies on a diagonal above this one, for every window.
+            upto = int(at[-1]) - base
+            settled = (own < part[-1]) | ((cell + 1) * (items.budget[window] + 1) <= upto)
+            mine, of, number = _split(items, cells)
+            # A settled cell is still the lower half of nothing but may be the upper half of an open band.
+            open_ = (mine >= part[-1]) & ((number + 2) * (items.budget[of] + 1) > upto)
+            cells, votes = cells[open_], votes[open_]
+        passed = np.flatnonzero(settled & (band >= items.least[window]))
+        own, window, cell = own[passed], window[passed], cell[passed]
+        low = (cell - 1) * (items.budget[window] + 1) - WINDOW + base
+        order = np.argsort((items.stop - items.start)[window], kind="stable")
+        edits = np.full(window.size, np.iinfo(np.int64).max)
+        for some in np.split(order, range(128, order.size, 128)):
+            if done.size:
+                some = some[np.isin(own[some] << _WINDOW_BITS | window[some], done, invert=True)]
+            if some.size:
+                edits[some] = align(items, data, window[some], low[some], begin[own[some]], end[own[some]])
+                exact = some[edits[some] == 0]
+                done = np.union1d(done, own[exact] << _WINDOW_BITS | window[exact]) if exact.size else done
+        good = edits <= items.budget[window]
+        out = _joined(out, (own[good], window[good], edits[good]))
+    return out
 
 
 def _blocks(benchmark: DataFrame, key: str, text: str, limit: int) -> list:
-    """The items as broadcast indexes of at most about ``limit`` bytes each."""
-    rows = benchmark.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    """The items as broadcast indexes of at most about ``limit`` bytes each.
+
+    Equal items are one, with all their ids, and long ones are parts that overlap by a window.
+    """
+    kept = F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = benchmark.select(F.col(key).alias("id"), F.regexp_replace(kept, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " ").alias("text"))
+    rows = rows.groupBy("text").agg(F.collect_list("id").alias("ids"))
+    last = F.greatest(F.length("text") - WINDOW - 1, F.lit(0))
+    parts = F.transform(F.sequence(F.lit(0), last, F.lit(SEGMENT)), lambda at: F.substring(F.col("text"), at + 1, F.lit(SEGMENT + WINDOW)))
+    rows = materialize(rows.select("ids", F.explode(parts).alias("text")))
     # Each item counts 24 bytes more, which bounds the number of items of a block too.
     size = rows.agg(F.sum(F.octet_length("text") + 24)).first()[0] or 0
     count = 1 + 2 * size // limit if size > limit else 1
     out = []
     for number in range(count):
         own = rows if count == 1 else rows.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == number)
-        found = own.collect()
-        if (items := index([r.id for r in found], [r.text for r in found])) is not None:
+        found = sorted(own.collect(), key=lambda r: (r.text, r.ids))
+        if (items := index([list(r.ids) for r in found], [r.text for r in found])) is not None:
             out.append(benchmark.sparkSession.sparkContext.broadcast(vars(items)))
     return out
 
@@ -274,7 +416,7 @@ def _search(items):
                 text, window, edits = find(block, piece.column("text"))
                 lists, least = piece.column("items").to_pylist(), piece.column("edits").to_pylist()
                 for t, w, e in zip(text.tolist(), window.tolist(), edits.tolist()):
-                    lists[t] = lists[t] + [block.ids[block.owner[w]]]
+                    lists[t] = [*lists[t], *(one for owner in block.owners[w] for one in block.ids[owner])]
                     least[t] = e if least[t] is None else min(least[t], e)
                 columns = [piece.column("id"), piece.column("text"), pa.array(lists, piece.schema.field("items").type), pa.array(least, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, piece.schema.names)
@@ -301,7 +443,7 @@ def quotations(
     )
     for items in _blocks(benchmark, item_key, item_text, block_bytes):
         rows = rows.mapInArrow(_search(items), rows.schema)
-    listed = F.array_sort(F.array_distinct(F.array_compact("items")))
+    listed = F.array_sort(F.array_distinct("items"))
     return rows.select(F.col("id").alias(key), F.col("edits").isNotNull().alias("contaminated"), listed.alias("items"), "edits")
 
 
