@@ -139,7 +139,7 @@ def test_repetition_takes_no_memory():
     import tracemalloc
 
     line = "all rights reserved "
-    cases = [("a" * 2000, "a" * 300_000), (line * 100, line * 10_000), (line * 16, line * 5_000 + "x" + line * 5_000)]
+    cases = [("a" * 2000, "a" * 200_000), (line * 100, line * 4_000), (line * 16, line * 2_000 + "x" + line * 2_000)]
     for item, text in cases:
         block = decontaminate.index([[1]], [item])
         tracemalloc.start()
@@ -153,20 +153,21 @@ def test_repetition_takes_no_memory():
 def test_slices_of_votes_change_nothing(monkeypatch):
     random.seed(10)
     items = [words(n) for n in (20, 40, 90, 300)] + ["of the and it is so " * 30]
-    texts = [words(60) + " " + edited(random.choice(items), 6) + " " + words(60) for _ in range(30)] + [items[4] * 3, words(3000)]
+    texts = [words(60) + " " + edited(random.choice(items), 6) + " " + words(60) for _ in range(12)] + [items[4] * 3, words(500)]
     block = decontaminate.index([[i] for i in range(len(items))], items)
     best = lambda found: {(t, o) for t, w in zip(found[0].tolist(), found[1].tolist()) for o in block.owners[w]}
     whole = best(decontaminate.find(block, pa.array(texts)))
-    assert len({t for t, _ in whole}) >= 25
-    for together, size in ((1 << 20, 50), (0, 300), (0, 64)):
+    assert len({t for t, _ in whole}) >= 9
+    for together, size in ((1 << 20, 700), (0, 2000)):
         monkeypatch.setattr(decontaminate, "TOGETHER", together)
         monkeypatch.setattr(decontaminate, "SLICE", size)
         assert best(decontaminate.find(block, pa.array(texts))) == whole
 
 
-def test_equal_and_very_long_items(spark):
+def test_equal_and_very_long_items(spark, monkeypatch):
     random.seed(11)
-    far = words(400_000)
+    monkeypatch.setattr(decontaminate, "SEGMENT", 20_000)
+    far = words(10_000)
     items = [(i, "the same item said by very many rows of the benchmark") for i in range(3000)] + [(9000, far), (None, "the same item said by very many rows of the benchmark")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     at = far.index(" ", len(far) // 2)
