@@ -16,6 +16,7 @@ LINE_BREAK = r"\r\n|\n|\r"
 
 # Patterns of the newswire clean-up.
 BODY_MARKS = r"(<BODY>)|(&#3;</BODY>)"
+BODY_END = "&#3;</BODY>"
 ACRONYM_TAIL = r"(?<=[A-Z]\.)([A-Z])\."
 ACRONYM_HEAD = r"([A-Z])\.(?=[A-Z])"
 SENTENCE_GAP = r"(?<=(\S)\.{1,3}(\"?))\s+(?=(\"?[A-Z]))"
@@ -46,22 +47,25 @@ def lines_to_text(text: Column) -> Column:
     return F.array_join(line_array(text), " ")
 
 
+def join_trimmed(text: Column) -> Column:
+    """The lines of a text, trimmed and joined by single spaces."""
+    return F.array_join(F.transform(line_array(text), lambda l: F.regexp_replace(l, OUTER_BLANKS, "")), " ")
+
+
+def body_sentences(body: Column) -> Column:
+    """The sentences of one newswire body, without full stops and lines of one word."""
+    plain = F.regexp_replace(body, ACRONYM_TAIL, "$1")
+    plain = F.regexp_replace(plain, ACRONYM_HEAD, "$1")
+    bare = F.transform(F.split(plain, SENTENCE_GAP), lambda s: F.replace(s, F.lit("."), F.lit("")))
+    return F.filter(bare, lambda s: ~s.rlike(ONE_WORD_LINE))
+
+
 def sgml_to_sentences(text: Column) -> Column:
     """Sentences of the ``<BODY>`` blocks of a newswire file, one per line."""
-    trimmed = F.transform(line_array(text), lambda l: F.regexp_replace(l, OUTER_BLANKS, ""))
-    joined = F.array_join(trimmed, " ")
     # Splitting discards empty trailing pieces, so closing marks are cut off first.
-    closed = F.regexp_replace(joined, rf"({BODY_MARKS})+\z", "")
-    pieces = F.split(closed, BODY_MARKS)
-    bodies = F.filter(pieces, lambda _, i: i % 2 == 1)
-
-    def sentences(body: Column) -> Column:
-        plain = F.regexp_replace(body, ACRONYM_TAIL, "$1")
-        plain = F.regexp_replace(plain, ACRONYM_HEAD, "$1")
-        return F.split(plain, SENTENCE_GAP)
-
-    bare = F.transform(F.flatten(F.transform(bodies, sentences)), lambda s: F.replace(s, F.lit("."), F.lit("")))
-    return F.array_join(F.filter(bare, lambda s: ~s.rlike(ONE_WORD_LINE)), "\n")
+    closed = F.regexp_replace(join_trimmed(text), rf"({BODY_MARKS})+\z", "")
+    bodies = F.filter(F.split(closed, BODY_MARKS), lambda _, i: i % 2 == 1)
+    return F.array_join(F.flatten(F.transform(bodies, body_sentences)), "\n")
 
 
 def prepare_by_type(path: Column, text: Column) -> Column:

@@ -93,6 +93,15 @@ def sgml_sentences(spark, sf_dir):
     return _texts(spark, sf_dir, "documents").select("doc_id", T.sgml_to_sentences(wrapped).alias("text"))
 
 
+def newswire_ranges(spark, sf_dir):
+    """Documents as the bodies of files of many, read by byte ranges: each text and how often it comes."""
+    path = scratch_path(spark)
+    wrapped = F.concat(F.lit("<HEAD>\n<BODY>"), F.coalesce("text", F.lit("")), F.lit("\n&#3;</BODY></HEAD>"))
+    _table(spark, sf_dir, "documents").select(wrapped).write.text(path)
+    bodies = files.newswire_bodies(spark, path).withColumn("text", F.coalesce("text", F.lit("")))
+    return bodies.groupBy("text").agg(F.count("*").alias("n"))
+
+
 def tag_contents(spark, sf_dir):
     html = F.col("html")
     return _table(spark, sf_dir, "pages").select(
@@ -522,7 +531,7 @@ def top_by(spark, sf_dir):
 QUERIES = {
     query.__name__: query
     for query in (
-        lines_to_text, sentences, tokens, token_counts, sgml_sentences, tag_contents, topic_texts,
+        lines_to_text, sentences, tokens, token_counts, sgml_sentences, newswire_ranges, tag_contents, topic_texts,
         scan_lines, process_dir, stored_corpus, corpus_extended, prepared_plain, prepared_sgml, prepared_by_type,
         training_report, cleared_lexicon, row_as_map, map_as_row,
         index_vectors, permuted_vectors, vector_sums, vector_differences, normalized_vectors, mean_vector,

@@ -252,6 +252,7 @@ SELECT doc AS doc_id, (sent - 1)::INTEGER AS sent, (pos - 1)::INTEGER AS pos, wo
         "token_counts": f"""SELECT doc_id, len(string_split_regex(text, '{TOKEN_BREAK}'))::BIGINT AS parts,
   len({_split('text')})::BIGINT AS tokens FROM documents""",
         "sgml_sentences": _sgml(),
+        "newswire_ranges": f"SELECT coalesce(text, '') AS text, count(*)::BIGINT AS n FROM ({_sgml()}) GROUP BY 1",
         "tag_contents": "SELECT page_id, "
         + ", ".join(f"{_tag(tag)} AS {tag}" for tag in ("title", "h1", "article", "body"))
         + " FROM pages",
