@@ -107,6 +107,51 @@ def test_equal_similarities_rank_by_name(spark, vectors):
     assert sorted((r.rank, r.right_key) for r in best) == [(1, "a"), (2, "b")]
 
 
+def clustered(spark, centres, each, seed=3):
+    """Vectors close to a few centres, copies, a zero vector and a missing one."""
+    rng = np.random.default_rng(seed)
+    base = rng.normal(size=(centres, SPACE.size))
+    rows = {f"v{i}": base[i % centres] + 0.2 * rng.normal(size=SPACE.size) for i in range(centres * each)}
+    rows |= {f"copy{i}": rows["v0"] for i in range(5)} | {"zero": np.zeros(SPACE.size)}
+    table = [(k, (list(range(SPACE.size)), [float(x) for x in v])) for k, v in rows.items()] + [("none", None)]
+    return spark.createDataFrame(table, "key string, vec struct<dims: array<int>, vals: array<double>>").cache(), rows
+
+
+@pytest.mark.parametrize("least", [0.97, 0.9, 0.0, -1.0])
+@pytest.mark.parametrize("block", [4, 1000])
+def test_pairs_above_a_threshold(spark, least, block):
+    table, rows = clustered(spark, 5, 8)
+    other, more = clustered(spark, 3, 4, seed=4)
+    other, more = other.filter("key <> 'v3'").unionByName(table.filter("key = 'v1'")).cache(), more | {"v1": rows["v1"]}
+    for right, vecs in ((table, rows), (other, None)):
+        if vecs is None:
+            listed = [(r.key, np.array(r.vec.vals)) for r in other.collect() if r.vec]
+        else:
+            listed = list(vecs.items())
+        expected = sorted(
+            (a, b, round(s, 9)) for a, u in rows.items() if u.any() for b, v in listed if v.any() and (s := brute.cosine(u, v)) >= least - 1e-12
+        )
+        found = similarity.similar_pairs(table, right, SPACE, least, block).collect()
+        assert sorted((r.left_key, r.right_key, round(r.similarity, 9)) for r in found if r.similarity >= least) == expected
+
+
+def test_areas_that_cannot_hold_a_pair_never_meet(spark, monkeypatch):
+    table, _ = clustered(spark, 8, 16)
+    seen = []
+    near = similarity.near_areas
+    monkeypatch.setattr(similarity, "near_areas", lambda left, right, least: seen.append((len(left) * len(right), near(left, right, least))) or seen[-1][1])
+    assert similarity.similar_pairs(table, table, SPACE, 0.9, 8).count() >= 8 * 16
+    every, kept = seen[0]
+    assert len(kept) < every / 3
+
+
+def test_no_pairs_in_empty_tables(spark):
+    table, _ = clustered(spark, 2, 2)
+    empty = table.filter("key = 'x'")
+    for left, right in ((table, empty), (empty, table), (table.filter("key IN ('zero', 'none')"), table)):
+        assert similarity.similar_pairs(left, right, SPACE, 0.5).collect() == []
+
+
 def test_lists(vectors):
     pairs = similarity.all_similarities(vectors, vectors, SPACE).cache()
     by_pair = {(r.left_key, r.right_key): r.similarity for r in pairs.collect()}

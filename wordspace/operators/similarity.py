@@ -20,6 +20,12 @@ BLOCK_BYTES = 32 << 20
 BROADCAST_BYTES = 64 << 20
 BROADCASTS = 8
 
+# How many vectors the others are placed by, and rings of equal width about each, for a search above a threshold.
+PIVOTS = 16
+RINGS = 32
+# Room for what rounding does to an angle.
+ANGLE_SLACK = 1e-6
+
 # Similarities that differ by less than this many decimals rank by name.
 RANK_DECIMALS = 12
 
@@ -199,6 +205,131 @@ def _ranked(found: DataFrame, top: int, ascending: bool) -> DataFrame:
     return found.withColumn("rank", best).filter(F.col("rank") <= top)
 
 
+def _placed(size: int, pivots: np.ndarray):
+    """Rows with their angles to every pivot, and their cell: the nearest pivot and the ring about it."""
+
+    def run(batches):
+        step = max(1, BLOCK_BYTES // (8 * size))
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                cosines = _unit_rows(pa.chunked_array([part.column("vec")]), size) @ pivots.T
+                some = np.flatnonzero(~np.isnan(cosines[:, 0]))
+                angles = np.arccos(np.clip(cosines[some], -1, 1))
+                nearest = angles.argmin(axis=1)
+                ring = np.minimum(angles[np.arange(some.size), nearest] * (RINGS / np.pi), RINGS - 1).astype(np.int32)
+                edges = pa.array(np.arange(0, angles.size + 1, len(pivots), dtype=np.int32))
+                columns = [pa.array(nearest.astype(np.int32) * RINGS + ring), pa.ListArray.from_arrays(edges, pa.array(angles.ravel()))]
+                columns += [part.column(c).take(pa.array(some)) for c in ("key", "vec")]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "angles", "key", "vec"])
+
+    return run
+
+
+def _reach(placed: DataFrame, pivots: int, block: int) -> list[dict]:
+    """Cells joined to about a block each: their rows, and the least and largest angle to every pivot.
+
+    At most ``PIVOTS`` x ``RINGS`` cells come to the driver, whatever the data. Only rings of one pivot are joined.
+    """
+    spans = placed.select("cell", F.posexplode("angles").alias("pivot", "angle"))
+    spans = spans.groupBy("cell", "pivot").agg(F.count("*").alias("rows"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    cells: dict[int, dict] = {}
+    for row in spans.collect():
+        cell = cells.setdefault(row.cell, {"cells": [row.cell], "low": np.zeros(pivots), "high": np.zeros(pivots)})
+        cell["rows"], cell["low"][row.pivot], cell["high"][row.pivot] = row.rows, row.low, row.high
+    joined: list[dict] = []
+    for number in sorted(cells):
+        cell = cells[number]
+        last = joined[-1] if joined else None
+        if last and last["cells"][0] // RINGS == number // RINGS and last["rows"] + cell["rows"] <= block:
+            last["cells"].append(number)
+            last["rows"] += cell["rows"]
+            last["low"], last["high"] = np.minimum(last["low"], cell["low"]), np.maximum(last["high"], cell["high"])
+        else:
+            joined.append(cell)
+    return joined
+
+
+def near_areas(left: list[dict], right: list[dict], least: float) -> list[tuple[int, int]]:
+    """Which areas can hold a pair of vectors with a similarity of ``least``.
+
+    Angles obey the triangle inequality: two vectors are no closer than their angles to any pivot differ.
+    """
+    if not left or not right:
+        return []
+    widest = np.arccos(np.clip(least, -1, 1)) + ANGLE_SLACK
+    low, high = (np.array([area[side] for area in right]) for side in ("low", "high"))
+    found = []
+    for number, area in enumerate(left):
+        gap = np.maximum(area["low"] - high, low - area["high"]).max(axis=1)
+        found += [(number, int(other)) for other in np.flatnonzero(gap <= widest)]
+    return found
+
+
+def _above(size: int, least: float):
+    """The similarities of two blocks that reach ``least``."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sims = _unit_rows(left.column("left_vec"), size) @ _unit_rows(right.column("right_vec"), size).T
+        rows, cols = np.nonzero(sims >= least)
+        keys = [left.column("left_key").take(pa.array(rows)), right.column("right_key").take(pa.array(cols))]
+        return pa.Table.from_arrays([*keys, pa.chunked_array([pa.array(sims[rows, cols])])], ["left_key", "right_key", "similarity"])
+
+    return run
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, space: VectorSpace, least: float, block: int | None = None) -> DataFrame:
+    """``(left_key, right_key, similarity)`` of every pair of a left and a right vector that reaches ``least``.
+
+    Equal to filtering :func:`all_similarities`; nothing is missed. Some left vectors, the more
+    the larger the table, at most ``PIVOTS``, serve as pivots. A row goes to a cell by the nearest of them and
+    its angle to it, and cells whose ranges of angles to some pivot are further apart than the angle of
+    ``least`` never meet. Cells are cut into blocks of at most ``block`` rows on average, so a task
+    multiplies two bounded blocks, also where most vectors are alike. Zero and missing
+    vectors have no similarity and no pairs. Both inputs are read several times; pass written tables.
+    """
+    block = block or max(1, min(BLOCK_BYTES // (8 * space.size), int((BLOCK_BYTES // 8) ** 0.5)))
+    spark, kinds = left.sparkSession, tuple(side.schema["key"].dataType.simpleString() for side in (left, right))
+    schema = "left_key {}, right_key {}, similarity double".format(*kinds)
+    wanted = min(PIVOTS, -(-left.count() // block))
+    chosen = left.filter(F.exists("vec.vals", lambda v: v != 0)).orderBy(F.xxhash64("key"), "key").limit(wanted)
+    units = _unit_rows(chosen.select(F.col("vec").cast(REAL_VECTOR).alias("vec")).toArrow().column("vec"), space.size)
+    if not len(units):
+        return spark.createDataFrame([], schema)
+
+    def place(rows: DataFrame, kind: str) -> tuple[DataFrame, list[dict]]:
+        plain = rows.select("key", F.col("vec").cast(REAL_VECTOR).alias("vec"))
+        placed = materialize(plain.mapInArrow(_placed(space.size, units), f"cell int, angles array<double>, key {kind}, vec {REAL_VECTOR}"))
+        return placed, _reach(placed, len(units), block)
+
+    first = place(left, kinds[0])
+    sides = {"left": first, "right": first if right is left else place(right, kinds[1])}
+    areas = {side: own for side, (_, own) in sides.items()}
+    near = near_areas(areas["left"], areas["right"], least)
+
+    # Each side gets column names of its own: both may be the same table.
+    def met(side: str, other: str) -> DataFrame:
+        blocks = {name: [-(-area["rows"] // block) for area in areas[name]] for name in (side, other)}
+        partners: dict[int, list] = {}
+        for pair in near:
+            own, its = pair if side == "left" else pair[::-1]
+            partners.setdefault(own, []).append((its, blocks[other][its]))
+        known = [(cell, own, blocks[side][own], partners[own]) for own in partners for cell in areas[side][own]["cells"]]
+        table = spark.createDataFrame(known, "cell int, area int, blocks int, partners array<struct<area int, blocks int>>")
+        rows = sides[side][0].join(F.broadcast(table), "cell").select(
+            F.col("key").alias(f"{side}_key"), F.col("vec").alias(f"{side}_vec"), F.col("area").alias(f"{side}_area"),
+            F.expr("pmod(xxhash64(key), blocks)").cast("int").alias(f"{side}_block"), F.explode("partners").alias("partner"),
+        )
+        return rows.select(
+            f"{side}_key", f"{side}_vec", f"{side}_area", f"{side}_block", F.col("partner.area").alias(f"{side}_other"),
+            F.explode(F.expr("sequence(0, partner.blocks - 1)")).alias(f"{side}_other_block"),
+        )
+
+    a = met("left", "right").groupBy("left_area", "left_block", "left_other", "left_other_block")
+    b = met("right", "left").groupBy("right_other", "right_other_block", "right_area", "right_block")
+    return a.cogroup(b).applyInArrow(_above(space.size, least), schema)
+
+
 def similarity_lists(pairs: DataFrame) -> DataFrame:
     """``(left_key, similarities)``: the similarities of each left key in order of the right."""
     ordered = F.array_sort(F.collect_list(F.struct("right_key", "similarity")))

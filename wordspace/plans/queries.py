@@ -426,6 +426,13 @@ def best_matches(spark, sf_dir):
     return found.withColumn("similarity", _rounded(F.col("similarity")))
 
 
+def similar_pairs(spark, sf_dir):
+    """The texts of the benchmark that are alike to a tenth at least."""
+    vectors = materialize(_item_vectors(spark, sf_dir))
+    found = similarity.similar_pairs(vectors, vectors, SPACE, 0.1)
+    return found.withColumn("similarity", _rounded(F.col("similarity")))
+
+
 def similarity_lists(spark, sf_dir):
     vectors = materialize(_item_vectors(spark, sf_dir))
     lists = similarity.similarity_lists(similarity.all_similarities(vectors, vectors, SPACE))
@@ -539,7 +546,7 @@ QUERIES = {
         stored_lexicon_extended, stored_lookup, stored_columns,
         word_lookup, known_words, word_points, missing_words, lookup_or_index, compare_words,
         document_vectors, line_vectors, document_vectors_documents, compare_documents, compare_document_batch,
-        best_matches, similarity_lists, train_topics, merge_topics, assign_topics,
+        best_matches, similar_pairs, similarity_lists, train_topics, merge_topics, assign_topics,
         context_windows, seeded_order, seeded_numbers, shuffled_tokens, number_range, range_of_numbers,
         seeded_distinct, top_by,
     )

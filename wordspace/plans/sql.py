@@ -364,6 +364,9 @@ FROM benchmark LEFT JOIN cosines ON a = item_id AND b = item_id + 1""",
         "compare_document_batch": f"""{items},
 {_cosines('cosines', 'items', 'items')}
 SELECT a AS left_key, b AS right_key, {_rounded('similarity')} AS similarity FROM cosines""",
+        "similar_pairs": f"""{items},
+{_cosines('cosines', 'items', 'items')}
+SELECT a AS left_key, b AS right_key, {_rounded('similarity')} AS similarity FROM cosines WHERE similarity >= 0.1""",
         "best_matches": f"""{items},
 {_cosines('cosines', 'items', 'items')}
 SELECT a AS left_key, b AS right_key, {_rounded('similarity')} AS similarity, rank::INTEGER AS rank
