@@ -11,11 +11,11 @@ weights depend on the share of texts a shingle is in, and behave alike at every
 
 Equal texts are one text from the start. Texts of a band's bucket are compared by their
 samples, in blocks of bounded size, and each block hands on one row per text: the first text
-it hangs together with through pairs whose samples agree about as often as the threshold
-asks. The components of those rows are sets of texts that may be classes. In each, again in
-bounded blocks, the similarity of all such pairs is computed exactly, and a block hands on
-one row per text: the first text it is linked to, and how many links it has. So every
-candidate pair is verified, and a group of copies costs rows as many as its texts.
+it hangs together with through pairs half of whose samples agree. The components of those rows
+are sets of texts that may be classes. In each, again in bounded blocks, the similarity of all
+such pairs is computed exactly, whether they share a band or not, and a block hands on one row
+per text: the first text it is linked to, and how many links it has. So a group of copies costs
+rows as many as its texts.
 """
 
 from __future__ import annotations
@@ -38,10 +38,9 @@ THRESHOLD = 0.8
 RARITY = 0.25
 BANDS, ROWS = 12, 4
 SAMPLES = BANDS * ROWS
-#: Samples that have to agree to put two texts in one set: 2.9 standard deviations below the mean at the threshold.
-AGREE = 30
-#: Samples that have to agree to compare two texts of a set exactly: 5 standard deviations below.
-COMPARED = 24
+#: Samples of two texts that have to agree for an exact comparison: 5 standard deviations below the mean
+#: at the threshold, so of a million pairs there about one is passed over.
+AGREE = 24
 #: Texts of a bucket that are compared by their samples at once.
 BLOCK = 1024
 #: Bytes of texts that are compared exactly at once.
@@ -271,7 +270,7 @@ def _by_text(rare, threshold: float):
         left, right = [], []
         for begin in range(0, rows.size if columns.size else 0, 128):
             some = rows[begin : begin + 128]
-            agreeing = _agreeing(samples, some, columns, COMPARED)
+            agreeing = _agreeing(samples, some, columns, AGREE)
             for row, partners in zip(some, agreeing):
                 if key[1] == key[2]:
                     partners = partners & (columns > row)
@@ -317,7 +316,7 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) ->
     # Weights count every document; samples are compared once per distinct text.
     rare = spark.sparkContext.broadcast(rarity(docs, text))
     rows = docs.select(text_id(F.col(text)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(rare), "id string, keys array<bigint>, samples binary")).dropDuplicates(["id"])
+    signed = materialize(rows.mapInArrow(_sign(rare), "id string, keys array<bigint>, samples binary").dropDuplicates(["id"]))
     near = _may_be_near(signed).withColumnRenamed("node", "id")
     texts = rows.join(bounded(near), "id").dropDuplicates(["id"])
     texts = materialize(texts.join(signed.select("id", "samples"), "id"))
