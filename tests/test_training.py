@@ -171,3 +171,32 @@ def test_wide_spaces_send_sentences_not_vectors(spark):
     dealt = training.from_sentences(docs(spark, texts).coalesce(1), wide)
     assert dealt.filter("vec IS NOT NULL").count() == 0
     assert sum(len(r.places) for r in dealt.collect()) == 2000
+
+
+@pytest.mark.parametrize("trainer", [training.from_sentences, training.from_windows])
+def test_seldom_words_are_sent_as_contexts(spark, trainer):
+    """In a narrow space too: what is shuffled, and sorted, are the tokens around a word, not its vector."""
+    texts = [" ".join(f"a{i * 50 + j}" for j in range(40)) for i in range(50)]
+    dealt = trainer(docs(spark, texts).coalesce(1), VectorSpace(1024, 8, 3))
+    assert dealt.filter("vec IS NOT NULL").count() == 0
+    assert sum(len(r.places) for r in dealt.collect()) == 2000
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+@pytest.mark.parametrize("size, cells, table_bytes", [(64, 50, 1), (64, 1 << 20, 1 << 20), (4099, 700, 1), (4099, 1 << 20, 1 << 20)])
+def test_contexts_are_added_up_in_parts(monkeypatch, ordered, size, cells, table_bytes):
+    monkeypatch.setattr(partial, "TABLE_BYTES", table_bytes)
+    monkeypatch.setattr(contexts, "CONTEXT_CELLS", cells)
+    monkeypatch.setattr(contexts, "SLICE", 97)
+    space = VectorSpace(size, 4, 2)
+    texts = lines_of(random_texts(6, 25)) + ["solo", " ".join(f"u{i % 90}" for i in range(300))]
+    rows = [brute.tokens(t) for t in texts]
+    dealt = pa.Table.from_batches(contexts.deal_contexts(space, ordered)(batches(rows, 9)), contexts._DEALT)
+    found = {}
+    for batch in contexts.add_contexts(space)(iter(dealt.sort_by("key").combine_chunks().to_batches())):
+        edges, dims, vals = partial.read_cells(batch.column("vec"))
+        for i, word in enumerate(batch.column("key").to_pylist()):
+            assert word not in found
+            own = slice(edges[i], edges[i + 1])
+            found[word] = dict(zip(dims[own].tolist(), vals[own].tolist()))
+    assert found == (brute.ordered if ordered else brute.windowed)(texts, space)
