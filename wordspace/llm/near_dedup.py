@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -232,10 +233,15 @@ NEAR_DDL = "a string, b string, n bigint"
 
 
 def _near(ids: pa.ChunkedArray, left: list, right: list) -> pa.Table:
-    """One row per text with a partner: the first text it hangs together with, and its partners."""
+    """One row per text with a partner: the first text it hangs together with, and its partners.
+
+    The first is the one of the smallest id, so that blocks that share it give the same rows.
+    """
     left = np.concatenate(left) if left else np.empty(0, np.int64)
     right = np.concatenate(right) if right else np.empty(0, np.int64)
-    label = _first_linked(len(ids), left, right)
+    order = pc.sort_indices(ids).to_numpy().astype(np.int64)
+    place = np.argsort(order)
+    label = order[_first_linked(len(ids), place[left], place[right])][place]
     partners = np.bincount(left, minlength=len(ids)) + np.bincount(right, minlength=len(ids))
     some = np.flatnonzero(partners)
     columns = [ids.take(pa.array(some)), ids.take(pa.array(label[some])), pa.chunked_array([pa.array(partners[some])])]
