@@ -357,3 +357,18 @@ def test_texts_are_read_once(spark, tmp_path):
     assert bench.put_texts(counted(), "set") == 4 and reads.value == 4
     report = bench.train("words", "lx", counted(), True, SPACE).first()
     assert (report.processed, report.rejected, report.total) == (4, 1, 5) and reads.value == 8
+
+
+def test_a_new_lexicon_has_buckets_by_its_texts(spark, tmp_path, monkeypatch):
+    from wordspace.sources import store
+
+    texts = [f"w{i} w{i + 1} w{i * 7 % 90}" for i in range(200)]
+    docs(spark, texts).write.parquet(str(tmp_path / "texts"))
+    stored = spark.read.parquet(str(tmp_path / "texts"))
+    monkeypatch.setattr(store, "BUCKET_BYTES", 300)
+    grown, given = Workbench(spark, str(tmp_path / "a")), Workbench(spark, str(tmp_path / "b"), buckets=3)
+    for bench, least, most in ((grown, 17, store.MOST_BUCKETS), (given, 3, 3)):
+        bench.train("words", "main", stored, create=True, space=SPACE)
+        assert least <= bench.store.buckets_of("words", "main") <= most
+        assert lexicon_rows(bench.store.open("words", "main").rows) == brute.ordered(texts, SPACE)
+    assert store.buckets_for(docs(spark, texts)) == store.BUCKETS

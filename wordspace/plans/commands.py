@@ -15,7 +15,7 @@ from wordspace.operators.topics import TOPICS_PER_TEXT, assign_topics, topic_vec
 from wordspace.operators.training import Trainer, from_sentences, train
 from wordspace.sources.files import lines, prepare, whole_files
 from wordspace.sources.scratch import materialize
-from wordspace.sources.store import BUCKETS, KINDS, Store, Table, TableMissing
+from wordspace.sources.store import KINDS, Store, Table, TableMissing, buckets_for
 from wordspace.space import VectorSpace
 
 REPORT = "kind string, processed bigint, rejected bigint, added bigint, total bigint, seconds double"
@@ -24,7 +24,7 @@ REPORT = "kind string, processed bigint, rejected bigint, added bigint, total bi
 class Workbench:
     """Commands over the tables of one store."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark, self.store = spark, Store(spark, root, buckets)
 
     def process_dir(self, path: str, dataset: str, how=None) -> int:
@@ -49,8 +49,9 @@ class Workbench:
         """``(doc_id, text)`` of a corpus."""
         return self.store.open("corpus", dataset).rows
 
-    def _open(self, kind: str, name: str, create: bool, space: VectorSpace | None) -> Table:
-        return self.store.create(kind, name, space) if create else self.store.open(kind, name)
+    def _open(self, kind: str, name: str, create: bool, space: VectorSpace | None, texts: DataFrame | None = None) -> Table:
+        buckets = None if texts is None else buckets_for(texts)
+        return self.store.create(kind, name, space, buckets) if create else self.store.open(kind, name)
 
     def train(
         self, kind: str, lexicon: str, texts: str | DataFrame, create: bool = False,
@@ -66,7 +67,7 @@ class Workbench:
         begun = time.monotonic()
         docs = self.texts(texts) if isinstance(texts, str) else texts
         if KINDS.get(kind) == "words":
-            old = self._open(kind, lexicon, create, space)
+            old = self._open(kind, lexicon, create, space, docs)
             seen = Observation()
             column = "text" if "text" in docs.columns else docs.columns[0]
             counted = docs.observe(seen, F.count("*").alias("processed"), F.count_if(F.col(column).isNull()).alias("rejected"))

@@ -46,8 +46,10 @@ KINDS = {"corpus": "corpus", "word": "words", "words": "words", "topic": "topics
 
 MANIFEST = "version bigint, folders array<string>, size int, k int, cr int, buckets int, others string"
 
-#: Buckets of a new lexicon; about 100 MB of vectors in each is a good size.
+#: Least buckets of a new lexicon; about 100 MB of vectors in each is a good size.
 BUCKETS = 16
+#: Bytes of stored texts that a bucket more is for, and the most buckets chosen by them.
+BUCKET_BYTES, MOST_BUCKETS = 8 << 20, 1 << 13
 #: Once the delta has one in so many rows of the base, both are written as one.
 DELTA_SHARE = 4
 
@@ -83,6 +85,13 @@ def added(a: DataFrame, b: DataFrame) -> DataFrame:
     return sides[0].join(sides[1], F.col("a_key") == F.col("b_key"), "full_outer").select(*columns)
 
 
+def buckets_for(texts: DataFrame) -> int:
+    """Into how many buckets to deal the lexicon of texts, by the size Spark tells of them without reading any."""
+    size = int(str(texts._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    # Texts that are in no files have no size, which Spark tells as one beyond all files.
+    return BUCKETS if size >= 1 << 55 else min(max(BUCKETS, -(-size // BUCKET_BYTES)), MOST_BUCKETS)
+
+
 class TableMissing(LookupError):
     """The named table was never created."""
 
@@ -106,7 +115,7 @@ class Store:
     ``buckets`` is for lexicons made through this object; :meth:`compact` deals an old one anew.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
     def folder(self, kind: str, name: str) -> str:
@@ -143,11 +152,11 @@ class Store:
     def exists(self, kind: str, name: str) -> bool:
         return self._latest(kind, name) is not None
 
-    def create(self, kind: str, name: str, space: VectorSpace | None = None) -> Table:
-        """Create an empty table; an existing one is left alone and opened."""
+    def create(self, kind: str, name: str, space: VectorSpace | None = None, buckets: int | None = None) -> Table:
+        """Create an empty table; an existing one is left alone and opened. ``buckets`` counts if the store has no number."""
         if not self.exists(kind, name):
             empty = self.spark.createDataFrame([], SCHEMAS[KINDS[kind]])
-            self._append(kind, name, empty, 1, space)
+            self._append(kind, name, empty, 1, space, buckets=self.buckets or buckets)
         return self.open(kind, name)
 
     def open(self, kind: str, name: str) -> Table:
@@ -313,7 +322,7 @@ class Store:
         self, kind: str, name: str, rows: DataFrame, version: int, space: VectorSpace | None, before: list[str] | None = None,
         buckets: int | None = None,
     ) -> None:
-        buckets, others = (None, None) if kind == "corpus" else (buckets or self.buckets, self._others(kind, rows))
+        buckets, others = (None, None) if kind == "corpus" else (buckets or self.buckets or BUCKETS, self._others(kind, rows))
         folder = self._put(kind, name, rows, buckets, others)
         self._commit(kind, name, version, [*(before or []), folder], space, buckets, others)
 
