@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import brute
@@ -50,6 +51,46 @@ def test_text_vectors(spark, lexicon, known, monkeypatch, room):
         assert found[i][1] == pytest.approx(np.array(vec), abs=1e-9)
 
 
+@pytest.mark.parametrize("sparse", [1, 1000], ids=["as cells", "as places"])
+def test_rare_words_in_blocks(spark, lexicon, known, monkeypatch, sparse):
+    """Blocks of few texts, words listed a few at a time, vectors in parts of a block."""
+    monkeypatch.setattr(documents, "FREQUENT_BYTES", 1)
+    monkeypatch.setattr(documents, "BLOCK_BYTES", 8 * SPACE.size * 2)
+    monkeypatch.setattr(documents, "BLOCK_TOKENS", 5)
+    monkeypatch.setattr(documents, "OUTPUT_CELLS", 1)
+    monkeypatch.setattr(documents, "SPARSE", sparse)
+    texts = TEXTS + random_texts(9, 30)
+    rows = docs(spark, texts).selectExpr("nullif(doc_id % 20, 0) AS doc_id", "text")
+    found = dense(documents.text_vectors(rows, lexicon, SPACE))
+    for i in range(20):
+        own = [w for t in texts[i::20] for w in brute.tokens(t)]
+        n, vec = brute.text_vector(own, known, SPACE.size)
+        assert found[i or None][0] == n and found[i or None][1] == pytest.approx(np.array(vec), abs=1e-9)
+    assert len(found) == 20
+
+
+def test_vectors_of_texts_are_not_shuffled(spark, lexicon):
+    """A word's vector goes once to each block that has it, and none of a text goes anywhere."""
+    plan = documents.text_vectors(docs(spark, TEXTS), lexicon, SPACE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow") and "reals" not in plan
+
+
+@pytest.mark.parametrize("values", [[1, -2, 300], [1, -(1 << 40), 7], [0.5, -1.25, 3.0]])
+@pytest.mark.parametrize("dims, size", [([0, 3, 5], 6), ([2, 290, 999], 1000), ([1, 70_000, 99_999], 100_000)])
+def test_compressed_vectors(values, dims, size):
+    kind = pa.struct([("dims", pa.list_(pa.int32())), ("vals", pa.list_(pa.array(values).type))])
+    rows = pa.array([{"dims": dims, "vals": values}, {"dims": [], "vals": []}], kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b"]), rows], ["word", "vec"])
+    (out,) = documents._compress(size)([batch])
+    for i, expected in enumerate((dict(zip(dims, values)), {})):
+        row = out.slice(i, 1).to_pylist()[0]
+        vec = np.zeros(size, pa.array(values).type.to_pandas_dtype())
+        where, got = documents._places_and_values(pa.Codec("zstd"), row["kind"], row["cells"], pa.py_buffer(row["vec"]), size)
+        vec[where] += got.astype(vec.dtype)
+        assert {int(d): vec[d] for d in np.flatnonzero(vec)} == expected
+        assert row["factor"] == pytest.approx(1 / np.linalg.norm(values) if expected else 0.0)
+
+
 def test_texts_of_one_key_add_up(spark, lexicon, known):
     rows = spark.createDataFrame([("x", TEXTS[0]), ("x", TEXTS[1])], "doc_id string, text string")
     n, vec = dense(documents.text_vectors(rows, lexicon, SPACE))["x"]
