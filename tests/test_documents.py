@@ -233,6 +233,26 @@ def test_topics(spark, lexicon, known):
         assert merged[topic][0] == 2 * n and merged[topic][1] == pytest.approx(2 * vec, abs=1e-9)
 
 
+@pytest.mark.parametrize("few", [512, 1], ids=["counted first", "in blocks"])
+def test_sets_of_topics_either_way(spark, lexicon, known, monkeypatch, few):
+    monkeypatch.setattr(topics, "FEW_SETS", few)
+    asked = []
+    monkeypatch.setattr(topics, "text_vectors", lambda *a, **k: asked.append(1) or documents.text_vectors(*a, **k))
+    rows = spark.createDataFrame([(f"t{i % 3} all", t) for i, t in enumerate(TEXTS)] + [(None, "hot"), ("t1 all", None)], "topics string, body string")
+    found = dense(topics.topic_vectors(rows, lexicon, SPACE))
+    assert bool(asked) == (few == 1)
+    for topic, own in {"all": TEXTS, **{f"t{i}": TEXTS[i::3] for i in range(3)}}.items():
+        n, vec = brute.text_vector([w for t in own for w in brute.tokens(t)], known, SPACE.size)
+        assert found[topic][0] == n and found[topic][1] == pytest.approx(np.array(vec), abs=1e-9)
+
+
+def test_words_of_topics_are_counted_before_they_meet_vectors(spark, lexicon):
+    """No vector is dealt to blocks of texts."""
+    rows = spark.createDataFrame([("a", t) for t in TEXTS], "topics string, body string")
+    plan = topics.topic_vectors(rows, lexicon, SPACE)._jdf.queryExecution().optimizedPlan().toString()
+    assert "block" not in plan and "count(1)" in plan
+
+
 def test_assign(spark, vectors):
     copies = vectors.selectExpr("concat('t', key) AS key", "weight", "vec")
     best = topics.assign_topics(vectors, copies, SPACE, top=1).collect()
