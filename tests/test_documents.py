@@ -91,6 +91,14 @@ def test_compressed_vectors(values, dims, size):
         assert row["factor"] == pytest.approx(1 / np.linalg.norm(values) if expected else 0.0)
 
 
+def test_frequent_words_are_sent_as_narrow_as_they_are(lexicon, known):
+    row_of, factors, matrix = documents._matrix(lexicon, SPACE.size)
+    assert matrix.dtype == np.int16 and row_of.keys() == known.keys()
+    for word, i in row_of.items():
+        assert {int(d): matrix[i, d] for d in np.flatnonzero(matrix[i])} == known[word]
+        assert factors[i] == pytest.approx(1 / np.linalg.norm(matrix[i].astype(float)) if known[word] else 0)
+
+
 def test_texts_of_one_key_add_up(spark, lexicon, known):
     rows = spark.createDataFrame([("x", TEXTS[0]), ("x", TEXTS[1])], "doc_id string, text string")
     n, vec = dense(documents.text_vectors(rows, lexicon, SPACE))["x"]
