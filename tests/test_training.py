@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -200,3 +201,63 @@ def test_contexts_are_added_up_in_parts(monkeypatch, ordered, size, cells, table
             own = slice(edges[i], edges[i + 1])
             found[word] = dict(zip(dims[own].tolist(), vals[own].tolist()))
     assert found == (brute.ordered if ordered else brute.windowed)(texts, space)
+
+
+def encoded_sum(block, at):
+    """The rows of a block, encoded and added up by ``at``."""
+    rows, columns = [], ([], [], [])
+    for some, code, head, tail in partial.encode(block):
+        rows += some.tolist()
+        for column, part in zip(columns, ([code] * some.size, head.to_pylist(), tail.to_pylist())):
+            column += part
+    assert sorted(rows) == list(range(len(block)))
+    order = np.argsort(rows)
+    kinds = (pa.int32(), pa.binary(), pa.binary())
+    sums = np.zeros((at.max() + 1, block.shape[1]), np.int64)
+    partial.add_encoded(sums, at, *(pa.array([column[i] for i in order], kind) for column, kind in zip(columns, kinds)))
+    return sums, set(columns[0])
+
+
+@pytest.mark.parametrize("size", [1, 5, 64, 1023, 4099, 70_000])
+def test_encoded_vectors_add_up(size):
+    rng = np.random.default_rng(1)
+    block = np.zeros((60, size), np.int64)
+    for i, row in enumerate(block):
+        most = [1, 1.2, 4, 30, 200, 40_000, 2**45][i % 7]
+        row[:] = np.where(rng.random(size) < [0.001, 0.05, 0.4, 1][i % 4], np.round(rng.normal(0, most, size)), 0)
+    at = np.sort(rng.integers(0, 9, 60))
+    expected = np.zeros((at.max() + 1, size), np.int64)
+    np.add.at(expected, at, block)
+    found, codes = encoded_sum(block, at)
+    assert (found == expected).all()
+    assert size < 1023 or len(codes) > 8
+
+
+def test_sums_are_sent_in_few_bits(spark):
+    """A seldom word of a long sentence goes as its sum, which takes fewer bytes than the sentence."""
+    texts = [" ".join(f"word{i * 200 + j}" for j in range(200)) for i in range(10)]
+    dealt = training.from_sentences(docs(spark, texts).coalesce(1), VectorSpace(1024, 8, 3))
+    rows = dealt.selectExpr("tokens", "length(head) + length(tail) AS bytes").collect()
+    assert len(rows) == 2000 and all(r.tokens is None for r in rows)
+    assert max(r.bytes for r in rows) < 512
+
+
+def test_words_of_many_texts_are_summed_before_they_leave():
+    """The tokens of many batches are looked at together, so a word leaves once for all of them."""
+    rows = [[f"a{i}", f"b{i}", *(f"w{j}" for j in range(200))] for i in range(40)]
+    dealt = pa.Table.from_batches(contexts.deal_contexts(VectorSpace(1024, 8), True)(batches(rows, 5)), contexts._DEALT)
+    assert dealt.num_rows == 280
+
+
+@pytest.mark.parametrize("whole", [1, 96 << 20])
+def test_sums_of_sentences_beyond_a_byte(spark, monkeypatch, whole):
+    monkeypatch.setattr(contexts, "WHOLE_BYTES", whole)
+    texts = ["a " * 200 + "b", "c d " * 80, "e f g"]
+    rows = [brute.tokens(t) for t in texts]
+    dealt = pa.Table.from_batches(contexts.deal_contexts(SPACE, True)(batches(rows, 2)), contexts._DEALT)
+    found = {}
+    for batch in contexts.add_contexts(SPACE)(iter(dealt.sort_by("key").combine_chunks().to_batches())):
+        edges, dims, vals = partial.read_cells(batch.column("vec"))
+        for i, word in enumerate(batch.column("key").to_pylist()):
+            found[word] = dict(zip(dims[edges[i] : edges[i + 1]].tolist(), vals[edges[i] : edges[i + 1]].tolist()))
+    assert found == brute.ordered(texts, SPACE)
