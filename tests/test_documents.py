@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import brute
 from test_training import SPACE, docs, random_texts
@@ -99,6 +100,63 @@ def test_frequent_words_are_sent_as_narrow_as_they_are(lexicon, known):
         assert factors[i] == pytest.approx(1 / np.linalg.norm(matrix[i].astype(float)) if known[word] else 0)
 
 
+@pytest.mark.parametrize("cells, compressed", [(6, "u1b0"), (240, "u1b1"), (2, "u4b0")])
+def test_signs_take_a_bit_each(cells, compressed):
+    """Vectors of 1 and -1 alone, as they stand where compressing them would make them longer."""
+    size = 100_000 if compressed.startswith("u4") else 1024
+    dims = [0, 99_999] if size == 100_000 else list(range(0, 4 * cells, 4))
+    vals = [1 - 2 * (i % 3 == 0) for i in range(cells)]
+    kind = pa.struct([("dims", pa.list_(pa.int32())), ("vals", pa.list_(pa.int64()))])
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([{"dims": dims, "vals": vals}], kind)], ["word", "vec"])
+    ((row,),) = (out.to_pylist() for out in documents._compress(size)([batch]))
+    assert row["kind"] == compressed
+    where, got = documents._places_and_values(pa.Codec("zstd"), row["kind"], row["cells"], row["vec"], size)
+    assert where.tolist() == dims and got.tolist() == vals
+    assert len(row["vec"]) <= cells * int(compressed[1]) + -(-cells // 8)
+
+
+def test_rows_of_a_block_are_joined(monkeypatch):
+    schema = pa.schema([("block", pa.int32()), ("at", pa.list_(pa.int32())), ("vec", pa.binary())])
+    rows = [{"block": i % 3, "at": [i, i + 1], "vec": bytes([i % 256]) * 10} for i in range(1000)]
+    batches = pa.Table.from_pylist(rows, schema).to_batches(max_chunksize=70)
+    for room in (1, 1000, 1 << 20):
+        monkeypatch.setattr(documents, "JOINED_BYTES", room)
+        monkeypatch.setattr(documents, "HELD_BYTES", 3 * room)
+        joined = list(documents._join_rows(schema)(iter(batches)))
+        assert room < 1 << 20 or len(joined) == 3
+        for batch in joined:
+            assert {r["block"] for b in documents._part_rows([batch]) for r in b.to_pylist()} == set(batch.column("block").to_pylist())
+        found = [r for b in documents._part_rows(joined) for r in b.to_pylist()]
+        assert sorted(found, key=lambda r: r["at"]) == rows
+
+
+@pytest.mark.parametrize("compressed", [0, 7])
+def test_more_words_are_sent_compressed(spark, lexicon, known, monkeypatch, compressed):
+    """Words beyond those of the matrix are not joined, whose vectors would go to every block that has them."""
+    monkeypatch.setattr(documents, "FREQUENT_BYTES", 1)
+    monkeypatch.setattr(documents, "COMPRESSED", compressed)
+    found = documents._frequent(documents.each(docs(spark, TEXTS), documents.token_array(F.col("text")), "word", "doc_id"), SPACE)
+    assert found[0] == "hot" and len(found) == len(set(found)) == min(16 * (1 + compressed), len({w for t in TEXTS for w in brute.tokens(t)}))
+    vectors = dense(documents.text_vectors(docs(spark, TEXTS), lexicon, SPACE))
+    for i, text in enumerate(TEXTS):
+        n, vec = brute.text_vector(brute.tokens(text), known, SPACE.size) or (0, None)
+        assert (i in vectors) == bool(n)
+        if n:
+            assert vectors[i][0] == n and vectors[i][1] == pytest.approx(np.array(vec), abs=1e-9)
+
+
+def test_words_that_a_lexicon_repeats(spark, lexicon, monkeypatch):
+    """A word that is not frequent counts with every row it has."""
+    monkeypatch.setattr(documents, "FREQUENT_BYTES", 1)
+    texts = docs(spark, TEXTS + ["w0 w1 w2 w3"])
+    twice = lexicon.unionByName(lexicon.filter("key IN ('w0', 'w1', 'w2', 'w3')"))
+    weights = []
+    for compressed in (0, 7):
+        monkeypatch.setattr(documents, "COMPRESSED", compressed)
+        weights.append({r.key: r.weight for r in documents.text_vectors(texts, twice, SPACE).collect()})
+    assert weights[0] == weights[1]
+
+
 def test_texts_of_one_key_add_up(spark, lexicon, known):
     rows = spark.createDataFrame([("x", TEXTS[0]), ("x", TEXTS[1])], "doc_id string, text string")
     n, vec = dense(documents.text_vectors(rows, lexicon, SPACE))["x"]
